@@ -7,19 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import overlaps
+from .mixing import mix
 from .near_dup import near_duplicates
+from .secrets import find_secrets
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 #: DuckDB SQL for those queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+            FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+                     source_size::DOUBLE * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM s),
+        f AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
+        t AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM f),
+        u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
+        c AS (SELECT d.*, u.source_size, u.target, u.copies, u.target - u.copies * u.source_size AS rest,
+                     sum(d.size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(d.size) OVER (PARTITION BY d.source, h) AS grp
+              FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+        SELECT doc_id, size, source_size, target,
+               (size * (copies + CASE WHEN upto <= rest OR (upto - grp <= rest AND upto - rest < rest - (upto - grp)) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM c""",
+    "op8_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+        bw AS (SELECT item_id, len(w) AS n, least(13, len(w)) AS win, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM b WHERE len(w) >= 6),
+        m AS (SELECT DISTINCT doc_id, item_id, n, win, dw.pos - bw.pos AS shift, bw.pos AS pos FROM dw JOIN bw USING (word)),
+        r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM m),
+        x AS (SELECT doc_id, item_id, win, max(k) AS matched FROM r GROUP BY ALL)
+        SELECT doc_id, item_id, matched::BIGINT AS matched, win::BIGINT AS "window", matched / win::DOUBLE AS similarity
+        FROM x WHERE matched >= 0.8 * win AND (win = 13 OR matched = win)""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
