@@ -30,8 +30,11 @@ def seeds(text: Column) -> Column:
 
     def of_runs(g: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(g) - RUN - 1)
-        made = [F.transform(at, lambda i, k=gap: F.xxhash64(F.get(g, i), F.get(g, i + (RUN + k)), F.lit(k))) for gap in GAPS]
-        return F.when(F.size(g) > RUN, F.concat(*made))
+
+        def with_gap(k: int) -> Column:
+            return F.transform(at, lambda i: F.xxhash64(F.get(g, i), F.get(g, i + (RUN + k)), F.lit(k)))
+
+        return F.when(F.size(g) > RUN, F.concat(*[with_gap(k) for k in GAPS]))
 
     def of_words(h: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(h) - RUN)
