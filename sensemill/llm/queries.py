@@ -10,9 +10,14 @@ from .common import table
 from .decontaminate import overlaps
 from .mixing import mix
 from .near_dup import near_duplicates
+from .quality import classify
 from .secrets import find_secrets
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 

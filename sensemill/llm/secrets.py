@@ -62,43 +62,53 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Secrets in docs (doc_id, text and the owner and repository columns): a row for each row of docs with
-
-    doc_id, n_assign, n_access, n_hex, base_sha256 (of the spans of these three kinds), spans (all
-    spans, kind:start:end in code points, by start and then kind), n_live (spans whose value one owner
-    holds), n_example (spans whose value EXAMPLE owners or more hold).
-
-    A null text counts as empty. A null owner is one owner, a null repository one repository. Rows
-    that repeat a doc_id are judged each by its own text. No span gives an empty text and its hash.
-    """
+def _candidates(docs: DataFrame, owner: str, repository: str, *keep: str) -> DataFrame:
+    """Each row of docs with a number of its own and all candidate spans, written."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.concat(*[_spans(text, no) for no, k in enumerate(KINDS) if k[0] in BASE])
     more = F.concat(*[_spans(text, no) for no, k in enumerate(KINDS) if k[0] not in BASE])
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    hashed = F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
+    apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    hashed = F.transform(F.concat("__base", "__more"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
     rows, _ = written(
-        docs.select("doc_id", F.col(owner).alias("owner"), F.col(repository).alias("repository"), base.alias("base"), more.alias("more"))
-        .withColumn("more", apart)
-        .select("doc_id", "owner", "repository", F.monotonically_increasing_id().alias("row"), F.array_sort(hashed).alias("spans")),
+        docs.select(*keep, F.col(owner).alias("__owner"), F.col(repository).alias("__repository"), base.alias("__base"), more.alias("__more"))
+        .withColumn("__more", apart)
+        .select(*keep, "__owner", "__repository", F.monotonically_increasing_id().alias("__row"), F.array_sort(hashed).alias("__spans")),
         "candidates",
     )
-    each = rows.where(F.size("spans") > 0).select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s", "s.hash")
+    return rows
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Of the written candidates: __row, its spans that stay, in order, n_live and n_example."""
+    each = rows.where(F.size("__spans") > 0).select("__row", "__owner", "__repository", F.explode("__spans").alias("s")).select("*", "s.hash")
     owners = (
-        each.select("hash", "owner", "repository").distinct()
-        .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+        each.select("hash", "__owner", "__repository").distinct()
+        .groupBy("hash", "__owner").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
     )
     known = F.col("s.kind") < [k[0] for k in KINDS].index("opaque")
-    judged = (
-        each.select("row", "hash", "s").join(owners, "hash")
+    return (
+        each.select("__row", "hash", "s").join(owners, "hash")
         .where(known | (F.col("owners") <= FEW_OWNERS))
-        .groupBy("row").agg(
+        .groupBy("__row").agg(
             F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end"))).alias("spans"),
             F.count_if(F.col("owners") == 1).alias("n_live"),
             F.count_if(F.col("owners") >= EXAMPLE).alias("n_example"),
         )
     )
+
+
+def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
+    """Secrets in docs (doc_id, text and the owner and repository columns): a row for each row of docs with
+
+    doc_id, n_assign, n_access, n_hex, base_sha256 (of the spans of these three kinds), spans (all
+    spans, kind:start:end in code points, by start and then kind), n_live (spans whose value one owner
+    holds), n_example (spans whose value EXAMPLE owners or more hold).
+
+    A null text counts as empty. A null owner is one owner, a null repository one repository. Rows
+    that repeat a doc_id are judged each by its own text. No span gives an empty text and its hash.
+    """
+    rows = _candidates(docs, owner, repository, "doc_id")
     spans = F.coalesce("judged.spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     basic = F.filter("spans", lambda s: s["kind"] < len(BASE))
 
@@ -106,7 +116,28 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{BASE[kind]}")
 
     return (
-        rows.select("doc_id", "row").join(judged.alias("judged"), "row", "left")
+        rows.select("doc_id", "__row").join(_judged(rows).alias("judged"), "__row", "left")
         .select("doc_id", spans.alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))
         .select("doc_id", n(0), n(1), n(2), F.sha2(_text_of(basic), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), "n_live", "n_example")
     )
+
+
+def without_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
+    """docs with each secret in text replaced by <kind>; spans that overlap give way to one mark, that
+    of the first. Other rows and columns stay as they are."""
+    found = _candidates(docs, owner, repository, *docs.columns)
+    judged = _judged(found)
+    names = F.array(*[F.lit(f"<{k[0]}>") for k in KINDS])
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
+            F.struct(s["end"].alias("at"), F.concat(acc["out"], before, F.get(names, s["kind"])).alias("out"))
+        )
+
+    rest = F.length("text")
+    clean = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, rest)))
+    plain = found.where(F.size("__spans") == 0).select(*docs.columns)
+    marked = found.where(F.size("__spans") > 0).join(judged, "__row", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
+    return plain.unionByName(marked.select(*docs.columns))
