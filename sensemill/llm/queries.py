@@ -8,16 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import overlaps
+from .licenses import scan_licenses
 from .mixing import mix
 from .near_dup import near_duplicates
 from .quality import classify
 from .secrets import find_secrets
+from .substrings import remove_repeats
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 

@@ -151,3 +151,13 @@ def pieces(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[slice, np.nd
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def span_hash(words: Words, start: np.ndarray, stop: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of the runs of words start:stop, of any lengths."""
+    h = words.hash if not salt else mix(words.hash ^ U(salt))
+    up, down = _power(_STEP, len(h))
+    sums = np.empty(len(h) + 1, U)
+    sums[0] = 0
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * down[start])
