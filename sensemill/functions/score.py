@@ -16,6 +16,8 @@ SOFT_MARKERS = [
 ]
 BANDS = {"top1000": 1000, "top2000": 2000, "top3000": 3000}
 RRF_K = 60
+#: Added before rounding to four places, so that a half that binary arithmetic puts a little below is rounded up.
+_HALF = 1e-9
 GRADES = {"HARD": 1, "MEDIUM": 2, "EASY": 3}
 # -------------------------------------------------------------------------------------------------
 
@@ -54,7 +56,7 @@ def penalty(tags: Column) -> Column:
 
 def priority_score(frequency: Column, learner: Column, polish: Column, quality: Column, penalised: Column) -> Column:
     raw = (0.35 * frequency + 0.15 * learner + 0.20 * polish + 0.30 * quality) * penalised
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(raw, 4)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(raw + _HALF, 4)))
 
 
 def priority_level(score: Column) -> Column:
@@ -67,7 +69,7 @@ def priority_level(score: Column) -> Column:
 def quality_score(confidence: Column, definition: Column, examples: Column, level: Column, frequency: Column) -> Column:
     """Each part from 0 to 1, examples and the others as counts or nulls: unknown evidence counts as nothing."""
     raw = 0.30 * confidence + 0.25 * definition + 0.20 * F.least(F.lit(1.0), examples / 2.0) + 0.15 * level.isNotNull().cast("double") + 0.10 * frequency.isNotNull().cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(raw, 4)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(raw + _HALF, 4)))
 
 
 def band(rank: Column) -> Column:

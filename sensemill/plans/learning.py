@@ -1 +1,183 @@
-"""Queries."""
+"""Due queues, dashboards, bulk reports and the scheduler over the events table: user is student,
+event type is rating, value the item, and the day after the last event is "now"."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sensemill.functions import score as S
+from sensemill.operators import learning as L
+from sensemill.registry import query
+from sensemill.tables import table
+
+AS_OF = "2024-02-12 12:00:00"
+_DUE = "ts + to_days(CAST(1 + CAST(floor(value) AS INTEGER) % 20 AS INTEGER))"
+_STATE = f"(SELECT user_id, event_type, max(ts) AS last, max({_DUE}) AS due_at, count(*) AS reps, count(*) FILTER (WHERE event_type = 'error') AS lapses FROM events GROUP BY user_id, event_type)"
+_NOW = f"TIMESTAMP '{AS_OF}'"
+
+
+def _state(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events", "user_id", "event_type", "ts", "value")
+    due = F.expr("ts + make_dt_interval(cast(1 + cast(floor(value) as int) % 20 as int))")
+    return e.groupBy("user_id", "event_type").agg(
+        F.max("ts").alias("last"), F.max(due).alias("due_at"), F.count(F.lit(1)).alias("reps"), F.count_if(F.col("event_type") == "error").alias("lapses")
+    )
+
+
+def _now():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+@query(
+    "due_queue",
+    f"""SELECT user_id, event_type, bucket, due_at FROM (SELECT *, CASE WHEN due_at < {_NOW} THEN 0 WHEN due_at <= date_trunc('day', {_NOW}) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND THEN 1 END AS bucket FROM {_STATE})
+        WHERE bucket IS NOT NULL ORDER BY bucket, due_at NULLS LAST, event_type, user_id LIMIT 100""",
+)
+def due_queue(spark: SparkSession, sf: str) -> DataFrame:
+    q = _state(spark, sf).withColumn("bucket", L.due_bucket(F.col("due_at"), _now())).where("bucket is not null")
+    return q.orderBy("bucket", F.col("due_at").asc_nulls_last(), "event_type", "user_id").limit(100).select("user_id", "event_type", "bucket", "due_at")
+
+
+@query(
+    "dashboard_counts",
+    f"SELECT count(*) AS cards, count(*) FILTER (WHERE due_at < {_NOW}) AS overdue, count(*) FILTER (WHERE lapses > 0) AS difficult, count(*) FILTER (WHERE reps = 1) AS encountered, sum(reps)::BIGINT AS reviews FROM {_STATE}",
+)
+def dashboard_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _state(spark, sf).agg(
+        F.count(F.lit(1)).alias("cards"), F.count_if(F.col("due_at") < _now()).alias("overdue"), F.count_if(F.col("lapses") > 0).alias("difficult"),
+        F.count_if(F.col("reps") == 1).alias("encountered"), F.sum("reps").alias("reviews"),
+    )
+
+
+@query(
+    "dashboard_overview",
+    f"""SELECT c_custkey, c_name, count(s.user_id) AS cards, count(*) FILTER (WHERE s.due_at < {_NOW}) AS overdue FROM customer LEFT JOIN {_STATE} s ON user_id = c_custkey GROUP BY ALL""",
+)
+def dashboard_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for every student, those without cards too."""
+    s = _state(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("cards"), F.count_if(F.col("due_at") < _now()).alias("overdue"))
+    c = table(spark, sf, "customer", "c_custkey", "c_name").join(s, F.col("user_id") == F.col("c_custkey"), "left")
+    return c.select("c_custkey", "c_name", F.coalesce("cards", F.lit(0)).cast("long").alias("cards"), F.coalesce("overdue", F.lit(0)).cast("long").alias("overdue"))
+
+
+@query(
+    "difficult_top5",
+    f"""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events WHERE ts >= {_NOW} - INTERVAL 30 DAY AND ts <= {_NOW}
+        GROUP BY user_id HAVING errors > 0 ORDER BY errors DESC, n DESC, user_id LIMIT 5""",
+)
+def difficult_top5(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events", "user_id", "event_type", "ts").where((F.col("ts") >= _now() - F.expr("interval 30 days")) & (F.col("ts") <= _now()))
+    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")).where("errors > 0")
+    return g.orderBy(F.desc("errors"), F.desc("n"), "user_id").limit(5)
+
+
+@query("recent_reviews", "SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 10")
+def recent_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events", "event_id", "user_id", "ts").orderBy(F.desc("ts"), "event_id").limit(10)
+
+
+@query(
+    "assign_report",
+    """WITH r AS (SELECT l_partkey + CASE WHEN l_linenumber = 7 THEN 1000000 ELSE 0 END AS id FROM lineitem WHERE l_suppkey = 7), d AS (SELECT DISTINCT id FROM r),
+        h AS (SELECT l_partkey AS id, max(l_returnflag) <> 'A' AS active FROM lineitem WHERE l_suppkey = 8 GROUP BY 1)
+        SELECT CASE WHEN p_partkey IS NULL THEN 'not_found' WHEN active IS NULL THEN 'new' WHEN active THEN 'already' ELSE 'reactivated' END AS status, count(*) AS n
+        FROM d LEFT JOIN part ON p_partkey = d.id LEFT JOIN h ON h.id = d.id GROUP BY 1""",
+)
+def assign_report(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem", "l_partkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_orderkey")
+    wanted = li.where("l_suppkey = 7").select((F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 1_000_000).otherwise(0)).alias("id"), F.col("l_orderkey").alias("position"))
+    held = li.where("l_suppkey = 8").groupBy(F.col("l_partkey").alias("id")).agg((F.max("l_returnflag") != "A").alias("active"))
+    known = table(spark, sf, "part", "p_partkey").withColumnRenamed("p_partkey", "id")
+    return L.classified_assignments(wanted, known, held, "id", "active").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "import_classify",
+    """WITH i AS (SELECT o_orderkey AS id, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)
+        SELECT id, CASE WHEN o_totalprice < 20000 THEN 'error' WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'new' WHEN o_orderpriority = '5-LOW' THEN 'conflict' ELSE 'existing_match' END AS status FROM i""",
+)
+def import_classify(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").where("o_orderkey % 3 = 0")  # the imported file
+    known = table(spark, sf, "customer", "c_custkey", "c_acctbal").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
+    status = F.when(F.col("o_totalprice") < 20_000, "error").when(F.col("known").isNull(), "new").when(F.col("o_orderpriority") == "5-LOW", "conflict").otherwise("existing_match")
+    return rows.join(known, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), status.alias("status"))
+
+
+@query("set_counts", "SELECT s_suppkey, s_name, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS items FROM supplier")
+def set_counts(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "lineitem", "l_suppkey", "l_partkey").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("items"))
+    s = table(spark, sf, "supplier", "s_suppkey", "s_name").join(n, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return s.select("s_suppkey", "s_name", F.coalesce("items", F.lit(0)).cast("long").alias("items"))
+
+
+_GRADE = "CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END"
+
+
+@query(
+    "learning_state",
+    f"""WITH g AS (SELECT user_id, count(*) AS reps, last({_GRADE} ORDER BY ts, event_id) AS grade FROM events GROUP BY user_id)
+        SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'NEW' WHEN grade = 1 THEN 'LEARNING' WHEN reps <= 1 THEN 'ENCOUNTERED' ELSE 'REVIEWING' END AS state FROM g""",
+)
+def learning_state(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events", "user_id", "event_type", "ts", "event_id").withColumn("grade", _grade())
+    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("reps"), F.max_by("grade", F.struct("ts", "event_id")).alias("grade"))
+    return g.select("user_id", S.learning_state(F.col("user_id") % 10 != 0, F.col("reps"), F.col("grade")).alias("state"))
+
+
+def _grade():
+    return F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "view", 3).otherwise(4)
+
+
+def _sql_fold() -> str:
+    w, dec, fac = L.W, L.DECAY, L.FACTOR
+    e4, e8, e1718 = w[4] - math.exp(w[5] * 3) + 1, math.exp(w[8]), math.exp(w[17] * w[18])
+    s0 = "[" + ",".join(f"{x}::DOUBLE" for x in w[:4]) + "][e.g]"
+    gain = f"exp({w[17]}::DOUBLE * (e.g - 3 + {w[18]}::DOUBLE)) * pow(f.s, {-w[19]}::DOUBLE)"
+    r = f"pow(1 + {fac}::DOUBLE * (e.t - f.t) / 86400.0::DOUBLE / f.s, {dec}::DOUBLE)"
+    lapse = f"least({w[11]}::DOUBLE * pow(f.d, {-w[12]}::DOUBLE) * (pow(f.s + 1, {w[13]}::DOUBLE) - 1) * exp({w[14]}::DOUBLE * (1 - {r})), f.s / {e1718}::DOUBLE)"
+    grow = f"{e8}::DOUBLE * (11 - f.d) * pow(f.s, {-w[9]}::DOUBLE) * (exp({w[10]}::DOUBLE * (1 - {r})) - 1) * CASE e.g WHEN 2 THEN {w[15]}::DOUBLE WHEN 4 THEN {w[16]}::DOUBLE ELSE 1 END"
+    s = f"CASE WHEN (e.t - f.t) / 86400.0::DOUBLE < 1 THEN f.s * CASE WHEN e.g >= 3 THEN greatest({gain}, 1) ELSE {gain} END WHEN e.g = 1 THEN {lapse} ELSE f.s * (1 + {grow}) END"
+    d = f"least(10, greatest(1, {w[7]}::DOUBLE * {e4}::DOUBLE + (1 - {w[7]}::DOUBLE) * (f.d + (10 - f.d) * (-{w[6]}::DOUBLE * (e.g - 3)) / 9)))"
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_type IS NOT NULL AS ok, epoch_us(ts) / 1e6::DOUBLE AS t, {_GRADE} AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        f(user_id, n, t, s, d, lapses) AS (
+          SELECT user_id, n, t, {s0}, least(10, greatest(1, {w[4] + 1}::DOUBLE - exp({w[5]}::DOUBLE * (g - 1)))), 0 FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.n, e.t, greatest({s}, 0.001::DOUBLE), {d}, f.lapses + CASE WHEN e.g = 1 THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+        SELECT user_id, n AS reps, lapses, round(s, 5) AS stability, round(d, 5) AS difficulty FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS last FROM f) WHERE n = last""".replace("e AS (SELECT user_id, event_type IS NOT NULL AS ok,", "e AS (SELECT user_id,").replace("[e.g], least", "[g], least")
+
+
+@query("fsrs_state", _sql_fold())
+def fsrs_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The scheduler's state of every user's history, folded inside Spark."""
+    e = table(spark, sf, "events", "user_id", "event_type", "ts", "event_id")
+    rows = e.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("seq"), _grade().alias("grade"))
+    out = L.folded(rows, "user_id")
+    return out.select("user_id", F.col("reps").cast("long").alias("reps"), "lapses", F.round("stability", 5).alias("stability"), F.round("difficulty", 5).alias("difficulty"))
+
+
+@query("rate_limit_windows")
+def rate_limit_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests in fixed windows that start at a client's first request after the last window: which are over the limit."""
+    rows = table(spark, sf, "events", "user_id", "event_id", "ts").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    history = F.array_sort(F.collect_list(F.struct("at", "event_id")))
+    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,start:bigint,n:int>>").alias("out"))
+    width, limit = 86_400_000_000, 20
+
+    def step(acc, e):
+        new = acc["start"].isNull() | (e["at"] - acc["start"] >= width)
+        start, n = F.when(new, e["at"]).otherwise(acc["start"]), F.when(new, 1).otherwise(acc["n"] + 1)
+        return F.struct(start.alias("start"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(e["event_id"].alias("event_id"), start.alias("start"), n.alias("n")))).alias("out"))
+
+    g = rows.groupBy("user_id").agg(F.aggregate(history, zero, step, lambda a: a["out"]).alias("x"))
+    return g.select("user_id", F.explode("x").alias("x")).select("user_id", "x.event_id", F.timestamp_micros("x.start").alias("window_start"), (F.col("x.n") <= limit).alias("allowed"))
+
+
+@query(
+    "profile_order",
+    "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, event_type) AS place FROM " + _STATE,
+)
+def profile_order(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last"), "event_type")).cast("long")
+    return _state(spark, sf).select("user_id", "event_type", place.alias("place"))

@@ -1 +1,187 @@
-"""Queries."""
+"""Text functions, entity resolution and enrichment over documents, labels and benchmark texts."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensemill.functions import text as X
+from sensemill.operators import graph, identity
+from sensemill.registry import query
+from sensemill.tables import table
+
+_STOP = ",".join(f"'{w}'" for w in X.STOPWORDS)
+_KEY = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_CANON = "CASE t " + " ".join(f"WHEN '{w}' THEN '{min(a, b)}'" for a, b in X.SYNONYMS.items() for w in (a, b)) + " ELSE t END"
+_TOKENS = f"list_sort(list_distinct(list_transform(list_filter(string_split({_KEY}, ' '), lambda t: length(t) >= 3 AND t NOT IN ({_STOP})), lambda t: {_CANON})))"
+
+
+def _native_key(c):
+    """The search key without case folding and accents, which SQL can say too."""
+    return X.collapsed(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "))
+
+
+@query("text_significant_tokens", f"SELECT doc_id, list_aggregate({_TOKENS.format('text')}, 'string_agg', ' ') AS tokens FROM documents")
+def text_significant_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", F.nullif(F.array_join(X.significant_tokens(_native_key(F.col("text"))), " "), F.lit("")).alias("tokens"))
+
+
+def _sql_stem() -> str:
+    def once(t: str) -> str:
+        cases = " ".join(f"WHEN ends_with({t}, '{s.replace(chr(39), chr(39) * 2)}') AND length({t}) - {len(s)} >= 3 THEN left({t}, length({t}) - {len(s)}) || '{to}'" for s, to in X.SUFFIXES)
+        return f"CASE WHEN length({t}) <= 3 THEN {t} {cases} ELSE {t} END"
+
+    return once("t")
+
+
+@query(
+    "text_stem",
+    rf"""WITH w0 AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\p{{L}}]+')) AS word FROM documents), a AS (SELECT word, word AS t FROM w0 WHERE word <> ''),
+        b AS (SELECT word, {_sql_stem()} AS t FROM a), c AS (SELECT word, {_sql_stem()} AS t FROM b), d AS (SELECT word, {_sql_stem()} AS t FROM c)
+        SELECT word, {_sql_stem()} AS stem FROM d""",
+)
+def text_stem(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct word with its stem: distinct before stemming, so each word is stemmed once."""
+    words = table(spark, sf, "documents", "text").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct()
+    return words.select("word", X.stem(F.col("word")).alias("stem"))
+
+
+@query(
+    "text_gloss_clean",
+    r"""SELECT doc_id, md5(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace('(noun) (old) ' || text || ' ; 12.', '\s+', ' ', 'g')), '^(\([^)]*\)\s*)+', '')), '[;,]?\s*\d+\.$', ''))) AS digest FROM documents""",
+)
+def text_gloss_clean(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", F.md5(X.clean_gloss(F.concat(F.lit("(noun) (old) "), "text", F.lit(" ; 12.")))).alias("digest"))
+
+
+@query("text_search_key")
+def text_search_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Case folding and decomposition are beyond SQL; tests hold this against Python's own."""
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.search_key(F.col("text")).alias("key"))
+
+
+@query(
+    "embedding_recipe",
+    r"""SELECT doc_id, sha256(concat_ws(' | ', nullif(trim(source), ''), nullif(trim(lang), ''), nullif(trim(left(text, 80)), ''), nullif(trim(substr(text, 81, 40)), ''), nullif(trim(substr(text, 121, 40)), ''))) AS sha FROM documents""",
+)
+def embedding_recipe(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    recipe = X.embed_text(F.col("source"), F.col("lang"), F.substring(t, 1, 80), F.array(F.substring(t, 81, 40), F.substring(t, 121, 40), F.lit("never")))
+    return table(spark, sf, "documents", "doc_id", "source", "lang", "text").select("doc_id", F.sha2(recipe, 256).alias("sha"))
+
+
+def _heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of conversations as candidate senses."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "role", "turn", X.significant_tokens(_native_key(F.expr("left(text, 24)"))).alias("tokens"))
+
+
+@query(
+    "near_dup_pairs",
+    rf"""WITH c AS (SELECT conv_id, role, turn, {_TOKENS.format('left(text, 24)')} AS t FROM conversations),
+        p AS (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, len(list_intersect(a.t, b.t)) AS shared, len(a.t) AS na, len(b.t) AS nb, a.t = b.t AS same
+              FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn)
+        SELECT conv_id, turn_a, turn_b FROM p WHERE least(na, nb) > 0 AND (same OR (shared = least(na, nb) AND shared >= 2) OR shared / (na + nb - shared)::DOUBLE >= 0.75 OR (na = nb AND shared / (na + nb - shared)::DOUBLE >= 0.6))""",
+)
+def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs inside a block that mean the same. A block is one conversation."""
+    a, b = _heads(spark, sf).alias("a"), _heads(spark, sf).alias("b")
+    pairs = a.join(b, F.expr("a.conv_id = b.conv_id and a.turn < b.turn"))
+    return pairs.where(X.same_meaning(F.col("a.tokens"), F.col("b.tokens"))).select(
+        F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b")
+    )
+
+
+@query("identity_clusters")
+def identity_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Senses of a headword: parts with one name and type, whose brand and size words are the gloss."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    gloss = F.concat_ws(" ", F.lit("made"), "p_brand", F.concat(F.lit("size"), F.col("p_size") % 5), F.concat(F.lit("kind"), F.col("p_size") % 3))
+    c = p.select(
+        F.col("p_name").alias("headword"), F.col("p_type").alias("pos"), F.col("p_partkey").alias("candidate_id"), F.col("p_brand").alias("ordering"),
+        X.significant_tokens(_native_key(gloss)).alias("tokens"),
+    )
+    found = c.join(identity.clusters(c), "candidate_id").groupBy("headword", "pos", "cluster_id").agg(
+        F.count(F.lit(1)).alias("members"), F.min("candidate_id").alias("first_id"), F.min_by("tokens", F.struct("ordering", "candidate_id")).alias("tokens")
+    )
+    keyed = found.withColumn("base", X.sense_key(F.col("headword"), F.col("pos"), X.gloss_digest(F.col("tokens"))))
+    return identity.with_suffix(keyed, "base", "first_id").select("sense_key", "cluster_id", "members")
+
+
+def _align(batches):
+    for b in batches:
+        out = []
+        for entry, text in zip(b["conv_id"], b["text"]):
+            words = text.split()
+            inline = [words[:2], words[2:3], []]
+            out += [(entry, s, w, c) for s, w, c in identity.align_translations(inline, list(dict.fromkeys(words[:12])), words[0] if words else "")]
+        yield pd.DataFrame(out, columns=["entry", "sense", "translation", "confidence"])
+
+
+@query("align_translations")
+def align_translations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation's first line as an entry with three senses and twelve words to align."""
+    c = table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.coalesce("text", F.lit("")).alias("text"))
+    return c.mapInPandas(_align, "entry long, sense long, translation string, confidence double")
+
+
+@query(
+    "synset_link",
+    rf"""WITH s AS (SELECT doc_id, {_TOKENS.format('left(text, 400)')} AS t FROM documents), b AS (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark),
+        w AS (SELECT item_id, unnest(t) AS w FROM b), sw AS (SELECT doc_id, unnest(t) AS w FROM s),
+        ev AS (SELECT doc_id, item_id FROM sw JOIN w USING (w) GROUP BY ALL HAVING count(*) >= 4),
+        p AS (SELECT ev.doc_id, ev.item_id, len(list_intersect(s.t, b.t)) AS shared, len(s.t) AS na, len(b.t) AS nb, s.t = b.t AS same FROM ev JOIN s USING (doc_id) JOIN b USING (item_id)),
+        q AS (SELECT *, round(CASE WHEN least(na, nb) = 0 THEN 0 WHEN same THEN 0.95 WHEN shared = least(na, nb) AND shared >= 2 THEN 0.9
+              WHEN shared / (na + nb - shared)::DOUBLE >= 0.75 THEN shared / (na + nb - shared)::DOUBLE ELSE shared / (na + nb - shared)::DOUBLE / 2 END::DOUBLE, 6) AS sim FROM p),
+        g AS (SELECT *, max(sim) OVER d AS top, max(shared) OVER d AS most, count(*) OVER d AS n FROM q WINDOW d AS (PARTITION BY doc_id)),
+        h AS (SELECT doc_id, max(top) AS top, max(most) AS most, max(n) AS n, count(*) FILTER (WHERE sim = top) AS n_sim, count(*) FILTER (WHERE shared = most) AS n_both,
+              max(item_id) FILTER (WHERE sim = top) AS by_sim, max(item_id) FILTER (WHERE shared = most) AS by_both FROM g GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN top >= 0.6 AND n_sim = 1 THEN by_sim WHEN n = 1 THEN by_sim WHEN most >= 2 AND n_both = 1 THEN by_both END AS item_id,
+          CASE WHEN top >= 0.6 AND n_sim = 1 THEN top WHEN n = 1 THEN 0.8::DOUBLE WHEN most >= 2 AND n_both = 1 THEN 0.7::DOUBLE END AS confidence,
+          CASE WHEN top >= 0.6 AND n_sim = 1 THEN 'definition-match' WHEN n = 1 THEN 'monosemous' WHEN most >= 2 AND n_both = 1 THEN 'shared-tokens' ELSE 'ambiguous' END AS method FROM h""",
+)
+def synset_link(spark: SparkSession, sf: str) -> DataFrame:
+    """The start of a document is a gloss, benchmark items are synsets; four shared tokens make a candidate."""
+    s = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("sense_id"), X.significant_tokens(_native_key(F.expr("left(text, 400)"))).alias("tokens"))
+    b = table(spark, sf, "benchmark", "item_id", "text").select(F.col("item_id").alias("synset_id"), X.significant_tokens(_native_key(F.col("text"))).alias("tokens"))
+    shared = s.select("sense_id", F.explode("tokens").alias("w")).join(b.select("synset_id", F.explode("tokens").alias("w")), "w")
+    candidates = shared.groupBy("sense_id", "synset_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").drop("n")
+    out = graph.link(s, candidates.join(b, "synset_id"))
+    return out.select(F.col("sense_id").alias("doc_id"), F.col("synset_id").alias("item_id"), "confidence", "method")
+
+
+@query(
+    "hypernym_closure",
+    """WITH RECURSIVE up(start, node, d) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT start, node // 2, d + 1 FROM up WHERE d < 5 AND node // 2 <> node)
+       SELECT DISTINCT start, node FROM up""",
+)
+def hypernym_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges lead from every key to its half."""
+    keys = table(spark, sf, "part", "p_partkey")
+    edges = keys.select(F.col("p_partkey").alias("from_id"), F.expr("p_partkey div 2").alias("to_id")).where("from_id <> to_id")
+    return graph.closure(keys.select(F.col("p_partkey").alias("start")), edges)
+
+
+#: Top class, sub class, keyword.
+_KEYWORDS = [("law", "license", w) for w in ("license", "apache", "gnu", "mit", "public")] + [("law", "terms", w) for w in ("under", "terms", "general", "released")] + [
+    ("mail", "address", w) for w in ("email", "contact", "example", "com")
+]
+
+
+@query(
+    "taxonomy_assign",
+    rf"""WITH k(top, sub, word) AS (VALUES {','.join(str(x) for x in _KEYWORDS)}), e AS (SELECT doc_id, {_KEY.format('text')} AS key FROM documents),
+        h AS (SELECT DISTINCT doc_id, split_part(key, ' ', 1) AS head, unnest(string_split(key, ' ')) AS word FROM e), x AS (SELECT * FROM h JOIN k USING (word)),
+        s AS (SELECT doc_id, top, sub, CASE WHEN count(DISTINCT word) >= 2 AND max((word = head)::INT) = 1 THEN 0.9::DOUBLE WHEN count(DISTINCT word) >= 2 THEN 0.8::DOUBLE END AS c FROM x GROUP BY ALL),
+        a AS (SELECT doc_id, top, sub, c FROM s WHERE c IS NOT NULL UNION ALL SELECT doc_id, top, '', c FROM s WHERE c IS NOT NULL
+              UNION ALL SELECT doc_id, top, '', 0.7::DOUBLE FROM x GROUP BY doc_id, top HAVING count(DISTINCT word) >= 2)
+        SELECT doc_id, top, sub, max(c) AS confidence FROM a GROUP BY ALL""",
+)
+def taxonomy_assign(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.split(_native_key(F.col("text")), " ")
+    e = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("entry_id"), F.get(words, F.lit(0)).alias("headword"), F.array_distinct(words).alias("tokens"))
+    k = spark.createDataFrame(_KEYWORDS, "top string, sub string, word string")
+    return graph.classify(e, F.broadcast(k)).withColumnRenamed("entry_id", "doc_id")  # the keyword table is a constant

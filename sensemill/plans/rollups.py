@@ -136,7 +136,7 @@ _STATS = "(SELECT l_partkey, count(*) AS n, min(l_linenumber) AS best, avg(l_dis
             CASE lv WHEN 'A1' THEN 1.0 WHEN 'A2' THEN 0.9 WHEN 'B1' THEN 0.78 WHEN 'B2' THEN 0.68 WHEN 'C1' THEN 0.6 WHEN 'C2' THEN 0.55 ELSE 0.5 END AS l,
             coalesce(round(conf, 4), 0.5) AS p, CASE WHEN coalesce(n, 0) > 0 THEN 0.4 ELSE 0 END + CASE WHEN coalesce(n, 0) >= 3 THEN 0.3 WHEN coalesce(n, 0) >= 1 THEN 0.15 ELSE 0 END + 0.3 AS q,
             CASE p_type WHEN 'PROMO' THEN 0.5 WHEN 'SMALL' THEN 0.75 ELSE 1.0 END AS pen FROM s)
-        SELECT p_partkey, round(round(least(1.0, (0.35::DOUBLE * f + 0.15::DOUBLE * l + 0.2::DOUBLE * p + 0.3::DOUBLE * q) * pen), 4), 3) AS score FROM c""",
+        SELECT p_partkey, round(least(1.0, (0.35::DOUBLE * f + 0.15::DOUBLE * l + 0.2::DOUBLE * p + 0.3::DOUBLE * q) * pen) + 1e-9, 4) AS score FROM c""",
 )
 def priority_score(spark: SparkSession, sf: str) -> DataFrame:
     stats = table(spark, sf, "lineitem", "l_partkey", "l_discount").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("l_discount") * 10).alias("conf"))
@@ -146,13 +146,13 @@ def priority_score(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.when(F.col("p_type") == "PROMO", F.array(F.lit("Rare "))).when(F.col("p_type") == "SMALL", F.array(F.lit("slang"), F.lit("slang"))).otherwise(F.array().cast("array<string>"))
     polish = S.polish_component(F.when(F.col("conf").isNull(), F.array().cast("array<double>")).otherwise(F.array("conf")))
     score = S.priority_score(S.frequency_component(rank), S.learner_component(level), polish, S.quality_component(n, n, F.lit(True)), S.penalty(tags))
-    return p.select("p_partkey", F.round(score, 3).alias("score"))
+    return p.select("p_partkey", score.alias("score"))
 
 
 @query(
     "quality_score",
-    f"""SELECT p_partkey, round(round(least(1.0, 0.3::DOUBLE * coalesce(conf, 0) + 0.25::DOUBLE * least(1.0::DOUBLE, p_size / 50.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, coalesce(n, 0) / 2.0::DOUBLE) + 0.15 * CASE WHEN p_type IN ('PROMO','LARGE') THEN 1 ELSE 0 END
-          + 0.1 * CASE WHEN best IS NOT NULL THEN 1 ELSE 0 END), 4), 3) AS score FROM part LEFT JOIN {_STATS} ON l_partkey = p_partkey""",
+    f"""SELECT p_partkey, round(least(1.0, 0.3::DOUBLE * coalesce(conf, 0) + 0.25::DOUBLE * least(1.0::DOUBLE, p_size / 50.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, coalesce(n, 0) / 2.0::DOUBLE) + 0.15 * CASE WHEN p_type IN ('PROMO','LARGE') THEN 1 ELSE 0 END
+          + 0.1 * CASE WHEN best IS NOT NULL THEN 1 ELSE 0 END) + 1e-9, 4) AS score FROM part LEFT JOIN {_STATS} ON l_partkey = p_partkey""",
 )
 def quality_score(spark: SparkSession, sf: str) -> DataFrame:
     stats = (
@@ -163,7 +163,7 @@ def quality_score(spark: SparkSession, sf: str) -> DataFrame:
     definition = F.least(F.lit(1.0), F.col("p_size") / 50.0)
     level = F.when(F.col("p_type").isin("PROMO", "LARGE"), F.col("p_type"))
     score = S.quality_score(F.coalesce("conf", F.lit(0.0)), definition, F.coalesce("n", F.lit(0)), level, F.col("best"))
-    return p.select("p_partkey", F.round(score, 3).alias("score"))
+    return p.select("p_partkey", score.alias("score"))
 
 
 @query(
