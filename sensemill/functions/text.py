@@ -46,6 +46,8 @@ RELATION_GROUPS = {
     "related": ["mero_part", "mero_member", "mero_substance", "holo_part", "holo_member", "holo_substance", "derivation", "domain_topic", "domain_region", "causes", "entails"],
 }
 # -------------------------------------------------------------------------------------------------
+#: Each word of a synonym pair to the smaller of the two; a later pair overrides an earlier one.
+CANON = {w: min(a, b) for a, b in SYNONYMS.items() for w in (a, b)}
 
 
 def _mapping(values: dict[str, str]) -> Column:
@@ -110,9 +112,8 @@ def wordnet_pos(synset_pos: Column) -> Column:
 
 def significant_tokens(key: Column) -> Column:
     """Sorted distinct tokens of three characters or more that are no stop words, synonyms as one."""
-    pairs = {w: min(a, b) for a, b in SYNONYMS.items() for w in (a, b)}
     kept = F.filter(F.split(key, " "), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda t: F.coalesce(F.try_element_at(_mapping(pairs), t), t))))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda t: F.coalesce(F.try_element_at(_mapping(CANON), t), t))))
 
 
 def gloss_depth(gloss: Column) -> Column:
@@ -167,7 +168,7 @@ def stem(token: Column) -> Column:
 
 def inline_polish(gloss: Column) -> Column:
     found = F.regexp_extract_all(gloss, F.lit(r"(?i)\((?:płsk\.|pl:|Polish:\s*)([^)]+)\)"), F.lit(1))
-    return F.transform(found, F.trim)
+    return F.transform(found, lambda x: F.trim(x))
 
 
 def clean_example(c: Column) -> Column:
@@ -194,7 +195,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def split_multi(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clipboard_line(headword: Column, translations: Column, definition: Column) -> Column:

@@ -13,7 +13,7 @@ from sensemill.tables import table
 
 _STOP = ",".join(f"'{w}'" for w in X.STOPWORDS)
 _KEY = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
-_CANON = "CASE t " + " ".join(f"WHEN '{w}' THEN '{min(a, b)}'" for a, b in X.SYNONYMS.items() for w in (a, b)) + " ELSE t END"
+_CANON = "CASE t " + " ".join(f"WHEN '{w}' THEN '{c}'" for w, c in X.CANON.items()) + " ELSE t END"
 _TOKENS = f"list_sort(list_distinct(list_transform(list_filter(string_split({_KEY}, ' '), lambda t: length(t) >= 3 AND t NOT IN ({_STOP})), lambda t: {_CANON})))"
 
 
@@ -73,26 +73,28 @@ def embedding_recipe(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents", "doc_id", "source", "lang", "text").select("doc_id", F.sha2(recipe, 256).alias("sha"))
 
 
-def _heads(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of conversations as candidate senses."""
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "role", "turn", X.significant_tokens(_native_key(F.expr("left(text, 24)"))).alias("tokens"))
+_GLOSS_SQL = "'made ' || p_name || ' kind' || p_size % 3 || ' size' || p_size % 5"
+
+
+def _senses(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as candidate senses: a name is a headword, type and brand are the block it is compared in."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    gloss = F.concat(F.lit("made "), "p_name", F.lit(" kind"), F.col("p_size") % 3, F.lit(" size"), F.col("p_size") % 5)
+    return p.select("p_partkey", "p_name", "p_type", "p_brand", X.significant_tokens(_native_key(gloss)).alias("tokens"))
 
 
 @query(
     "near_dup_pairs",
-    rf"""WITH c AS (SELECT conv_id, role, turn, {_TOKENS.format('left(text, 24)')} AS t FROM conversations),
-        p AS (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, len(list_intersect(a.t, b.t)) AS shared, len(a.t) AS na, len(b.t) AS nb, a.t = b.t AS same
-              FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn)
-        SELECT conv_id, turn_a, turn_b FROM p WHERE least(na, nb) > 0 AND (same OR (shared = least(na, nb) AND shared >= 2) OR shared / (na + nb - shared)::DOUBLE >= 0.75 OR (na = nb AND shared / (na + nb - shared)::DOUBLE >= 0.6))""",
+    rf"""WITH c AS (SELECT *, {_TOKENS.format('(' + _GLOSS_SQL + ')')} AS t FROM part),
+        p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.t, b.t)) AS shared, len(a.t) AS na, len(b.t) AS nb, a.t = b.t AS same
+              FROM c a JOIN c b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
+        SELECT a, b FROM p WHERE least(na, nb) > 0 AND (same OR (shared = least(na, nb) AND shared >= 2) OR shared / (na + nb - shared)::DOUBLE >= 0.75 OR (na = nb AND shared / (na + nb - shared)::DOUBLE >= 0.6))""",
 )
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs inside a block that mean the same. A block is one conversation."""
-    a, b = _heads(spark, sf).alias("a"), _heads(spark, sf).alias("b")
-    pairs = a.join(b, F.expr("a.conv_id = b.conv_id and a.turn < b.turn"))
-    return pairs.where(X.same_meaning(F.col("a.tokens"), F.col("b.tokens"))).select(
-        F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b")
-    )
+    """Pairs inside a block that mean the same."""
+    x, y = _senses(spark, sf).alias("x"), _senses(spark, sf).alias("y")
+    pairs = x.join(y, F.expr("x.p_name = y.p_name and x.p_type = y.p_type and x.p_brand = y.p_brand and x.p_partkey < y.p_partkey"))
+    return pairs.where(X.same_meaning(F.col("x.tokens"), F.col("y.tokens"))).select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"))
 
 
 @query("identity_clusters")
