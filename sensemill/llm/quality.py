@@ -208,16 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Additiv
     return fit(got[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), got["quality"].to_numpy(float))
 
 
-def scored(docs: DataFrame, model: Additive, *columns: str) -> DataFrame:
-    """The given columns of docs and a column score, from the column text."""
+def scored(docs: DataFrame, model: Additive, *columns: str, score: str = "score") -> DataFrame:
+    """The given columns of docs and the score of the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [model.score(features(data, offsets)) for _, data, offsets in K.pieces(batch.column("__text"))]
             if s:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.concatenate(s))], [*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.concatenate(s))], [*columns, score])
 
-    schema = docs.select(*columns).schema.add("score", "double")
+    schema = docs.select(*columns).schema.add(score, "double")
     return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
@@ -235,6 +235,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with their columns."""
-    columns = [c for c in docs.columns if c != "score"]
-    kept = scored(docs, train(docs, labels), *columns).where(F.col("score") >= KEEP_FROM).drop("score")
-    return kept if len(columns) == len(docs.columns) else kept.select(*columns)
+    return scored(docs, train(docs, labels), *docs.columns, score="__score").where(F.col("__score") >= KEEP_FROM).drop("__score")

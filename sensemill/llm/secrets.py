@@ -126,7 +126,7 @@ def without_secrets(docs: DataFrame, owner: str = "source", repository: str = "d
     """docs with each secret in text replaced by <kind>; spans that overlap give way to one mark, that
     of the first. Other rows and columns stay as they are."""
     found = _candidates(docs, owner, repository, *docs.columns)
-    judged = _judged(found)
+    judged = _judged(found).select("__row", F.col("spans").alias("__marks"))
     names = F.array(*[F.lit(f"<{k[0]}>") for k in KINDS])
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -137,7 +137,7 @@ def without_secrets(docs: DataFrame, owner: str = "source", repository: str = "d
         )
 
     rest = F.length("text")
-    clean = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, rest)))
+    clean = F.aggregate("__marks", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, rest)))
     plain = found.where(F.size("__spans") == 0).select(*docs.columns)
-    marked = found.where(F.size("__spans") > 0).join(judged, "__row", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
+    marked = found.where(F.size("__spans") > 0).join(judged, "__row", "left").withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(clean))
     return plain.unionByName(marked.select(*docs.columns))
