@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD, written
 
-HASH_BITS, LEVEL_BITS = 60, 15
+HASH_BITS, LEVEL_BITS = 60, 10
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 #: A table of so few sources is sent to every executor; a larger one is joined by shuffle.
 MOST_SOURCES_SENT = 100_000
