@@ -76,3 +76,37 @@ def test_fold_equals_steps(spark):
         want[k] = (s, d)
     for r in folded(spark.createDataFrame(rows, "k int, at double, seq int, grade int"), "k").collect():
         assert r["stability"] == pytest.approx(want[r["k"]][0], rel=1e-9) and r["difficulty"] == pytest.approx(want[r["k"]][1], rel=1e-9)
+
+
+def test_embeddings(spark):
+    import numpy as np
+
+    from sensemill.operators import embed
+
+    recipes = spark.createDataFrame([("a", "x y"), ("b", "z"), ("c", "bad")], "key string, text string")
+    empty = spark.createDataFrame([], "key string, sha string, embedding array<float>, version string")
+
+    def encoder(texts):
+        if "bad" in texts:
+            raise RuntimeError
+        return embed.hashing_encoder(8)(texts)
+
+    out = embed.generate(embed.pending(recipes, empty), encoder, 8, batch=1)
+    got = {r["key"]: r for r in out.collect()}
+    assert got["c"]["failed"] and abs(np.linalg.norm(got["a"]["embedding"]) - 1) < 1e-6
+    store = embed.upserted(empty, out)
+    assert [r["key"] for r in embed.pending(recipes, store).collect()] == ["c"]
+    assert embed.problems(store, 8).count() == 0 and embed.problems(store, 9).count() == 2
+
+
+def test_normalise(spark, tmp_path):
+    import json
+
+    from sensemill.operators import normalise
+    from sensemill.sources.adapters import dictionary_dump
+
+    entry = {"word": "Bank", "lang": "English", "pos": "noun", "senses": [{"glosses": ["(pl: brzeg) edge of a river 1."]}, {"glosses": ["place for money"]}], "translations": [{"code": "pl", "word": "bank"}]}
+    (tmp_path / "d.jsonl").write_text(json.dumps(entry))
+    rows = normalise.candidates(dictionary_dump(spark, str(tmp_path / "d.jsonl"))).orderBy("n").collect()
+    assert [(r["key"], r["gloss"]) for r in rows] == [("bank", "edge of a river"), ("bank", "place for money")]
+    assert rows[0]["translations"] == ["bank", "brzeg"] and rows[1]["tokens"] == ["money", "place"]
