@@ -63,8 +63,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_BLANKS = r"[^\x20\x09-\x0D]+"
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _secret_spans() -> str:
+    """One row for each match of each kind, with its place: the pieces before it and the matches before it add up."""
+    keys = "|".join(_any_case(w).replace("]_", "]_?") for w in ("password", "passwd", "secret", "token", "api_key"))
+    kinds = [
+        (0, f"({keys})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 8, "true"),
+        (1, "(AKIA[A-Z0-9]+)", 1, 16, "true"),
+        (2, "([0-9a-f]+)", 1, 32, "true"),
+        (3, "(gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})", 1, 1, "true"),
+        (4, "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1, "true"),
+        (5, "([A-Za-z0-9+/_=-]+)", 1, 32, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')"),
+    ]
+    one = """SELECT doc_id, source, {0} AS kind, a, a + length(m) AS b, v FROM (
+        SELECT doc_id, source, m[i] AS m, v[i] AS v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS a
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+          SELECT doc_id, source, regexp_extract_all(t, '{1}') AS m, regexp_extract_all(t, '{1}', {2}) AS v, string_split_regex(t, '{1}') AS p FROM d WHERE regexp_matches(t, '{1}'))))
+      WHERE length(v) >= {3} AND {4}"""
+    return " UNION ALL ".join(one.format(*k) for k in kinds)
+
+
 #: DuckDB SQL for those queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op3_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANKS}') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        x AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) < doc_id AS again FROM x),
+        c AS (SELECT p.doc_id, p.i, word, max(coalesce(again, false)::INT) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+              FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i),
+        g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
+    "op5_near_duplicates": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS node, regexp_extract_all(text, '{_BLANKS}') AS w FROM documents),
+        s AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i+4], ' '))) END) AS h FROM d WHERE doc_id = node),
+        n AS (SELECT node, count(*) AS n FROM s GROUP BY node),
+        k AS (SELECT a.node AS u, b.node AS v, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.node < b.node GROUP BY ALL),
+        e AS (SELECT u, v FROM k JOIN n x ON x.node = u JOIN n y ON y.node = v WHERE k >= 0.8 * (x.n + y.n - k)),
+        l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        r(node, root) AS (SELECT u, u FROM l UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.node),
+        c AS (SELECT node, min(root) AS root FROM r GROUP BY node), g AS (SELECT u AS node, count(*) AS n FROM l GROUP BY u)
+        SELECT doc_id, coalesce(root, d.node) AS class_id, d.node AS copy_of, coalesce(g.n, 0) AS n_links FROM d LEFT JOIN c ON c.node = d.node LEFT JOIN g ON g.node = d.node""",
+    "op6_secret_scan": rf"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), c AS ({_secret_spans()}),
+        k AS (SELECT * FROM c x WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM c y WHERE y.doc_id = x.doc_id AND y.kind < 3 AND y.a < x.b AND x.a < y.b)),
+        o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM k GROUP BY v),
+        j AS (SELECT doc_id, kind, a, b, owners, ['assign','access','hex','provider','pem','opaque'][kind + 1] || ':' || a || ':' || b AS s FROM k JOIN o USING (v) WHERE kind < 5 OR owners <= 2)
+        SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+          sha256(coalesce(string_agg(s, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, kind), '') AS spans,
+          count(*) FILTER (WHERE owners = 1) AS n_live, count(*) FILTER (WHERE owners >= 3) AS n_example
+        FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id""",
     "op9_warc_round_trip": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
