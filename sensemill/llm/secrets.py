@@ -27,6 +27,8 @@ BASE = ("assign", "access", "hex")
 #: An opaque value is added if at most this many owners hold it; from EXAMPLE owners on a value is an example.
 FEW_OWNERS, EXAMPLE = 2, 3
 
+#: Spans are gathered in chunks, as adding to an array copies it: a text with n matches costs n * _CHUNK + (n / _CHUNK)**2.
+_CHUNK = 64
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -40,7 +42,7 @@ def _spans(text: Column, no: int) -> Column:
     )
 
     def placed(f: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+        none = F.array().cast(_SPAN)
 
         def step(acc: Column, i: Column) -> Column:
             begin = acc["at"] + F.length(F.get(f["between"], i))
@@ -48,7 +50,14 @@ def _spans(text: Column, no: int) -> Column:
             span = F.struct(F.lit(no).alias("kind"), begin.alias("start"), end.alias("end"), F.get(f["value"], i).alias("value"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(f["match"]) - 1), start, step, lambda acc: acc["out"])
+        def chunk(acc: Column, c: Column) -> Column:
+            some = F.sequence(c * _CHUNK, F.least(c * _CHUNK + (_CHUNK - 1), F.size(f["match"]) - 1))
+            begin = F.struct(acc["at"].alias("at"), none.alias("out"))
+            return F.aggregate(some, begin, step, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        chunks = F.sequence(F.lit(0), ((F.size(f["match"]) - 1) / _CHUNK).cast("int"))
+        return F.aggregate(chunks, start, chunk, lambda acc: F.flatten(acc["out"]))
 
     spans = F.get(F.transform(F.array(found), placed), F.lit(0))
     spans = F.filter(spans, lambda s: F.length(s["value"]) >= least)
