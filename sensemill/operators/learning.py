@@ -111,3 +111,12 @@ def classified_assignments(requested: DataFrame, known: DataFrame, held: DataFra
 
 def counted(df: DataFrame, *key: str, **conditions: Column) -> DataFrame:
     return df.groupBy(*key).agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
+
+
+def patched(assignments: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """Assignments after patches (key, state, priority_override, reset): only sent fields change; a reset without a state
+    gives ASSIGNED, and the caller drops the scheduler's state with left_anti on the reset keys."""
+    p = patches.select(key, F.col("state").alias("__state"), F.col("priority_override").alias("__priority"), F.col("reset").alias("__reset"))
+    joined = assignments.join(p, key, "left")
+    state = F.coalesce("__state", F.when(F.col("__reset"), "ASSIGNED"), "state")
+    return joined.withColumn("state", state).withColumn("priority_override", F.coalesce("__priority", "priority_override")).select(*assignments.columns)

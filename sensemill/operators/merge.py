@@ -48,3 +48,15 @@ def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
         fs.rename(target, old)
     fs.rename(new, target)
     fs.delete(old, True)
+
+
+def without_implied_tops(links: DataFrame) -> DataFrame:
+    """Category links (sense_id, top, sub) less those to a top class of which the sense has a sub class (sub is '' for a top)."""
+    subs = links.where("sub <> ''").select("sense_id", "top")
+    return links.where("sub <> ''").unionByName(links.where("sub = ''").join(subs, ["sense_id", "top"], "left_anti").select(*links.columns))
+
+
+def with_current(root: DataFrame, history: DataFrame, key: str, version: str, *columns: str) -> DataFrame:
+    """root with the columns of the current version in place of its own; keys without one get nulls."""
+    current = history.where(F.col("version") == version).select(key, *columns)
+    return root.drop(*columns).join(current, key, "left")

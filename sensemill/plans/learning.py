@@ -181,3 +181,29 @@ def rate_limit_windows(spark: SparkSession, sf: str) -> DataFrame:
 def profile_order(spark: SparkSession, sf: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last"), "event_type")).cast("long")
     return _state(spark, sf).select("user_id", "event_type", place.alias("place"))
+
+
+@query(
+    "student_vocabulary",
+    """SELECT l_suppkey, l_partkey, p_name, max(l_shipdate) AS assigned_at, row_number() OVER (PARTITION BY l_suppkey ORDER BY max(l_shipdate) DESC, p_name, l_partkey) AS place
+       FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, l_partkey, p_name""",
+)
+def student_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Each student's items, the latest assigned first."""
+    own = table(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_shipdate").groupBy("l_suppkey", "l_partkey").agg(F.max("l_shipdate").alias("assigned_at"))
+    named = own.join(table(spark, sf, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("assigned_at"), "p_name", "l_partkey")).cast("long")
+    return named.select("l_suppkey", "l_partkey", "p_name", "assigned_at", place.alias("place"))
+
+
+@query(
+    "export_rows",
+    """SELECT p_partkey, p_name, list_aggregate(list_transform(list(l_linenumber ORDER BY l_linenumber), lambda x: x::VARCHAR), 'string_agg', ' | ') AS positions
+       FROM part JOIN (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem) ON l_partkey = p_partkey GROUP BY p_partkey, p_name ORDER BY p_name, p_partkey LIMIT 50000""",
+)
+def export_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of an export in order, multi-values joined; 50,000 is the most that an export holds."""
+    lines = table(spark, sf, "lineitem", "l_partkey", "l_linenumber").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
+    p = table(spark, sf, "part", "p_partkey", "p_name").join(lines, F.col("l_partkey") == F.col("p_partkey"))
+    out = p.select("p_partkey", "p_name", F.array_join(F.transform("n", lambda x: x.cast("string")), " | ").alias("positions"))
+    return out.orderBy("p_name", "p_partkey").limit(50_000)
