@@ -109,8 +109,8 @@ ORACLE: dict[str, str] = {
         e AS (SELECT u, v FROM k JOIN n x ON x.node = u JOIN n y ON y.node = v WHERE k >= 0.8 * (x.n + y.n - k)),
         l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
         r(node, root) AS (SELECT u, u FROM l UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.node),
-        c AS (SELECT node, min(root) AS root FROM r GROUP BY node), g AS (SELECT u AS node, count(*) AS n FROM l GROUP BY u)
-        SELECT doc_id, coalesce(root, d.node) AS class_id, d.node AS copy_of, coalesce(g.n, 0) AS n_links FROM d LEFT JOIN c ON c.node = d.node LEFT JOIN g ON g.node = d.node""",
+        c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+        SELECT doc_id, coalesce(root, d.node) AS class_id, d.node AS copy_of FROM d LEFT JOIN c ON c.node = d.node""",
     "op6_secret_scan": rf"""
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), c AS ({_secret_spans()}),
         k AS (SELECT * FROM c x WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM c y WHERE y.doc_id = x.doc_id AND y.kind < 3 AND y.a < x.b AND x.a < y.b)),
