@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensemill.llm.common import table, written
+from sensemill.llm.common import drop, scratch, table, written
 from sensemill.llm.decontaminate import without_leaks
 from sensemill.llm.mixing import mix
 from sensemill.llm.near_dup import keep_one
@@ -60,7 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents. A stage's own tables go once it is written, and its input with the next."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        keep: list[str] = []
+        with scratch(spark, keep):
+            docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(path)
+        if before is not None:
+            drop(spark, before)
+        before = path
     return docs

@@ -1,13 +1,20 @@
 """The pipeline's stages and the queries of this subpackage, over whole small tables."""
 
+import os
+
 import pytest
 
 import corpus_pipeline
 from sensemill.llm import queries as Q
+from sensemill.llm.common import shared_dir
 
 from ..conftest import SF, rows_of
 
 
+def _tables(spark):
+    return os.listdir(shared_dir(spark).removeprefix("file:"))
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
@@ -18,7 +25,9 @@ def test_stages(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
         n = left
+    before = set(_tables(spark))
     assert corpus_pipeline.run(spark, SF).count() == n
+    assert [p.split("-")[0] for p in set(_tables(spark)) - before] == ["pipeline"]
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
