@@ -60,10 +60,10 @@ def test_near_duplicates(docs, none, rows):
     assert near_dup.near_duplicates(none).count() == 0 and near_dup.keep_one(none).count() == 0
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_large_bucket(spark, monkeypatch, small):
-    """A group of near copies larger than SMALL, and members that only resemble each other."""
-    monkeypatch.setattr(near_dup, "SMALL", small)
+@pytest.mark.parametrize("size", [2048, 20])
+def test_large_bucket(spark, monkeypatch, size):
+    """A group of near copies larger than a bucket, and members that only resemble each other."""
+    monkeypatch.setattr(near_dup, "BUCKET", size)
     base = [f"w{i}" for i in range(200)]
     out = [(0, " ".join(base))]
     for i in range(1, 120):
