@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in Arrow batches of at most BATCH_BYTES, so that 10,000 long texts do not meet in one batch.
+
+    A session that sets another limit than Spark's own keeps it.
+    """
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

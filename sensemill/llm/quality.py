@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .common import map_arrow
 
 #: At most so many labelled rows, those with the smallest hash of their doc_id, fit the model. On the driver they are about 4 MB.
 TRAIN_ROWS = 20_000
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Additiv
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(known), "doc_id").mapInArrow(_numbers, "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES))
+    rows = map_arrow(text.join(F.broadcast(known), "doc_id"), _numbers, "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES))
     got = rows.toPandas().sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")  # at most `most` rows
     return fit(got[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), got["quality"].to_numpy(float))
 
@@ -218,7 +219,7 @@ def scored(docs: DataFrame, model: Additive, *columns: str, score: str = "score"
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.concatenate(s))], [*columns, score])
 
     schema = docs.select(*columns).schema.add(score, "double")
-    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*columns, F.col("text").cast("string").alias("__text")), run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def runs(words: Words, n: int, short: bool = False, salt: int = 0) -> tuple[np.n
     return mix((sums[stop] - sums[at]) * down[at]), at
 
 
-def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of whole texts of about `most` bytes: rows, bytes, offsets. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
