@@ -7,9 +7,9 @@ shingle stops once its next arrival comes later than every register's holder, so
 of a long text are drawn once. Equal registers estimate the probability Jaccard similarity.
 
 Bands of registers meet in buckets. Every member of a bucket is compared with the bucket's
-smallest member, and then, round by round, with the most alike members of other classes; exact
-comparison of the shingle sets decides. Equal texts meet by digest before that, so
-large groups of copies cost one row each.
+smallest member, and then with every member of another class whose registers agree often enough;
+exact comparison of the shingle sets decides. Large buckets are dealt to blocks, and every block
+meets every other. Equal texts meet by digest before that, so large groups of copies cost one row each.
 """
 
 from __future__ import annotations
@@ -27,15 +27,11 @@ from .common import map_arrow, written
 from .graph import components
 
 SHINGLE, REGISTERS, ROWS, SIMILAR = 5, 80, 4, 0.8
-#: Buckets up to this size are compared inside one task, which takes about BUCKET * BUCKET * registers byte
-#: comparisons and a few MB. Larger ones are split by FINER further registers, in two ways, and again up to
-#: LEVELS times; one that is still larger holds texts that agree in some 28 registers and compares them with
-#: its first member.
-BUCKET, FINER, LEVELS = 2048, 3, 8
-#: In each round a text is verified against so many most alike members of other classes.
-NEAREST = 3
-#: Of these, pairs whose registers agree less often than the wanted similarity less this margin (four
-#: standard deviations of the estimate) aren't compared.
+#: A task compares members of one bucket up to this load; a larger bucket is dealt to blocks of half of it, and
+#: every pair of blocks is a task. A text's load is 1, and one more for each LOAD shingles.
+BUCKET, LOAD = 2048, 512
+#: Pairs whose registers agree less often than the wanted similarity less this margin (four standard deviations
+#: of the estimate) aren't compared.
 MARGIN = 0.2
 
 
@@ -65,16 +61,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
     return held.reshape(texts, m)
 
 
-def band_keys(held: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key for each text and band."""
-    texts, m = held.shape
-    out = np.tile(np.arange(m // rows, dtype=K.U) * K.U(K._STEP), (texts, 1))
-    for r in range(rows):
-        out = K.mix(out ^ held[:, r::rows][:, : m // rows] * K.U(K._BASE))
-    return out
-
-
-def sketcher(shingle: int, m: int, rows: int):
+def sketcher(shingle: int, m: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in K.pieces(batch.column("text")):
@@ -83,18 +70,17 @@ def sketcher(shingle: int, m: int, rows: int):
                 texts = len(offsets) - 1
                 text, s, w = weighted(words.text_of_word()[at], run >> K.U(32))
                 held = signatures(text, s, w, texts, m)
-                keys = band_keys(held, rows)
                 n = np.bincount(text, minlength=texts)
-                per = np.where(n > 0, m // rows, 0)
+                ends = np.r_[0, np.cumsum(np.where(n > 0, 2 * m, 0))].astype(np.int32)
+                registers = (held & K.U(0xFFFF)).astype("<u2")[n > 0]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(part.start, texts),
                         batch.column("digest").slice(part.start, texts),
-                        K.lists(keys[n > 0].ravel().view(np.int64), np.r_[0, np.cumsum(per)], pa.int64()),
-                        K.lists((held & K.U(127)).astype(np.int8)[n > 0].ravel(), np.r_[0, np.cumsum(np.where(n > 0, m, 0))], pa.int8()),
+                        pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(ends), pa.py_buffer(registers.tobytes())]),
                         K.lists(s.astype(np.uint32).view(np.int32), np.r_[0, np.cumsum(n)], pa.int32()),
                     ],
-                    ["doc_id", "digest", "bands", "registers", "shingles"],
+                    ["doc_id", "digest", "registers", "shingles"],
                 )
 
     return sketch
@@ -113,60 +99,106 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     )
 
 
-def _nearest(least: int):
-    """Of one bucket: each member with its NEAREST most alike members of other classes, if registers agree `least` times."""
-
-    def run(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by("node").combine_chunks()
-        node, root = bucket.column("node").to_numpy(), bucket.column("root").to_numpy()
-        r = bucket.column("registers").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        u, v = [], []
-        for a in range(0, len(node), 64):
-            agree = np.zeros((len(r[a : a + 64]), len(node)), np.int16)
-            for column in range(r.shape[1]):
-                agree += r[a : a + 64, column, None] == r[None, :, column]
-            agree[root[a : a + 64, None] == root[None, :]] = -1
-            k = min(NEAREST, len(node))
-            best = np.argsort(-agree, axis=1, kind="stable")[:, :k]
-            x, y = np.nonzero(np.take_along_axis(agree, best, 1) >= least)
-            u.append(node[a + x])
-            v.append(node[best[x, y]])
-        u, v = np.concatenate(u), np.concatenate(v)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+def _candidates(t: pa.Table, width: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the members of one or two blocks of a bucket: row numbers (i, j) of all pairs of different classes whose
+    registers agree `least` times and that share no earlier bucket. i is in order.
+
+    Side 0 meets side 1; members of a block that meets itself have side 2.
+    """
+    side, root = t.column("side").to_numpy(), t.column("root").to_numpy()
+    r = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(len(side), -1)
+    columns, no = np.ascontiguousarray(r.T), t.column("no")[0].as_py()
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for a in range(0, len(left), 64):
+        x = left[a : a + 64]
+        agree = np.zeros((len(x), len(right)), np.int16)
+        for c in columns:
+            agree += c[x, None] == c[None, right]
+        fits = (agree >= least) & (root[x, None] != root[None, right])
+        if side[x[0]] == 2:
+            fits &= x[:, None] < right[None, :]
+        i, j = np.nonzero(fits)
+        i, j = x[i], right[j]
+        for band in range(no):
+            at = slice(band * width, (band + 1) * width)
+            new = (r[i, at] != r[j, at]).any(1)
+            i, j = i[new], j[new]
+        if len(i):
+            yield i, j
+
+
+def _touched(width: int, least: int):
+    """Members that have a candidate."""
+
+    def run(t: pa.Table) -> pa.Table:
+        some = np.zeros(t.num_rows, bool)
+        for i, j in _candidates(t, width, least):
+            some[i] = some[j] = True
+        return t.select(["g", "side", "no", "node", "root"]).filter(pa.array(some))
 
     return run
 
 
-def _open_buckets(rows: DataFrame) -> DataFrame:
-    """Members (key, node, root, registers) of buckets that hold more than one class, with the bucket's size n."""
-    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    return rows.join(open_.select("key", "n"), "key")
+def _links(width: int, least: int, similar: float):
+    """Links (u, v) of members whose shingle sets are similar, without those that earlier ones of the task imply."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, sets = t.column("node").to_numpy(), t.column("shingles").combine_chunks()
+        n = sets.value_lengths().to_numpy()
+        first = np.r_[0, np.cumsum(n)]
+        label = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+        names, shingle = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        mine, out = np.zeros(len(names), bool), []
+        for i, j in _candidates(t, width, least):
+            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            for u, others in zip(i[starts], np.split(j, starts[1:])):
+                others = others[label[others] != label[u]]
+                if not len(others):
+                    continue
+                mine[shingle[first[u] : first[u + 1]]] = True
+                size = n[others]
+                begin = np.r_[0, np.cumsum(size)[:-1]]
+                both = np.add.reduceat(mine[shingle[np.repeat(first[others] - begin, size) + np.arange(size.sum())]].astype(np.int64), begin)
+                mine[shingle[first[u] : first[u + 1]]] = False
+                for v in others[both >= similar * (n[u] + size - both)]:
+                    if label[v] != label[u]:
+                        out.append((node[u], node[v]))
+                        label[label == label[v]] = label[u]
+        u, v = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return run
 
 
-def _alike(placed: DataFrame, registers: int, least: int) -> DataFrame:
-    """Pairs (u, v) of open buckets that are worth verifying: for each member the most alike ones of other classes.
+def _meetings(rows: DataFrame) -> DataFrame:
+    """(g, side, no, node, root) of the members (key, no, node, root, load) of buckets that hold more than one class.
 
-    A pair of similarity 0.8 that shares a bucket over BUCKET shares one of its two finer ones with
-    probability 0.76, and such a pair shares eight of twenty buckets on average.
+    Each group g is a bucket, or two blocks of it. Blocks are dealt by hash; a class of more than a block has
+    blocks of its own, which do not meet each other.
     """
-    schema = "u long, v long"
-
-    def within(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col("n") <= BUCKET).drop("n").groupBy("key").applyInArrow(_nearest(least), schema)
-
-    out, large = within(placed), placed.where(F.col("n") > BUCKET)
-    for level in range(LEVELS):
-        if large.isEmpty():
-            return out
-        finer = []
-        for way in (2 * level, 2 * level + 1):
-            picks = [F.get("registers", F.lit((way * 17 + i * 29 + 5) % registers)) for i in range(FINER)]
-            finer.append(F.xxhash64("key", F.lit(way), *picks))
-        rows, _ = written(_open_buckets(large.select(F.explode(F.array(*finer)).alias("key"), "node", "root", "registers")), "finer")
-        out, large = out.unionByName(within(rows)), rows.where(F.col("n") > BUCKET)
-    first = large.groupBy("key").agg(F.min(F.struct("node", "root")).alias("c")).select("key", F.col("c.node").alias("u"), F.col("c.root").alias("of"))
-    rest = large.join(first, "key").where("root <> of").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
-    return out.unionByName(rest)
+    half = F.lit(max(BUCKET // 2, 1))
+    classes = rows.groupBy("key", "root").agg(F.sum("load").alias("load"))
+    large = F.col("load") > half
+    bucket = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("load").alias("all"), F.sum(F.when(~large, F.col("load"))).alias("rest")).where("classes > 1")
+    split = F.col("all") > BUCKET
+    dealt = classes.join(bucket, "key").select(
+        "key", "root",
+        F.when(split & large, F.col("root")).alias("own"),
+        F.when(~split, 1).when(large, F.ceil(F.col("load") / half)).otherwise(F.ceil(F.col("rest") / half)).alias("parts"),
+    )
+    block = F.xxhash64("own", "part")
+    blocks = dealt.select("key", "own", "parts").distinct().select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("key", "own", block.alias("block"))
+    a, b = (blocks.select("key", F.col("own").alias(f"own_{x}"), F.col("block").alias(x)) for x in "ab")
+    sides = (
+        a.join(b, "key").where("a < b and not (own_a <=> own_b and own_a is not null) or a = b and own_a is null")
+        .withColumn("g", F.xxhash64("key", "a", "b"))
+        .select("key", "g", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(2).alias("side")))).otherwise(
+            F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))).alias("s"))
+        .select("key", "g", "s.block", "s.side")
+    )
+    placed = rows.join(dealt, ["key", "root"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return placed.select("key", block.alias("block"), "no", "node", "root").join(sides, ["key", "block"]).select("g", "side", "no", "node", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
@@ -183,8 +215,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, registers: int = RE
     sketched, _ = written(
         map_arrow(
             rows_in.where("text is not null and doc_id is not null").withColumn("digest", F.md5("text")),
-            sketcher(shingle, registers, rows),
-            "doc_id long, digest string, bands array<long>, registers array<byte>, shingles array<int>",
+            sketcher(shingle, registers),
+            "doc_id long, digest string, registers binary, shingles array<int>",
         ),
         "sketches",
     )
@@ -196,10 +228,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, registers: int = RE
     sets = sketched.where(F.size("shingles") > 0).select(F.col("doc_id").alias("node"), "shingles")
     first_copy = member.where("doc_id = node").select("doc_id", "digest")
     kept, _ = written(
-        sketched.select("doc_id", "digest", "bands", "registers").join(first_copy, ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "bands", "registers").dropDuplicates(["node", "bands"]),
+        sketched.where(F.size("shingles") > 0).join(first_copy, ["doc_id", "digest"])
+        .select(F.col("doc_id").alias("node"), "registers", (F.lit(1) + F.floor(F.size("shingles") / LOAD)).alias("load"))
+        .dropDuplicates(["node", "registers"]),
         "nodes",
-    )
-    band = kept.select("node", F.posexplode("bands").alias("no", "key")).select(F.xxhash64("no", "key").alias("key"), "node")
+    )
+    # Registers are two bytes each, and those of a band stand together.
+    band = kept.select("node", "load", F.expr(f"inline(transform(sequence(0, {registers // rows - 1}), i -> struct(i as no, xxhash64(i, substring(registers, i * {2 * rows} + 1, {2 * rows})) as key)))"))
     bucket = band.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     star, _ = written(
         band.join(bucket.select("key", "centre"), "key").where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "stars"
@@ -207,20 +242,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, registers: int = RE
     found, _ = written(_verified(star, sets, similar), "links")
     same = member.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     root = components(found)
-    # Rounds: members of open buckets against the most alike ones of other classes. Every class with a link that
-    # is found joins another, so the number of classes halves at least; the rounds end when none joins.
-    members, _ = written(_open_buckets(band.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")).join(kept.select("node", "registers"), "node")).drop("n"), "open")
-    own, _ = written(sets.join(members.select("node").distinct(), "node", "left_semi"), "sets")
-    tried = star
-    while True:
-        placed = members.drop("root").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "registers")
-        pairs, _ = written(_alike(_open_buckets(placed), registers, int((similar - MARGIN) * registers)).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-        more, _ = written(_verified(pairs, own, similar), "links")
-        if more.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-        root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(same))
+    # Members of buckets with more than one class meet twice: by registers, then those with a candidate by their sets.
+    members = band.join(root, "node", "left").select("key", "no", "node", F.coalesce("root", "node").alias("root"), "load")
+    met, least = kept.select("node", "registers"), int((similar - MARGIN) * registers)
+    some, _ = written(
+        _meetings(members).join(met, "node").groupBy("g").applyInArrow(_touched(rows, least), "g long, side int, no int, node long, root long"), "some"
+    )
+    more, _ = written(
+        some.join(met, "node").join(sets, "node").groupBy("g").applyInArrow(_links(rows, least, similar), "u long, v long"), "links"
+    )
+    root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).unionByName(same))
     of_doc = (
         member.groupBy("doc_id").agg(F.min("node").alias("node"))
         .join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")

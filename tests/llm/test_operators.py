@@ -76,6 +76,17 @@ def test_large_bucket(spark, monkeypatch, size):
     assert {got[i] for i in range(120)} == {0} and got[200] == got[201] == 200
 
 
+@pytest.mark.parametrize("size", [2048])
+def test_pairs_among_look_alikes(spark, monkeypatch, size):
+    """Pairs just over the threshold in one group of texts just under it: no look-alike hides them, nor does a split."""
+    monkeypatch.setattr(near_dup, "BUCKET", size)
+    shared, out = [f"w{i}" for i in range(356)], []
+    for i in range(120):
+        out.append((i, " ".join(shared + [f"p{i // 2}_{k}" for k in range(8)] + [f"own{i}_{k}" for k in range(38)])))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 def test_probability_jaccard():
     import numpy as np
 
