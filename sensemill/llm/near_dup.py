@@ -1,10 +1,10 @@
 """MinHash near-duplicate detection with ProbMinHash signatures.
 
-Each text's shingles (runs of five words) carry a weight that grows with the logarithm of how
-often the text repeats them. A shingle is a Poisson process whose rate is its weight: its
-arrivals fall on random registers, and a register keeps the shingle that arrived first. A
-shingle stops once its next arrival comes later than every register's holder, so most shingles
-of a long text are drawn once. Equal registers estimate the probability Jaccard similarity.
+Each text's distinct shingles (runs of five words) carry equal weights, since links are decided by
+plain sets. A shingle is a Poisson process whose rate is its weight: its arrivals fall on random
+registers, and a register keeps the shingle that arrived first. A shingle stops once its next arrival comes later than every register's holder, so most shingles
+of a long text are drawn once. Equal registers estimate the probability Jaccard similarity,
+which for equal weights is the sets' Jaccard similarity.
 
 Bands of registers meet in buckets. Every member of a bucket is compared with the bucket's
 smallest member, and then with every member of another class whose registers agree often enough;
@@ -35,13 +35,10 @@ BUCKET, LOAD = 2048, 512
 MARGIN = 0.2
 
 
-def weighted(text: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, shingle) pairs in order, with the weight 1 + log2 of their number."""
-    key = np.sort((text.astype(K.U) << K.U(32)) | shingle)
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[at, len(key)])
-    key = key[at]
-    return (key >> K.U(32)).astype(np.int64), key & K.U(0xFFFFFFFF), 1 + np.log2(np.maximum(n, 1))
+def distinct(text: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, shingle) pairs in order."""
+    key = np.unique((text.astype(K.U) << K.U(32)) | shingle)
+    return (key >> K.U(32)).astype(np.int64), key & K.U(0xFFFFFFFF)
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, m: int) -> np.ndarray:
@@ -68,8 +65,8 @@ def sketcher(shingle: int, m: int):
                 words = K.split(data, offsets)
                 run, at = K.runs(words, shingle, short=True)
                 texts = len(offsets) - 1
-                text, s, w = weighted(words.text_of_word()[at], run >> K.U(32))
-                held = signatures(text, s, w, texts, m)
+                text, s = distinct(words.text_of_word()[at], run >> K.U(32))
+                held = signatures(text, s, np.ones(len(s)), texts, m)
                 n = np.bincount(text, minlength=texts)
                 ends = np.r_[0, np.cumsum(np.where(n > 0, 2 * m, 0))].astype(np.int32)
                 registers = (held & K.U(0xFFFF)).astype("<u2")[n > 0]

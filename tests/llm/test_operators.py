@@ -87,6 +87,21 @@ def test_pairs_among_look_alikes(spark, monkeypatch, size):
     assert got == {i: i - i % 2 for i in range(120)}
 
 
+def test_repeats_do_not_part_equal_sets():
+    """Registers agree as the sets of shingles do, however often one text repeats some of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(1004)]
+    more = base[:100] + base[100:404] * 200 + base[404:]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "digest": ["a", "b"], "text": [" ".join(base), " ".join(more)]})
+    out = pa.Table.from_batches(list(near_dup.sketcher(5, 80)(iter([batch]))))
+    a, b = (set(x) for x in out.column("shingles").to_pylist())
+    assert len(a & b) > 0.99 * len(a | b)
+    r, s = (np.frombuffer(x, "<u2") for x in out.column("registers").to_pylist())
+    assert (r == s).mean() > 0.9
+
+
 def test_probability_jaccard():
     import numpy as np
 
