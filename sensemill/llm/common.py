@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +36,15 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (local tests), a temporary folder is made and becomes the
-    session's checkpoint folder.
+    Where it is unset, a local session gets a temporary folder, which becomes its checkpoint folder;
+    on a cluster, whose executors would each write to their own disk, that is an error.
     """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sensemill-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -72,6 +76,21 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after which only those tables of its own are left that its result still reads."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        keep: list[str] = []
+        with scratch(spark, keep):
+            out = query(spark, sf_dir)
+            read = {name for f in out.inputFiles() for name in f.split("/")}
+            keep += [p for p in _made.get() or [] if p.rsplit("/", 1)[-1] in read]
+        return out
+
+    return run
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes what written() left, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+#: Bytes, or words, that are hashed at once.
+CHUNK = 1 << 18
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -42,7 +44,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         up[1:], down[1:] = U(base), U(pow(base, -1, 1 << 64))
         got = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 1 << 21:
+        if size > 1 << 21:  # only span_hash of a very long text asks for so many
             return got
         _powers[base] = got
     return got
@@ -87,25 +89,39 @@ def word_hash(word: str, lower: bool = False) -> int:
 
 
 def split(data: np.ndarray, offsets: np.ndarray, table=PLAIN) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i+1]]."""
+    """Words of the texts data[offsets[i]:offsets[i+1]].
+
+    The bytes are walked in chunks, and a word that goes on in the next chunk carries its sum along, so what a
+    text takes beyond its words' places and hashes does not grow with its length.
+    """
     is_word, codes = table
-    n = len(data)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return Words(data, z, z, z.astype(U), np.zeros(len(offsets), np.int64))
-    inside = is_word[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | edge[1:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | edge[1:-1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _power(_BASE, n)
-    sums = np.empty(n + 1, U)
-    sums[0] = 0
-    np.cumsum(codes[data] * up[:n], out=sums[1:])
-    value = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+    n, found = len(data), [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, U),)]
+    begun, so_far = -1, 0  # start and sum of the word that is open at a chunk's begin
+    for a in range(0, n, CHUNK):
+        part = data[a : a + CHUNK]
+        inside, size = is_word[part], len(part)
+        edge = np.zeros(size + 1, bool)
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + size, "right")] - a] = True
+        before, after = np.r_[begun >= 0, inside[:-1]], np.r_[inside[1:], True]
+        start = np.flatnonzero(inside & (edge[:-1] | ~before))
+        end = np.flatnonzero(inside & (edge[1:] | ~after)) + 1
+        up, down = _power(_BASE, size)
+        sums = np.empty(size + 1, U)
+        sums[0] = 0
+        np.cumsum(codes[part] * up[:size], out=sums[1:])
+        if begun >= 0:
+            on = 0 if edge[0] or not inside[0] else int(end[0]) if len(end) else size
+            so_far = (so_far + int(sums[on]) * pow(_BASE, a - begun, 1 << 64)) % (1 << 64)
+            if on == size and not edge[size]:
+                continue
+            found.append((np.array([begun]), np.array([a + on]), mix(np.array([(so_far + a + on - begun) % (1 << 64)], U))))
+            begun, end = -1, end[on > 0 :]
+        s, e = start[: len(end)], end
+        found.append((a + s, a + e, mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))))
+        if len(start) > len(end):
+            s = int(start[-1])
+            begun, so_far = a + s, (int(sums[size]) - int(sums[s])) * int(down[s]) % (1 << 64)
+    start, end, value = (np.concatenate(x) for x in zip(*found))
     return Words(data, start, end, value, np.searchsorted(start, offsets))
 
 
@@ -114,20 +130,25 @@ def runs(words: Words, n: int, short: bool = False, salt: int = 0) -> tuple[np.n
 
     short: a text with 1 to n-1 words gives one run of all its words.
     """
-    h = words.hash if not salt else mix(words.hash ^ U(salt))
-    total, counts = len(h), words.counts
-    up, down = _power(_STEP, total)
-    sums = np.empty(total + 1, U)
-    sums[0] = 0
-    np.cumsum(h * up[:total], out=sums[1:])
-    last = np.repeat(words.first[1:], counts)
-    at = np.arange(total)
-    full = at + n <= last
-    stop = np.minimum(at + n, last)
-    if short:
-        full |= (at == np.repeat(words.first[:-1], counts)) & (last - at < n)
-    at, stop = at[full], stop[full]
-    return mix((sums[stop] - sums[at]) * down[at]), at
+    total, found = len(words.hash), [(np.zeros(0, U), np.zeros(0, np.int64))]
+    for a in range(0, total, CHUNK):
+        at = np.arange(a, min(a + CHUNK, total))
+        h = words.hash[a : a + CHUNK + n - 1]
+        if salt:
+            h = mix(h ^ U(salt))
+        up, down = _power(_STEP, len(h))
+        sums = np.empty(len(h) + 1, U)
+        sums[0] = 0
+        np.cumsum(h * up[: len(h)], out=sums[1:])
+        text = np.searchsorted(words.first, at, "right") - 1
+        last = words.first[text + 1]
+        full = at + n <= last
+        if short:
+            full |= (at == words.first[text]) & (last - at < n)
+        at, stop = at[full], np.minimum(at + n, last)[full]
+        found.append((mix((sums[stop - a] - sums[at - a]) * down[at - a]), at))
+    value, at = (np.concatenate(x) for x in zip(*found))
+    return value, at
 
 
 def pieces(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:

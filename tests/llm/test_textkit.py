@@ -53,3 +53,21 @@ def test_slices_and_lower():
 
 def test_mix_is_a_bijection_on_a_sample():
     assert len(np.unique(K.mix(np.arange(100_000, dtype=K.U)))) == 100_000
+
+
+def test_chunks_change_nothing(monkeypatch):
+    """Words and runs that lie over the chunks' borders hash alike."""
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab é\n\t") for _ in range(rng.randint(0, 200))) for _ in range(40)] + ["x" * 3000, "", " ", "ab " * 1000, "y" * 777 + " z"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])]
+    whole = K.split(data, offsets)
+    runs = [K.runs(whole, 5, short=True, salt=3), K.runs(whole, 50)]
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(K, "CHUNK", size)
+        words = K.split(data, offsets)
+        assert all((getattr(words, k) == getattr(whole, k)).all() for k in ("start", "end", "hash", "first"))
+        for a, b in zip(runs, [K.runs(words, 5, short=True, salt=3), K.runs(words, 50)]):
+            assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
