@@ -14,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN, PER_CLASS, TAIL = 16, 32, 32
+#: Adam: step, decay of the mean gradient and of its mean square.
+RATE, MEAN, SQUARE = 0.01, 0.9, 0.99
 F32 = np.float32
 
 
@@ -68,16 +70,20 @@ def streams(ids: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray,
     return size[order], place
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(0.5) * (np.tanh(F32(0.5) * x) + F32(1))
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Turns logits into probabilities over the first axis, in place; returns the log probabilities at own."""
+    x -= x.max(0)
+    lp = x[own]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    x /= total
+    return lp - np.log(total)
 
 
 class Model:
+    """Gates are (1 + tanh) / 2. Outputs are computed with words or classes along the first axis, so that numpy's
+    inner loops run over tokens."""
+
     def __init__(self, flat: np.ndarray, words: int) -> None:
         self.words, self.flat = words, flat.astype(F32)
         self.p = views(self.flat, words)
@@ -89,64 +95,74 @@ class Model:
     def forward(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """inputs, fresh (the text begins here): steps x streams. Returns the states, steps x streams x HIDDEN."""
         out = np.empty((*inputs.shape, HIDDEN), F32)
+        gates, again, on = np.take(self.p["gates"], inputs, axis=0), self.p["again"], (~fresh).astype(F32)[:, :, None]
         for t in range(len(inputs)):
-            h = np.where(fresh[t][:, None], F32(0), h)
-            g, a = self.p["gates"][inputs[t]], h @ self.p["again"]
-            zr = _sigmoid(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+            h = h * on[t]
+            a, g = h @ again, gates[t]
+            zr = np.tanh(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+            zr += F32(1)
+            zr *= F32(0.5)
             z, r, back = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
             n = np.tanh(g[:, 2 * HIDDEN :] + r * back)
-            new = n + z * (h - n)
+            less = h - n
             if keep is not None:
-                keep.append((h, z, r, n, back))
-            h = out[t] = new
+                keep.append((h, z, r, n, back, less))
+            h = np.add(n, z * less, out=out[t])
         return out
 
     def log_p(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of P(class) * P(word | class) for shortlist words, of P(class) for others; with grad, adds
         the gradients of the negative sum and returns that of h."""
-        c = self.class_of(ids)
-        lp = _log_softmax(h @ self.p["to_class"] + self.p["class_bias"])
-        at = np.arange(len(ids))
-        out = lp[at, c].astype(np.float64)
-        dh = None
+        c, at = self.class_of(ids), np.arange(len(ids))
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        h, ids, c = h[order], ids[order], c[order]
+        d = self.p["to_class"].T @ h.T
+        d += self.p["class_bias"][:, None]
+        out, dh, own = np.empty(len(ids)), None, _softmax(d, (c, at)).astype(np.float64)
         if grad is not None:
-            d = np.exp(lp)
-            d[at, c] -= 1
-            grad["to_class"] += h.T @ d
-            grad["class_bias"] += d.sum(0)
-            dh = d @ self.p["to_class"].T
-        order = np.argsort(c, kind="stable")
-        bound = np.searchsorted(c[order], np.arange(self.heads + 1))
-        for k in range(self.heads):
-            i = order[bound[k] : bound[k + 1]]
-            if len(i):
-                a, b = k * PER_CLASS, min((k + 1) * PER_CLASS, self.words)
-                w = self.p["to_word"][a:b]
-                lw = _log_softmax(h[i] @ w.T + self.p["word_bias"][a:b])
-                j = np.arange(len(i))
-                out[i] += lw[j, ids[i] - a]
-                if grad is not None:
-                    d = np.exp(lw)
-                    d[j, ids[i] - a] -= 1
-                    grad["to_word"][a:b] += d.T @ h[i]
-                    grad["word_bias"][a:b] += d.sum(0)
-                    dh[i] += d @ w
+            d[c, at] -= 1
+            grad["to_class"] += (d @ h).T
+            grad["class_bias"] += d.sum(1)
+            dh = d.T @ self.p["to_class"].T
+        bound = np.searchsorted(c, np.arange(self.heads + 1))
+        for k in np.flatnonzero(np.diff(bound)):
+            i, a, b = slice(bound[k], bound[k + 1]), k * PER_CLASS, min((k + 1) * PER_CLASS, self.words)
+            w = self.p["to_word"][a:b]
+            d = w @ h[i].T
+            d += self.p["word_bias"][a:b, None]
+            j, word = at[: bound[k + 1] - bound[k]], ids[i] - a
+            own[i] += _softmax(d, (word, j))
+            if grad is not None:
+                d[word, j] -= 1
+                grad["to_word"][a:b] += d @ h[i]
+                grad["word_bias"][a:b] += d.sum(1)
+                dh[i] += d.T @ w
+        out[order] = own
+        if grad is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
-    def _windows(self, ids: np.ndarray, first: np.ndarray, most: int, steps: int):
-        """Windows over the streams: input ids, targets, where texts begin, the targets' places, and how many streams go on."""
-        size, place = streams(ids, first, most)
-        offset = np.r_[0, np.cumsum(size)[:-1]]
+    def _windows(self, ids: np.ndarray, first: np.ndarray, most: int, steps: int, piece: int | None = None):
+        """Windows over the streams: input ids, targets, where the state starts afresh, the targets' places, which
+        places are real, and how many streams go on. Pieces of a longer text start afresh after the word before them."""
         begins = np.zeros(len(ids), bool)
         begins[first[:-1][np.diff(first) > 0]] = True
+        inputs = np.where(begins, self.words + TAIL, ids[np.arange(len(ids)) - 1]) if len(ids) else ids
+        if piece:
+            n = np.diff(first)
+            parts = np.maximum(1, -(-n // piece))
+            first = np.r_[np.repeat(first[:-1], parts) + piece * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)), len(ids)]
+            begins[first[:-1][np.diff(first) > 0]] = True
+        size, place = streams(ids, first, most)
+        offset = np.r_[0, np.cumsum(size)[:-1]]
         for a in range(0, int(size[0]) if len(size) else 0, steps):
             t = np.arange(a, min(a + steps, int(size[0])))[:, None]
             live = int((size > a).sum())
             inside = t < size[None, :live]
             at = place[np.where(inside, offset[None, :live] + t, 0)]
-            fresh = begins[at]
-            before = np.where(fresh, self.words + TAIL, ids[np.maximum(at - 1, 0)])
-            yield before, ids[at], fresh, at, inside, live
+            yield inputs[at], ids[at], begins[at], at, inside, live
 
     def score(self, ids: np.ndarray, first: np.ndarray, most: int = 384, steps: int = 32) -> np.ndarray:
         """log_p of every token."""
@@ -158,33 +174,53 @@ class Model:
             out[at[inside]] = self.log_p(states[inside], target[inside])[0]
         return out
 
-    def train(self, ids: np.ndarray, first: np.ndarray, rate: float = 0.08, most: int = 48, steps: int = 24) -> None:
-        """One pass of truncated backpropagation with Adagrad steps."""
-        g2 = {k: np.full(v.shape, 1e-3, F32) for k, v in self.p.items()}
-        h = np.zeros((most, HIDDEN), F32)
-        for before, target, fresh, _, inside, live in self._windows(ids, first, most, steps):
-            tape: list = []
-            states = self.forward(before, fresh, h[:live], tape)
-            h = states[-1].copy()
-            grad = {k: np.zeros(v.shape, F32) for k, v in self.p.items()}
-            d_all = np.zeros(states.shape, F32)
-            d_all[inside] = self.log_p(states[inside], target[inside], grad)[1]
-            into, back_grad = np.empty((*before.shape, 3 * HIDDEN), F32), np.zeros((live, HIDDEN), F32)
-            for t in range(len(before) - 1, -1, -1):
-                h0, z, r, n, back = tape[t]
-                d = d_all[t] + back_grad
-                dn = d * (1 - z) * (1 - n * n)
-                dz, dr = d * (h0 - n) * z * (1 - z), dn * back * r * (1 - r)
-                into[t] = np.concatenate([dz, dr, dn], 1)
-                through = np.concatenate([dz, dr, dn * r], 1)
-                grad["again"] += h0.T @ through
-                back_grad = np.where(fresh[t][:, None], F32(0), d * z + through @ self.p["again"].T)
-            rows = before.ravel()
-            order = np.argsort(rows, kind="stable")
-            node, at = np.unique(rows[order], return_index=True)
-            grad["gates"][node] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], at)
-            n = max(1, int(inside.sum()))
-            for k, v in self.p.items():
-                g = np.clip(grad[k] / F32(n) * F32(32), -1, 1)
-                g2[k] += g * g
-                v -= F32(rate) * g / np.sqrt(g2[k])
+    def gradients(self, before: np.ndarray, target: np.ndarray, fresh: np.ndarray, inside: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Of a window's negative log-likelihood: of every parameter, of "gates" only for the words of the second
+        result; and the last state."""
+        tape: list = []
+        states = self.forward(before, fresh, h, tape)
+        grad = {k: np.zeros(v.shape, F32) for k, v in self.p.items() if k != "gates"}
+        d_all = np.zeros(states.shape, F32)
+        d_all[inside] = self.log_p(states[inside], target[inside], grad)[1]
+        into, back_grad = np.empty((*before.shape, 3 * HIDDEN), F32), np.zeros((before.shape[1], HIDDEN), F32)
+        on, turned = (~fresh).astype(F32)[:, :, None], np.ascontiguousarray(self.p["again"].T)
+        through = np.empty((before.shape[1], 3 * HIDDEN), F32)
+        for t in range(len(before) - 1, -1, -1):
+            h0, z, r, n, back, less = tape[t]
+            d = d_all[t]
+            d += back_grad
+            dz = d * z
+            back_grad = dz.copy()
+            dn = (d - dz) * (1 - n * n)
+            dz *= less
+            dz *= 1 - z
+            dz *= F32(2)
+            dr = dn * back
+            dr *= r * (1 - r)
+            dr *= F32(2)
+            part = into[t]
+            part[:, :HIDDEN], part[:, HIDDEN : 2 * HIDDEN], part[:, 2 * HIDDEN :] = dz, dr, dn
+            through[:, :HIDDEN], through[:, HIDDEN : 2 * HIDDEN], through[:, 2 * HIDDEN :] = dz, dr, dn * r
+            grad["again"] += h0.T @ through
+            back_grad += through @ turned
+            back_grad *= on[t]
+        rows = before.ravel()
+        order = np.argsort(rows.astype(np.int16), kind="stable")
+        node, at = np.unique(rows[order], return_index=True)
+        grad["gates"] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], at)
+        return grad, node, states[-1]
+
+    def train(self, ids: np.ndarray, first: np.ndarray, rate: float = RATE, most: int = 128, steps: int = 16, piece: int = 512) -> None:
+        """One pass of truncated backpropagation with Adam steps, over pieces of the texts; an input word's gates move when it occurs."""
+        m, v = ({k: np.zeros(x.shape, F32) for k, x in self.p.items()} for _ in range(2))
+        h, count = np.zeros((most, HIDDEN), F32), 0
+        for before, target, fresh, _, inside, live in self._windows(ids, first, most, steps, piece):
+            grad, node, h = self.gradients(before, target, fresh, inside, h[:live])
+            count += 1
+            step = F32(rate * np.sqrt(1 - SQUARE**count) / (1 - MEAN**count))
+            for k, x in self.p.items():
+                g, at = grad[k], node if k == "gates" else slice(None)
+                g *= F32(1 / max(1, int(inside.sum())))
+                m[k][at] = F32(MEAN) * m[k][at] + F32(1 - MEAN) * g
+                v[k][at] = F32(SQUARE) * v[k][at] + F32(1 - SQUARE) * g * g
+                x[at] -= step * m[k][at] / (np.sqrt(v[k][at]) + F32(1e-6))

@@ -4,9 +4,9 @@
    numbers into them. Only blocks, never texts, are shuffled afterwards.
 2. Word counts over all training documents give the base, the shortlist of the most frequent words and
    the shares of all others.
-3. The model starts as the unigram model. In each round every block trains a copy on some of its own
-   training documents, and the copies' parameters are averaged, so what is learnt from grows with the
-   corpus.
+3. The model starts as the unigram model. In each round every block trains a copy on its share of its own
+   training documents, and the copies' parameters are averaged by their tokens. The rounds' shares are
+   disjoint and together hold every training document, so each training token is learnt from once.
 4. Each block gets its words' counts back and scores all its documents, state carried from window to
    window.
 """
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from . import gru
 from . import textkit as K
-from .common import written
+from .common import map_arrow, written
 
 HELD_OUT_OF, SMOOTH = 10, 0.1
 #: Words with an output of their own; one row for each comes to the driver.
 SHORTLIST = 1024
 BLOCK_BYTES = 8 << 20
-#: In each of ROUNDS, a block trains on whole documents of about so many tokens.
-ROUNDS, TRAIN_TOKENS = 2, 40_000
+#: Every training document belongs to one of so many rounds.
+ROUNDS = 2
 
 _TABLE = K.byte_table(K.BLANKS, lower=True)
 _END = K.U(0x5851F42D4C957F2D)
@@ -116,25 +116,22 @@ def _block_rows(table) -> Iterator[tuple]:
         yield words, tail, n, held.astype(bool), tokens
 
 
-def _trainer(flat: np.ndarray, vocabulary: Vocabulary, turn: int, most: int):
+def _trainer(flat: np.ndarray, vocabulary: Vocabulary, turn: int, rounds: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, blocks = np.zeros(len(flat)), 0
+        total, tokens_seen = np.zeros(len(flat)), 0
         for batch in batches:
             for words, tail, n, held, tokens in _block_rows(batch):
                 ids, first = vocabulary.ids(words, tail)[tokens], np.r_[0, np.cumsum(n)]
-                texts = np.flatnonzero(~held)
-                texts = np.random.default_rng(1).permutation(texts)
-                size = np.cumsum(n[texts])
-                texts = texts[(size - n[texts] < (turn + 1) * most) & (size > turn * most)] if size[-1:].sum() > (turn + 1) * most else texts[size - n[texts] < most]
+                texts = np.random.default_rng(1).permutation(np.flatnonzero(~held))[turn::rounds]
                 if len(texts):
-                    model = gru.Model(flat.copy(), len(vocabulary.words))
+                    model, size = gru.Model(flat.copy(), len(vocabulary.words)), int(n[texts].sum())
                     model.train(np.concatenate([ids[first[t] : first[t + 1]] for t in texts]), np.r_[0, np.cumsum(n[texts])])
                     if np.isfinite(model.flat).all():
-                        total += model.flat
-                        blocks += 1
-        if blocks:
+                        total += model.flat.astype(float) * size
+                        tokens_seen += size
+        if tokens_seen:
             at = pa.array(np.arange(len(flat), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([at, pa.array(total), pa.array(np.full(len(flat), blocks))], ["at", "total", "blocks"])
+            yield pa.RecordBatch.from_arrays([at, pa.array(total), pa.array(np.full(len(flat), tokens_seen))], ["at", "total", "tokens"])
 
     return train
 
@@ -164,7 +161,7 @@ def _scorer(flat: np.ndarray, vocabulary: Vocabulary):
     return score
 
 
-def score_documents(docs: DataFrame, shortlist: int = SHORTLIST, rounds: int = ROUNDS, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, shortlist: int = SHORTLIST, rounds: int = ROUNDS) -> DataFrame:
     """Log10 probabilities of the texts of docs (doc_id, text): a row for each row of docs with
 
     doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (unigram),
@@ -182,7 +179,7 @@ def score_documents(docs: DataFrame, shortlist: int = SHORTLIST, rounds: int = R
     id_ = F.col("doc_id").cast("long")
     held = F.coalesce(F.crc32(id_.cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(True))
     rows = docs.select(id_.alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
-    blocks, _ = written(rows.mapInArrow(_blocks, _BLOCKS), "blocks")
+    blocks, _ = written(map_arrow(rows, _blocks, _BLOCKS), "blocks")
     counts, _ = written(
         blocks.select(F.inline(F.arrays_zip("words", "counts", "tail"))).where("counts > 0").groupBy("words").agg(F.sum("counts").alias("c"), F.first("tail").alias("tail")), "counts"
     )
@@ -196,17 +193,19 @@ def score_documents(docs: DataFrame, shortlist: int = SHORTLIST, rounds: int = R
     flat = gru.start(vocabulary.counts, mass)
     for turn in range(rounds):
         mean = (
-            blocks.select("held", "n", "tokens", "words", "tail").mapInArrow(_trainer(flat, vocabulary, turn, train_tokens), "at int, total double, blocks long")
-            .groupBy("at").agg((F.sum("total") / F.sum("blocks")).alias("value")).orderBy("at").collect()
+            blocks.select("held", "n", "tokens", "words", "tail").mapInArrow(_trainer(flat, vocabulary, turn, rounds), "at int, total double, tokens long")
+            .groupBy("at").agg((F.sum("total") / F.sum("tokens")).alias("value")).orderBy("at").collect()
         )
         if mean:
             flat = np.array([r["value"] for r in mean], np.float32)
+    # A task scores one block, or the few that hash alike, so its memory doesn't grow with the corpus.
+    tasks = max(1, blocks.count())
     known = (
         blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "words"))
-        .join(counts.select("words", "c"), "words").select("of", "at", "c")
+        .join(counts.select("words", "c"), "words").select("of", "at", "c").repartition(tasks, "of")
     )
     return (
-        blocks.select("block", "doc_id", "held", "n", "tokens", "words", "tail").groupBy("block")
+        blocks.select("block", "doc_id", "held", "n", "tokens", "words", "tail").repartition(tasks, "block").groupBy("block")
         .cogroup(known.groupBy("of"))
         .applyInArrow(_scorer(flat, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
