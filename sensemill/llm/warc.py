@@ -1,9 +1,10 @@
 """WARC archives as a Python data source, and writing and reading back a crawl's pages.
 
 ``spark.read.format("warc").load(dir)`` plans one partition for each file or for several small ones,
-and reads a record's header block first. Predicates on headers (record_type, page_id, target_uri,
+and reads a record's header block first. Predicates on its columns (record_type, page_id, target_uri,
 payload_digest, refers_to) are pushed to the scan; a record that fails them, and every payload if the
-option ``payload`` is false, is skipped without being inflated.
+option ``payload`` is false, is skipped: without being inflated where the member's length is known, and
+without being gathered in other files, plain or of any division into gzip members.
 
 ``df.write.format("warc").save(dir)`` writes one gzip member per record, with the member's length in
 the gzip header so that readers can step over it, and starts a new file after ``roll_bytes``. Only
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 SCHEMA = "record_type string, page_id long, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 NAMES = ["record_type", "page_id", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload"]
@@ -34,6 +35,10 @@ KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64
 ROLL_BYTES, PARTITION_BYTES, BATCH_BYTES = 128 << 20, 64 << 20, 8 << 20
 #: Payloads from this size on are stored once; records with an equal one revisit it.
 REVISIT_FROM = 100
+#: Columns of the WARC header block; payload_bytes stands in the HTTP header behind it.
+PUSHED = ("record_type", "page_id", "target_uri", "payload_digest", "refers_to")
+#: Digests that several pages share are sent to every executor up to this number (about 100 MB in memory).
+MOST_DIGESTS_SENT = 1_000_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
 _GZIP = struct.Struct("<4sIBBHBBHQ")  # magic and flags, time, extra flags, system, extra length, two id bytes, length of the field, member length
@@ -110,7 +115,7 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             column = f.attribute[0] if isinstance(f, (EqualTo, In, StringStartsWith, IsNotNull)) else None
-            if column is None or column == "payload" or isinstance(f, IsNotNull):
+            if column not in PUSHED or isinstance(f, IsNotNull):
                 yield f
             elif isinstance(f, EqualTo):
                 self.equal.append((column, frozenset([f.value])))
@@ -185,45 +190,86 @@ def _finish(head: dict, block: bytes, payload: bool) -> tuple[dict, bytes | None
     return head, body if payload and head["record_type"] == "response" else None
 
 
+class _Inflated(io.RawIOBase):
+    """The content of the gzip members that follow in f, one after another; never more than a piece of it is held."""
+
+    def __init__(self, f: io.BufferedReader) -> None:
+        self.f, self.z, self.raw = f, zlib.decompressobj(31), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while True:
+            self.raw = self.raw or self.f.read1(1 << 16)
+            ended = not self.raw
+            if self.z.eof:
+                if ended:
+                    return 0
+                self.raw = self.raw.lstrip(b"\0")  # some writers pad members
+                if not self.raw:
+                    continue
+                self.z = zlib.decompressobj(31)
+            out = self.z.decompress(self.raw, len(buffer))
+            self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if out:
+                buffer[: len(out)] = out
+                return len(out)
+            if ended and not self.z.eof:
+                return 0  # cut off
+
+
+def _known_length(f: io.BufferedReader) -> int | None:
+    """Length of the rest of a member that gives it in its header, which is read; else nothing is read."""
+    fixed = f.peek(_GZIP.size)[: _GZIP.size]
+    if len(fixed) == _GZIP.size and fixed[:4] == b"\x1f\x8b\x08\x04" and _GZIP.unpack(fixed)[4:8] == (12, ord("S"), ord("L"), 8):
+        f.read(_GZIP.size)
+        return _GZIP.unpack(fixed)[-1]
+    return None
+
+
 def records(f: io.BufferedReader, wanted=lambda head: True, payload: bool = True) -> Iterator[tuple[dict, bytes | None]]:
     """Records of one archive, plain or gzip, whose header columns are wanted."""
-    while start := f.peek(4)[:4]:
-        if start[:2] == b"\x1f\x8b":
-            fixed = f.read(_GZIP.size) if start[3:4] == b"\x04" else b""
-            if fixed and _GZIP.unpack(fixed)[4:8] == (12, ord("S"), ord("L"), 8):
-                left = _GZIP.unpack(fixed)[-1] - 8
-                inflate, text = zlib.decompressobj(-15), b""
-                while left and b"\r\n\r\n" not in text:
-                    part = f.read(min(left, 1024))
-                    left -= len(part)
-                    text += inflate.decompress(part)
-                block, _, rest = text.partition(b"\r\n\r\n")
-                if wanted(head := _header(block)):
-                    if payload or b"\r\n\r\n" not in rest:
-                        rest += inflate.decompress(f.read(left)) + inflate.flush()
-                        left = 0
-                    yield _finish(head, rest[: head["length"]], payload)
-                f.seek(left + 8, io.SEEK_CUR)
-                continue
-            f.seek(-len(fixed), io.SEEK_CUR)
-            inflate, text = zlib.decompressobj(31), b""
-            while not inflate.eof and (part := f.read1(1 << 16)):
+    while start := f.peek(2)[:2]:
+        if start != b"\x1f\x8b":
+            yield from _walk(f, wanted, payload)
+        elif (left := _known_length(f)) is None:
+            yield from _walk(io.BufferedReader(_Inflated(f), 1 << 16), wanted, payload)
+        else:
+            left -= 8  # checksum and size
+            inflate, text = zlib.decompressobj(-15), b""
+            while left and b"\r\n\r\n" not in text:
+                part = f.read(min(left, 1024))
+                left -= len(part)
                 text += inflate.decompress(part)
-            f.seek(-len(inflate.unused_data), io.SEEK_CUR)
             block, _, rest = text.partition(b"\r\n\r\n")
-            if block and wanted(head := _header(block)):
+            if wanted(head := _header(block)):
+                if payload or b"\r\n\r\n" not in rest:
+                    rest += inflate.decompress(f.read(left)) + inflate.flush()
+                    left = 0
                 yield _finish(head, rest[: head["length"]], payload)
-            continue
-        lines = []
+            f.seek(left + 8, io.SEEK_CUR)
+
+
+def _walk(f: io.BufferedReader, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
+    """Records of a stream of plain text up to its end."""
+    while line := f.readline():
+        if not line.strip():
+            continue  # blank lines between records
+        lines = [line.rstrip(b"\r\n")]
         while (line := f.readline()) not in (b"", b"\r\n", b"\n"):
             lines.append(line.rstrip(b"\r\n"))
-        if not lines:
-            continue  # blank lines between records
         head = _header(b"\r\n".join(lines))
+        left, block = head["length"], []
         if wanted(head):
-            yield _finish(head, f.read(head["length"]), payload)
-        else:
-            f.seek(head["length"], io.SEEK_CUR)
+            while left and (payload or not block or block[-1] not in (b"\r\n", b"\n")):  # without payloads, up to the end of the HTTP header
+                block.append(f.read(left) if payload else f.readline(min(left, 1 << 16)))
+                left -= len(block[-1])
+                if not block[-1]:
+                    break
+            yield _finish(head, b"".join(block), payload)
+        while left and (skipped := f.read(min(left, 1 << 16))):
+            left -= len(skipped)
 
 
 class WarcSource(DataSource):
@@ -262,10 +308,13 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), F.sha2(html, 256).alias("payload_digest"),
         F.octet_length(html).cast("long").alias("payload_bytes"), html.cast("binary").alias("payload"),
     )
-    first = (
+    first, _ = written(
         rows.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= REVISIT_FROM)
-        .groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        .groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        "digests",
     )
+    if first.limit(MOST_DIGESTS_SENT + 1).count() <= MOST_DIGESTS_SENT:
+        first = F.broadcast(first)  # so that payloads stay where they are
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(first, "payload_digest", "left").select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), "page_id", "target_uri", "payload_digest", "payload_bytes",
