@@ -25,32 +25,30 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds(text: Column) -> Column:
-    """For each gap in turn, one hash for each of the text's word positions but the last five."""
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def of_runs(g: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(g) - RUN - 1)
-
-        def with_gap(k: int) -> Column:
-            return F.transform(at, lambda i: F.xxhash64(F.get(g, i), F.get(g, i + (RUN + k)), F.lit(k)))
 
-        return F.when(F.size(g) > RUN, F.concat(*[with_gap(k) for k in GAPS]))
+def placed(df: DataFrame, id_: str, at: str) -> DataFrame:
+    """(id, word position, head, next): for each word position but the last five, the hash of the run that begins
+    there, and the hashes of the runs that may follow it, one for each gap (null beyond the text)."""
 
     def of_words(h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(h) - RUN)
-        return F.when(F.size(h) >= RUN, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(RUN)])))
+        return F.when(F.size(h) >= 2 * RUN, F.transform(F.sequence(F.lit(0), F.size(h) - RUN), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(RUN)])))
 
-    def let(value: Column, f) -> Column:  # value is computed once, however often f reads it
-        return F.get(F.transform(F.array(value), f), F.lit(0))
+    def of_runs(g: Column) -> Column:
+        after = lambda i: F.struct(*[F.get(g, i + (RUN + k)).alias(f"g{k}") for k in GAPS])
+        return F.transform(F.sequence(F.lit(0), F.size(g) - RUN - 1), lambda i: F.struct(F.get(g, i).alias("head"), after(i).alias("next")))
 
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
-    return let(let(hashes, of_words), of_runs)
+    runs = _let(_let(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), of_words), of_runs)
+    return df.select(F.col(id_), F.posexplode(runs).alias(at, "x")).select(id_, at, "x.head", "x.next")
 
 
-def exploded(df: DataFrame, id_: str, at: str) -> DataFrame:
-    """(id, word position, seed)."""
-    spread = df.select(F.col(id_), seeds(F.col("text")).alias("s")).select(id_, (F.size("s") / len(GAPS)).cast("int").alias("n"), F.posexplode("s").alias("p", "seed"))
-    return spread.select(id_, F.expr("p % n").alias(at), F.expr("p div n").alias("mask"), "n", "seed")
+def seeded(rows: DataFrame, *columns: str) -> DataFrame:
+    """The seeds of placed rows: one for each gap after which a run follows."""
+    pairs = F.array(*[F.when(F.col(f"next.g{k}").isNotNull(), F.xxhash64("head", F.col(f"next.g{k}"), F.lit(k))) for k in GAPS])
+    return rows.select(*columns, F.explode(pairs).alias("seed")).where("seed is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similar: float = SIMILAR) -> DataFrame:
@@ -69,14 +67,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct(),
         "items",
     )
-    gap = F.element_at(F.array(*[F.lit(g) for g in GAPS]), (F.col("mask") + 1).cast("int"))
-    known, _ = written(
-        exploded(items, "item_id", "item_at").where(F.col("item_at") + gap < F.col("n")).select("item_id", "item_at", "seed").distinct(), "seeds"
-    )
+    known, _ = written(seeded(placed(items, "item_id", "item_at"), "item_id", "item_at", "head").distinct(), "seeds")
+    heads = known.select("head").distinct()
     if known.limit(MOST_SEEDS_SENT + 1).count() <= MOST_SEEDS_SENT:
-        known = F.broadcast(known)
+        known, heads = F.broadcast(known), F.broadcast(heads)
+    # Most word positions begin no run of any item, so they go before their seeds are made.
     hits, _ = written(
-        exploded(docs, "doc_id", "doc_at").select("doc_id", "doc_at", "seed").join(known, "seed")
+        seeded(placed(docs, "doc_id", "doc_at").join(heads, "head", "left_semi"), "doc_id", "doc_at").join(known, "seed")
         .groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.count(F.lit(1)).alias("n_seeds")),
         "hits",
     )
@@ -100,5 +97,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs without the rows whose doc_id shares a passage with a benchmark item; null doc_ids stay."""
-    found, _ = written(overlaps(docs, benchmark, **parameters).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    found, _ = written(overlaps(docs, benchmark, **parameters).select(F.col("doc_id").alias("id")).distinct(), "leaks")
+    return docs.join(found, docs["doc_id"].cast("long") == found["id"], "left_anti")
