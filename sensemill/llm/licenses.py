@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
-The templates' words are an index: word, template, place. The corpus gives each of these words its
-document frequency; a template is looked up by its rarest words (highest IDF). Each hit of such a
-word proposes that the template stands so many words before it; hits that agree on that start
-intersect, and the proposal with the most agreement is verified word by word, with the template's
-mandatory key phrase in its place.
+Templates are licence texts and notices, cut in passages where holders, years or lists vary. The corpus
+gives each of their words its document frequency. A passage is posted (word, passage, place) under its
+rarest words only, so many of them that a text which matches it must hold some in their places. A text
+looks up those of its own words that are posted, its licence words of highest IDF; each posting proposes
+that the passage stands so many words before. Proposals that agree intersect, and each that has enough
+agreement is verified word by word, with the template's mandatory key phrase in its place.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .common import map_arrow
 
 #: Phrases and the label that each gives wherever its words stand in a row.
 PHRASES = {
@@ -25,22 +27,58 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Label, sentences of the license in lower case, and the phrase of it that must stand in its place.
+#: Label, the phrase that must stand in its place, and the passages, in lower case without marks.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "in compliance with the license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "free software"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general public license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "public domain"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("mit", "free of charge", ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"]),
+    ("bsd", "source and binary forms", ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"]),
+    ("apache", "in compliance with the license", ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"]),
+    ("gpl", "free software", ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"]),
+    ("lgpl", "lesser general public license", ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"]),
+    ("agpl", "affero general public license", ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"]),
+    ("mpl", "mozilla public license", ["this source code form is subject to the terms of the mozilla public license v 2 0"]),
+    ("cc-by", "creative commons attribution", ["this work is licensed under a creative commons attribution 4 0 international license"]),
+    ("cc0", "public domain", ["the person who associated a work with this deed has dedicated the work to the public domain"]),
+    ("isc", "with or without fee", ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"]),
+    ("unlicense", "unencumbered software", ["this is free and unencumbered software released into the public domain"]),
+    ("zlib", "altered source versions", [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+        "this notice may not be removed or altered from any source distribution"]),
+    ("mit-full", "free of charge", [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"]),
+    ("bsd-2-clause", "source and binary forms", [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"]),
+    ("bsd-3-clause", "endorse or promote products", [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"]),
+    ("isc-full", "with or without fee", [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"]),
+    ("unlicense-full", "unencumbered software", [
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+        "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"]),
 ]
-#: The scan looks a template up by so many of its rarest words; agreement of RARE_AGREE of them is verified, and
-#: MATCHED of all its words in their places make a match.
-RARE, RARE_AGREE, MATCHED = 8, 3, 0.8
+#: A passage is found where MATCHED of its words stand in their places, and a template where its found passages'
+#: words in place are MATCHED of all. So many of a passage's rarest words are posted that AGREE of them at least stand
+#: in place wherever it is found, however long it is.
+MATCHED, AGREE = 0.8, 3
 
 #: Words are digits, letters and everything beyond ASCII; A-Z count as a-z.
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -53,21 +91,59 @@ def _hashes(text: str) -> np.ndarray:
 
 
 class Index:
-    """The templates' distinct words in order of their hash, and numbers in place of words."""
+    """The passages' distinct words in order of their hash, and numbers in place of words; equal passages are one."""
 
     def __init__(self) -> None:
-        self.templates = [_hashes(t) for _, t, _ in TEMPLATES]
-        self.keys = [_hashes(k) for _, _, k in TEMPLATES]
-        self.phrases = [_hashes(p) for p in PHRASES]
-        self.words = np.unique(np.concatenate([*self.templates, *self.phrases]))
-        self.templates, self.keys, self.phrases = ([self.number(h) for h in x] for x in (self.templates, self.keys, self.phrases))
-        self.key_at = [next(i for i in range(len(t)) if (t[i : i + len(k)] == k).all()) for t, k in zip(self.templates, self.keys)]
+        texts = sorted({p for _, _, passages in TEMPLATES for p in passages})
+        passages, phrases = [_hashes(t) for t in texts], [_hashes(p) for p in PHRASES]
+        self.words = np.unique(np.concatenate([*passages, *phrases]))
+        self.passages, self.phrases = ([self.number(h) for h in x] for x in (passages, phrases))
+        self.templates = []  # label, its passages, and passage and place of its key phrase
+        for label, key, own in TEMPLATES:
+            held = next(p for p in own if f" {key} " in f" {p} ")
+            at = len(f" {held} ".partition(f" {key} ")[0].split())
+            self.templates.append((label, [texts.index(p) for p in own], texts.index(held), slice(at, at + len(key.split()))))
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """-1 for words of no template."""
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, -1)
 
+    def post(self, df: np.ndarray) -> None:
+        """Postings of the rarest words: word w's are passage[first[w]:first[w + 1]] and place of the same."""
+        posted = []
+        for p, words in enumerate(self.passages):
+            rare = sorted(range(len(words)), key=lambda i: (df[words[i]], i))[: len(words) - int(np.ceil(MATCHED * len(words))) + AGREE]
+            posted += [(int(words[i]), p, i) for i in rare]
+        word, self.passage, self.place = np.array(sorted(posted)).T
+        self.first = np.searchsorted(word, np.arange(len(self.words) + 1))
+
+    def found(self, no: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float]]:
+        """Texts no[first[t]:first[t + 1]] of word numbers: text, label and share of each template in it."""
+        at = np.flatnonzero(no >= 0)
+        n = np.diff(self.first)[no[at]]
+        at, n = at[n > 0], n[n > 0]
+        row = np.repeat(self.first[no[at]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        pos, passage = np.repeat(at, n), self.passage[row]
+        text = np.searchsorted(first, pos, "right") - 1
+        vote, votes = np.unique(np.column_stack([text, passage, pos - self.place[row]]), axis=0, return_counts=True)
+        best: dict[int, dict[int, list[np.ndarray]]] = {}
+        for t, p, start in vote[votes >= AGREE].tolist():
+            words = self.passages[p]
+            a, b = max(start, int(first[t])), min(start + len(words), int(first[t + 1]))
+            same = np.zeros(len(words), bool)
+            same[a - start : b - start] = no[a:b] == words[a - start : b - start]
+            if same.mean() >= MATCHED:
+                best.setdefault(t, {}).setdefault(p, []).append(same)
+        out = []
+        for t, got in best.items():
+            for label, own, held, key in self.templates:
+                here = {p: max(int(s.sum()) for s in (got[p] if p != held else [s for s in got[p] if s[key].all()] or [np.zeros(1)])) for p in own if p in got}
+                share = sum(here.values()) / sum(len(self.passages[p]) for p in own)
+                if here.get(held) and share >= MATCHED:
+                    out.append((t, label, share))
+        return out
+
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = Index()
@@ -81,47 +157,21 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df), dtype=np.int32)), pa.array(df)], ["word", "df"])
 
 
-def rare_words(docs: DataFrame) -> list[list[tuple[int, int]]]:
-    """For each template its RARE rarest words, as (number, place), by document frequency over all of docs.
-    One row for each word of the templates (some 130) comes to the driver."""
-    index = Index()
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies, "word int, df long").groupBy("word").agg(F.sum("df").alias("df"))
-    df = dict.fromkeys(range(len(index.words)), 0) | {r["word"]: r["df"] for r in rows.collect()}
-    out = []
-    for t in index.templates:
-        order = sorted(range(len(t)), key=lambda i: (df[int(t[i])], i))
-        out.append([(int(t[i]), i) for i in order[:RARE]])
-    return out
-
-
-def _match(index: Index, rare: list[list[tuple[int, int]]], no: np.ndarray) -> list[tuple[int, float]]:
-    """Templates found in one text's word numbers, with the share of their words in place."""
-    found = []
-    for t, (words, picks) in enumerate(zip(index.templates, rare)):
-        starts = np.concatenate([np.flatnonzero(no == w) - place for w, place in picks])
-        start, votes = np.unique(starts, return_counts=True)
-        best = 0.0
-        for s in start[votes >= RARE_AGREE]:
-            at = s + np.arange(len(words))
-            inside = (at >= 0) & (at < len(no))
-            same = np.zeros(len(words), bool)
-            same[inside] = no[at[inside]] == words[inside]
-            k = index.key_at[t]
-            if same[k : k + len(index.keys[t])].all():
-                best = max(best, float(same.mean()))
-        if best >= MATCHED:
-            found.append((t, best))
-    return found
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """Document frequencies of the templates' words over all of docs: one row for each (some 250) comes to the driver."""
+    rows = map_arrow(docs.select(F.col("text").cast("string").alias("text")), _frequencies, "word int, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    df = np.zeros(len(Index().words), np.int64)
+    for r in rows.collect():
+        df[r["word"]] = r["df"]
+    return df
 
 
-def _scanner(rare: list[list[tuple[int, int]]]):
+def _scanner(df: np.ndarray):
     labels = list(PHRASES.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index()
-        rarest = np.unique([w for picks in rare for w, _ in picks])
-        is_rare = np.zeros(len(index.words) + 1, bool)
-        is_rare[rarest] = True
+        index.post(df)
         for batch in batches:
             out: list[tuple] = []
             for part, data, offsets in K.pieces(batch.column("text")):
@@ -147,11 +197,9 @@ def _scanner(rare: list[list[tuple[int, int]]]):
                         has[x].add(label)
                 more = [set(h) for h in has]
                 score = np.where(n > 0, 1.0, 0.0)
-                hits = np.bincount(of[is_rare[no]], minlength=texts)  # number -1 reads the last entry, which is False
-                for x in np.flatnonzero(hits >= RARE_AGREE):
-                    for t, share in _match(index, rare, no[words.first[x] : words.first[x + 1]]):
-                        more[x].add(TEMPLATES[t][0])
-                        score[x] = max(score[x], share)
+                for x, label, share in index.found(no, words.first):
+                    more[x].add(label)
+                    score[x] = max(score[x], share)
                 for x in range(texts):
                     some = n[x] > 0
                     out.append((int(words.counts[x]), int(n[x]), int(first[x]) if some else None, int(last[x]) if some else None, ",".join(sorted(has[x])), ",".join(sorted(more[x])), float(score[x])))
@@ -176,4 +224,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     schema = rows.select("doc_id").schema
     for name, kind in (("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double")):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(_scanner(rare_words(rows)), schema)
+    return map_arrow(rows, _scanner(frequencies(rows)), schema)
