@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 from .decontaminate import overlaps
 from .language_model import score_documents
 from .licenses import scan_licenses
@@ -19,42 +19,52 @@ from .substrings import remove_repeats
 from .warc import round_trip
 
 
+@tidy
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+@tidy
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@tidy
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@tidy
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@tidy
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@tidy
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+@tidy
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+@tidy
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+@tidy
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+@tidy
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -114,11 +124,11 @@ ORACLE: dict[str, str] = {
     "op6_secret_scan": rf"""
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), c AS ({_secret_spans()}),
         k AS (SELECT * FROM c x WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM c y WHERE y.doc_id = x.doc_id AND y.kind < 3 AND y.a < x.b AND x.a < y.b)),
-        o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM k GROUP BY v),
-        j AS (SELECT doc_id, kind, a, b, owners, ['assign','access','hex','provider','pem','opaque'][kind + 1] || ':' || a || ':' || b AS s FROM k JOIN o USING (v) WHERE kind < 5 OR owners <= 2)
+        o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT doc_id) >= 10 OR owners >= 3 AS example FROM k GROUP BY v),
+        j AS (SELECT doc_id, kind, a, b, owners, example, ['assign','access','hex','provider','pem','opaque'][kind + 1] || ':' || a || ':' || b AS s FROM k JOIN o USING (v) WHERE kind < 5 OR (NOT example AND owners <= 2))
         SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
           sha256(coalesce(string_agg(s, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, kind), '') AS spans,
-          count(*) FILTER (WHERE owners = 1) AS n_live, count(*) FILTER (WHERE owners >= 3) AS n_example
+          count(*) FILTER (WHERE owners = 1 AND NOT example) AS n_live, count(*) FILTER (WHERE example) AS n_example
         FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id""",
     "op9_warc_round_trip": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -2,15 +2,17 @@
 
 Patterns give candidate spans. Positions come from the pieces of text between the matches, whose
 lengths add up. Over the whole corpus the hash of each candidate value is counted by distinct
-owners and distinct repositories: a value that many owners hold is a copied example, a value of one
-owner looks live. Spans of known credential kinds always stay; opaque strings, which only their
-ownership makes suspicious, are added where few owners hold them.
+owners and distinct repositories: a value that several owners or many repositories hold is a copied
+example, a value of one owner and few repositories looks live. Spans of known credential kinds always
+stay; opaque strings, which only their ownership makes suspicious, are added where they are no examples
+and few owners hold them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import written
 
@@ -24,8 +26,9 @@ KINDS = [
     ("opaque", r"([A-Za-z0-9+/_=-]{32,})", 1, 32),
 ]
 BASE = ("assign", "access", "hex")
-#: An opaque value is added if at most this many owners hold it; from EXAMPLE owners on a value is an example.
-FEW_OWNERS, EXAMPLE = 2, 3
+#: From EXAMPLE owners or WIDELY repositories on a value is a copied example. Another opaque value is added if at
+#: most FEW_OWNERS hold it.
+FEW_OWNERS, EXAMPLE, WIDELY = 2, 3, 10
 
 #: Spans are gathered in chunks, as adding to an array copies it: a text with n matches costs n * _CHUNK + (n / _CHUNK)**2.
 _CHUNK = 64
@@ -71,39 +74,40 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _candidates(docs: DataFrame, owner: str, repository: str, *keep: str) -> DataFrame:
-    """Each row of docs with a number of its own and all candidate spans, written."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _candidates(docs: DataFrame, owner: str, repository: str, keep: str) -> DataFrame:
+    """Each row of docs with a number of its own and all candidate spans, written: keep ("doc_id", or "row" for all
+    columns in one struct), owner, repository, no, spans."""
+    whole = F.struct(*[docs[c] for c in docs.columns]) if keep == "row" else docs[keep]
+    text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(*[_spans(text, no) for no, k in enumerate(KINDS) if k[0] in BASE])
     more = F.concat(*[_spans(text, no) for no, k in enumerate(KINDS) if k[0] not in BASE])
-    apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    hashed = F.transform(F.concat("__base", "__more"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
+    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    hashed = F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
     rows, _ = written(
-        docs.select(*keep, F.col(owner).alias("__owner"), F.col(repository).alias("__repository"), base.alias("__base"), more.alias("__more"))
-        .withColumn("__more", apart)
-        .select(*keep, "__owner", "__repository", F.monotonically_increasing_id().alias("__row"), F.array_sort(hashed).alias("__spans")),
+        docs.select(whole.alias(keep), docs["text"].cast("string").alias("text"), docs[owner].alias("owner"), docs[repository].alias("repository"))
+        .select(keep, "owner", "repository", base.alias("base"), more.alias("more"))
+        .withColumn("more", apart)
+        .select(keep, "owner", "repository", F.monotonically_increasing_id().alias("no"), F.array_sort(hashed).alias("spans")),
         "candidates",
     )
     return rows
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """Of the written candidates: __row, its spans that stay, in order, n_live and n_example."""
-    each = rows.where(F.size("__spans") > 0).select("__row", "__owner", "__repository", F.explode("__spans").alias("s")).select("*", "s.hash")
+    """Of the written candidates: no and each span that stays (start, kind, end), with live and example."""
+    each = rows.where(F.size("spans") > 0).select("no", "owner", "repository", F.inline("spans"))
     owners = (
-        each.select("hash", "__owner", "__repository").distinct()
-        .groupBy("hash", "__owner").agg(F.count(F.lit(1)).alias("n"))
+        each.select("hash", "owner", "repository").distinct()
+        .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
     )
-    known = F.col("s.kind") < [k[0] for k in KINDS].index("opaque")
+    known = F.col("kind") < [k[0] for k in KINDS].index("opaque")
+    example = (F.col("owners") >= EXAMPLE) | (F.col("repositories") >= WIDELY)
     return (
-        each.select("__row", "hash", "s").join(owners, "hash")
-        .where(known | (F.col("owners") <= FEW_OWNERS))
-        .groupBy("__row").agg(
-            F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end"))).alias("spans"),
-            F.count_if(F.col("owners") == 1).alias("n_live"),
-            F.count_if(F.col("owners") >= EXAMPLE).alias("n_example"),
-        )
+        each.select("no", "hash", "start", "kind", "end").join(owners, "hash")
+        .withColumn("example", example).withColumn("live", ~F.col("example") & (F.col("owners") == 1))
+        .where(known | (~F.col("example") & (F.col("owners") <= FEW_OWNERS)))
+        .select("no", "start", "kind", "end", "live", "example")
     )
 
 
@@ -112,20 +116,24 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
 
     doc_id, n_assign, n_access, n_hex, base_sha256 (of the spans of these three kinds), spans (all
     spans, kind:start:end in code points, by start and then kind), n_live (spans whose value one owner
-    holds), n_example (spans whose value EXAMPLE owners or more hold).
+    holds, in fewer than WIDELY repositories), n_example (spans whose value EXAMPLE owners or WIDELY
+    repositories hold).
 
     A null text counts as empty. A null owner is one owner, a null repository one repository. Rows
     that repeat a doc_id are judged each by its own text. No span gives an empty text and its hash.
     """
     rows = _candidates(docs, owner, repository, "doc_id")
-    spans = F.coalesce("judged.spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    judged = _judged(rows).groupBy("no").agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"), F.count_if("live").alias("n_live"), F.count_if("example").alias("n_example")
+    )
+    spans = F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     basic = F.filter("spans", lambda s: s["kind"] < len(BASE))
 
     def n(kind: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{BASE[kind]}")
 
     return (
-        rows.select("doc_id", "__row").join(_judged(rows).alias("judged"), "__row", "left")
+        rows.select("doc_id", "no").join(judged, "no", "left")
         .select("doc_id", spans.alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))
         .select("doc_id", n(0), n(1), n(2), F.sha2(_text_of(basic), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), "n_live", "n_example")
     )
@@ -133,20 +141,34 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
 
 def without_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """docs with each secret in text replaced by <kind>; spans that overlap give way to one mark, that
-    of the first. Other rows and columns stay as they are."""
-    found = _candidates(docs, owner, repository, *docs.columns)
-    judged = _judged(found).select("__row", F.col("spans").alias("__marks"))
+    of the first. Other rows and columns stay as they are, whatever their names.
+
+    A text is taken apart in about sqrt(n) stretches for n marks, since a substring is counted off from its string's start.
+    """
+    found = _candidates(docs, owner, repository, "row")
+    order = Window.partitionBy("no").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    marks = (
+        _judged(found).withColumn("at", F.coalesce(F.max("end").over(order), F.lit(0))).withColumn("covered", F.col("start") < F.col("at"))
+        .groupBy("no").agg(F.array_sort(F.collect_list(F.when(~F.col("covered"), F.struct("start", "at", "kind")))).alias("marks"), F.max("end").alias("to"))
+    )
     names = F.array(*[F.lit(f"<{k[0]}>") for k in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], before, F.get(names, s["kind"])).alias("out"))
-        )
-
-    rest = F.length("text")
-    clean = F.aggregate("__marks", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, rest)))
-    plain = found.where(F.size("__spans") == 0).select(*docs.columns)
-    marked = found.where(F.size("__spans") > 0).join(judged, "__row", "left").withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(clean))
-    return plain.unionByName(marked.select(*docs.columns))
+
+    def rebuilt(x: Column) -> Column:
+        text, marks = x["text"], x["marks"]
+        stretch = F.ceil(F.sqrt(F.size(marks))).cast("int")
+
+        def of_stretch(k: Column) -> Column:
+            own = F.slice(marks, k * stretch + 1, stretch)
+            begin = F.get(own, F.lit(0))["at"]
+            part = F.substring(text, begin + 1, F.element_at(own, -1)["start"] - begin)
+            return F.get(F.transform(F.array(part), lambda p: F.array_join(F.transform(own, lambda m: F.concat(F.substring(p, m["at"] - begin + 1, m["start"] - m["at"]), F.get(names, m["kind"]))), "")), F.lit(0))
+
+        last = F.floor((F.size(marks) - 1) / stretch).cast("int")
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), last), of_stretch), ""), F.substring(text, x["to"] + 1, F.length(text)))
+
+    text = F.col("row.text").cast("string")
+    both = F.struct(text.alias("text"), F.col("marks"), F.col("to"))
+    clean = F.when(F.col("marks").isNull(), F.col("row.text")).otherwise(F.get(F.transform(F.array(both), rebuilt), F.lit(0)))
+    plain = found.where(F.size("spans") == 0).select("row.*")
+    marked = found.where(F.size("spans") > 0).join(marks, "no", "left").withColumn("row", F.col("row").withField("text", clean))
+    return plain.unionByName(marked.select("row.*"))
