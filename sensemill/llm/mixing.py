@@ -22,36 +22,52 @@ WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 MOST_SOURCES_SENT = 100_000
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Numbers the sources by code point, null last, in column no. They are sorted in parts of about MOST_SOURCES_SENT."""
+    parts = -(-sizes.count() // MOST_SOURCES_SENT) or 1
+    order = F.col("source").asc_nulls_last()
+    rows, _ = written(sizes.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "sources")
+    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for part in sorted(counts):
+        before.append((part, total))
+        total += counts[part]
+    offsets = rows.sparkSession.createDataFrame(before, "part int, before long")
+    return rows.join(F.broadcast(offsets), "part").withColumn("no", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1)
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, source_size) to (source, source_size, target).
 
     Sources by code point, null last, weigh `weights` in turn and share `share` times all words.
     A source stops at `cap` times its own; what is over is shared again by weight until none is
-    above. That end is a water level: sources in the order of cap / weight are full up to the first
-    that the rest doesn't fill. One row per source meets in the two windows here.
+    above: each round is one sum over all sources, and sources that are full stay so.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    fill = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("no") % len(weights) + 1).cast("int"))
     size = F.col("source_size").cast("double")
-    return (
-        sizes.withColumn("weight", w)
-        .withColumn("full", size * cap)
-        .withColumn("ratio", F.col("full") / F.col("weight"))
-        .withColumn("budget", F.sum("source_size").over(everything).cast("double") * share)
-        .withColumn("left", F.col("budget") - F.coalesce(F.sum("full").over(fill), F.lit(0.0)))
-        .withColumn("weights", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(fill), F.lit(0.0)))
-        .withColumn("level", F.max(F.col("left") / F.col("weights")).over(everything))
-        .select("source", "source_size", F.least("full", F.col("level") * F.col("weight")).alias("target"))
-    )
+    rows, _ = written(_ranked(sizes).select("source", "source_size", w.alias("weight"), (size * cap).alias("full")), "weights")
+    budget = float(rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share
+    level, open_ = float("-inf"), None
+    while True:
+        over = F.col("full") <= F.lit(level) * F.col("weight")
+        full, weight, n = rows.agg(F.coalesce(F.sum(F.when(over, F.col("full"))), F.lit(0.0)), F.sum(F.when(~over, F.col("weight"))), F.count_if(~over)).first()
+        if not n or n == open_:
+            break
+        level, open_ = (budget - full) / weight, n
+    return rows.select("source", "source_size", F.least("full", F.lit(level) * F.col("weight")).alias("target"))
+
+
+ADDED = ("size", "source_size", "target", "taken")
 
 
-def sized(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, source, size and the hash h of 60 bits that orders the documents of a source."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(*more, F.col("doc_id"), F.col("source"), size.alias("size"), h.alias("h"))
+def sized(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id, source, size and the hash h of 60 bits that orders the documents of a source; row: all columns of
+    docs in one struct, but for those whose names the mix gives itself."""
+    id_, source, text = (docs[c] for c in ("doc_id", "source", "text"))
+    h = F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    whole = [F.struct(*[docs[c] for c in docs.columns if c.lower() not in ADDED]).alias("row")] if row else []
+    return docs.select(*whole, id_.alias("doc_id"), source.alias("source"), size.alias("size"), h.alias("h"))
 
 
 def thresholds(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -101,17 +117,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 
     Each source's taken words differ from its target by at most its largest document. A null text has
     size 0; a null source is a source; rows that repeat a doc_id are taken alike. The choice depends
-    on doc_id alone, so reruns agree. No rows give no rows. Names that the result adds replace
-    columns of docs with the same name.
+    on doc_id alone, so reruns agree. No rows give no rows. The four columns that the result adds
+    replace columns of docs with these names, in upper or lower case; other names are free.
     """
     small, _ = written(sized(docs), "sized")
-    cuts = thresholds(small, weights, share, cap)
-    more = ["*"] if keep else []
-    rows = sized(docs.drop("size", "h", "source_size", "target", "taken"), *[c for c in docs.columns if c not in ("doc_id", "source", "size", "h", "source_size", "target", "taken")]) if more else small
-    c = cuts.withColumnRenamed("source", "of")
+    cuts = thresholds(small, weights, share, cap).withColumnRenamed("source", "of")
+    rows = sized(docs, row=True) if keep else small
     extra = F.coalesce((F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("cut_in")), F.lit(False))
-    out = rows.join(_small(c), F.col("source").eqNullSafe(F.col("of"))).withColumn("taken", F.col("size") * (F.col("copies") + extra.cast("long")))
-    if not keep:
-        return out.select("doc_id", "size", "source_size", "target", "taken")
-    kept = [x for x in docs.columns if x not in ("size", "source_size", "target", "taken", "h")]
-    return out.where("taken > 0").select(*kept, "size", "source_size", "target", "taken")
+    out = rows.join(_small(cuts), F.col("source").eqNullSafe(F.col("of"))).withColumn("taken", F.col("size") * (F.col("copies") + extra.cast("long")))
+    return out.where("taken > 0").select("row.*", *ADDED) if keep else out.select("doc_id", *ADDED)
