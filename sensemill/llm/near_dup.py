@@ -264,16 +264,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, registers: int = RE
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """docs without the near duplicates: of each class the document with the smallest doc_id stays, once.
 
-    Rows with a null doc_id or a null text all stay.
+    Rows with a null doc_id or a null text all stay. Columns may have any names.
     """
     gone = near_duplicates(docs, **parameters).where("class_id <> doc_id").select("doc_id").distinct()
-    id_ = F.col("doc_id").cast("long")
-    twice = Window.partitionBy("__id", "__digest").orderBy(F.lit(0))
-    return (
-        docs.withColumn("__id", id_)
-        .join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left_anti")
-        .withColumn("__digest", F.md5("text"))
-        .withColumn("__n", F.row_number().over(twice))
-        .where("__n = 1 or __id is null or text is null")
-        .select(*docs.columns)
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.md5(docs["text"].cast("string")).alias("digest")
     )
+    once = Window.partitionBy("doc_id", "digest").orderBy(F.lit(0))
+    left = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("n", F.row_number().over(once)).where("n = 1 or digest is null")
+    return left.select("row.*").unionByName(rows.where("doc_id is null").select("row.*"))

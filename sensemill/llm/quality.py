@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     code = _CODE[data]
 
     def per_text(marks: np.ndarray, at: np.ndarray = offsets) -> np.ndarray:
-        return np.diff(np.r_[0, np.cumsum(marks)][at]).astype(float)
+        if marks.dtype == bool:
+            return np.diff(np.searchsorted(np.flatnonzero(marks), at)).astype(float)
+        return np.diff(np.r_[0, np.cumsum(marks)][at])
 
     share = [per_text(code == i + 1) / np.maximum(size, 1) for i in range(len(_CLASSES) + 1)]
     words = K.split(data, offsets)
@@ -209,17 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Additiv
     return fit(got[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), got["quality"].to_numpy(float))
 
 
-def scored(docs: DataFrame, model: Additive, *columns: str, score: str = "score") -> DataFrame:
-    """The given columns of docs and the score of the column text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [model.score(features(data, offsets)) for _, data, offsets in K.pieces(batch.column("__text"))]
-            if s:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.concatenate(s))], [*columns, score])
-
-    schema = docs.select(*columns).schema.add(score, "double")
-    return map_arrow(docs.select(*columns, F.col("text").cast("string").alias("__text")), run, schema)
+def _batch_scores(model: Additive, column: pa.Array) -> pa.Array:
+    s = [model.score(features(data, offsets)) for _, data, offsets in K.pieces(column)]
+    return pa.array(np.concatenate(s) if s else np.zeros(0))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,10 +225,25 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id is held out. Rows that repeat a doc_id are scored each by its own text. Other columns are
     ignored. Without labels all scores are one half.
     """
-    out = scored(docs, train(docs, labels), "doc_id")
+    model = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _batch_scores(model, batch.column("text"))], ["doc_id", "score"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = map_arrow(rows, run, rows.select("doc_id").schema.add("score", "double"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
 def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with their columns."""
-    return scored(docs, train(docs, labels), *docs.columns, score="__score").where(F.col("__score") >= KEEP_FROM).drop("__score")
+    """The rows of docs that the classifier doesn't reject, with their columns, whatever these are named."""
+    model = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pc.greater_equal(_batch_scores(model, batch.column("text")), KEEP_FROM)
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(keep)], ["row"])
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    return map_arrow(rows, run, rows.select("row").schema).select("row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import written
+from .common import map_arrow, written
 
 WINDOW, MINIMISER = 50, 10
 #: A bucket sorts up to so many packed strings of one minimiser in memory (about 50 MB); the windows of a larger
@@ -179,7 +179,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(rows: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """rows (doc_id not null, th, text), th telling apart texts of one doc_id. Returns doc_id, th and
     ranges, an array of word ranges lo to hi (exclusive) that windows of smaller documents cover."""
-    place, _ = written(rows.mapInArrow(_scan(window, m), "doc_id long, th int, mini long, packed long, start int, windows int"), "super-k-mers")
+    place, _ = written(map_arrow(rows, _scan(window, m), "doc_id long, th int, mini long, packed long, start int, windows int"), "super-k-mers")
     shared = (
         place.groupBy("mini")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("packed").alias("p"), F.max("packed").alias("q"))
@@ -197,7 +197,7 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, m: int = MINIMISER) -
         .join(many, "mini", "left")
         .groupBy("x.doc_id", "x.th").agg(F.collect_list(F.struct("mini", "packed", "x.start", "x.windows", F.coalesce("large", F.lit(False)).alias("large"))).alias("asked"))
     )
-    strings = rows.join(asked, ["doc_id", "th"]).select("doc_id", "text", "asked").mapInArrow(_packer(window), "mini long, packed long, doc_id long, large boolean, words string")
+    strings = map_arrow(rows.join(asked, ["doc_id", "th"]).select("doc_id", "text", "asked"), _packer(window), "mini long, packed long, doc_id long, large boolean, words string")
     strings, _ = written(strings, "packed")
     bucket = strings.where("not large").select("mini", "packed", "doc_id", "words").repartition("mini").sortWithinPartitions("mini")
     lost = bucket.mapInArrow(_sorted_bucket(window), "mini long, packed long, lo int, hi int")
@@ -220,4 +220,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.coalesce(F.hash("text"), F.lit(0)))
     ranges = repeated_ranges(rows.where("doc_id is not null and text is not null"), window)
-    return rows.join(ranges, ["doc_id", "th"], "left").select("doc_id", "text", "ranges").mapInArrow(_cutter, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(rows.join(ranges, ["doc_id", "th"], "left").select("doc_id", "text", "ranges"), _cutter, "doc_id long, n_words long, n_removed long, kept_sha256 string")
