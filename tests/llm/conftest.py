@@ -4,6 +4,9 @@ import pytest
 
 #: Columns that the operators name themselves, to clash with.
 EXTRA = "size long, score double, node long, root long, h long, taken long, target double, hash string, spans string, source_size long"
+#: Names that their inner columns have, or had.
+EXTRA += "".join(f", {c} int" for c in "row no id digest n part copies cut cut_in rest of marks at start end live example owner __id __digest __n __score __text __row __spans __marks".split())
+EXTRA += ", held boolean, class_id long, quality int"
 
 
 def word(rng):
@@ -31,7 +34,7 @@ def rows():
 
 @pytest.fixture(scope="session")
 def docs(spark, rows):
-    out = [(i, t, [None, "a", "b", "ü"][n % 4] if n % 9 else "a", "en", None if t is None else len(t)) + (1, 1.0, 1, 1, 1, 1, 1.0, "x", "x", 1) for n, (i, t) in enumerate(rows)]
+    out = [(i, t, [None, "a", "b", "ü"][n % 4] if n % 9 else "a", "en", None if t is None else len(t)) + (1, 1.0, 1, 1, 1, 1, 1.0, "x", "x", 1) + (7,) * 26 + (True, 3, 0) for n, (i, t) in enumerate(rows)]
     return spark.createDataFrame(out, "doc_id long, text string, source string, lang string, n_chars long, " + EXTRA).repartition(3)
 
 
