@@ -39,36 +39,41 @@ _BLOCKS = "block long, doc_id array<long>, held array<boolean>, n array<int>, to
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 24
+    parts, size = [], 0  # of the block that is being filled
     for batch in batches:
-        held_in = batch.column("held").to_numpy(zero_copy_only=False)
-        hashes, tails, sizes, nbytes, row = [], [], [], 0, 0
         for part, data, offsets in K.pieces(batch.column("text")):
             w = K.split(data, offsets, _TABLE)
             # The last two bytes of a word tell its tail class; endings differ between languages.
             ending = _lower(data[w.end - 1]) * 31 + _lower(data[np.maximum(w.end - 2, w.start)]) * 7 if len(w.end) else w.end
-            hashes.append(np.insert(w.hash, w.first[1:], _END))
-            tails.append(np.insert((ending % gru.TAIL).astype(np.int8), w.first[1:], 0))
-            sizes.append(w.counts + 1)
-            nbytes += len(data)
-            if nbytes >= BLOCK_BYTES or part.stop == batch.num_rows:
-                h, t, n = np.concatenate(hashes), np.concatenate(tails), np.concatenate(sizes)
-                words, at, tokens = np.unique(h, return_index=True, return_inverse=True)
-                # The most frequent words of a block have the smallest numbers, so the upper bytes of tokens are mostly zero.
-                rank = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
-                words, at = words[rank], at[rank]
-                tokens = np.argsort(rank)[tokens]
-                held = held_in[row : part.stop]
-                counts = np.bincount(tokens[np.repeat(~held, n)], minlength=len(words))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number]), _one(batch.column("doc_id").slice(row, part.stop - row)), _one(pa.array(held)), _one(pa.array(n.astype(np.int32))),
-                        pa.array([_planes(tokens)], pa.binary()), _one(pa.array(words.view(np.int64))),
-                        _one(pa.array(counts.astype(np.int32))), _one(pa.array(t[at])),
-                    ],
-                    ["block", "doc_id", "held", "n", "tokens", "words", "counts", "tail"],
-                )
-                number += 1
-                hashes, tails, sizes, nbytes, row = [], [], [], 0, part.stop
+            texts = slice(part.start, part.stop)
+            parts.append((
+                np.insert(w.hash, w.first[1:], _END), np.insert((ending % gru.TAIL).astype(np.int8), w.first[1:], 0), w.counts + 1,
+                batch.column("held").to_numpy(zero_copy_only=False)[texts], batch.column("doc_id").slice(part.start, part.stop - part.start),
+            ))
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield _block(number, parts)
+                number, parts, size = number + 1, [], 0
+    if parts:
+        yield _block(number, parts)
+
+
+def _block(number: int, parts: list[tuple]) -> pa.RecordBatch:
+    h, tail, n, held = (np.concatenate(x) for x in list(zip(*parts))[:4])
+    words, at, tokens = np.unique(h, return_index=True, return_inverse=True)
+    # The most frequent words of a block have the smallest numbers, so the upper bytes of tokens are mostly zero.
+    rank = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+    words, at = words[rank], at[rank]
+    tokens = np.argsort(rank)[tokens]
+    counts = np.bincount(tokens[np.repeat(~held, n)], minlength=len(words))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([number]), _one(pa.concat_arrays([p[4] for p in parts])), _one(pa.array(held)), _one(pa.array(n.astype(np.int32))),
+            pa.array([_planes(tokens)], pa.binary()), _one(pa.array(words.view(np.int64))),
+            _one(pa.array(counts.astype(np.int32))), _one(pa.array(tail[at])),
+        ],
+        ["block", "doc_id", "held", "n", "tokens", "words", "counts", "tail"],
+    )
 
 
 def _planes(tokens: np.ndarray) -> bytes:
