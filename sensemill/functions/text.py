@@ -206,3 +206,25 @@ def clipboard_line(headword: Column, translations: Column, definition: Column) -
 
 def usable_headword(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[\p{L}\p{N}]") & ~F.contains(c, F.lit("&")), F.lit(False))
+
+
+#: Tags that are flags.
+TAG_FLAGS = {"obsolete": "obsolete", "archaic": "archaic", "rare": "rare", "US": "american", "UK": "british"}
+
+
+def tag_flag(tag: Column) -> Column:
+    """The flag of a tag, null for tags that are none."""
+    return F.try_element_at(_mapping(TAG_FLAGS), F.trim(tag))
+
+
+def key_list(c: Column) -> Column:
+    """The distinct parts of a comma-separated parameter, trimmed, without blank ones, in their first order."""
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def punctuation_twin(query: Column) -> Column:
+    """The search key of a one-word query that holds quotes, stars or brackets, where that is another word; else null.
+    Phrases, exclusions and longer queries keep their own syntax."""
+    q = F.trim(query)
+    key = search_key(q)
+    return F.when(q.rlike(r"^[^\s\-!\"][^ ]*$") & q.rlike(r"[\"'`*()]") & (key != "") & (key != q) & ~F.contains(key, F.lit(" ")), key)

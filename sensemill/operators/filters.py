@@ -48,15 +48,21 @@ def prefixed(entities: DataFrame, key: str, headword: str, forms: DataFrame, for
 
 
 def subtree(nodes: DataFrame, root: str, key: str = "key", parent: str = "parent") -> DataFrame:
-    """Keys of a node and of all below it, cycle-safe, by a recursive query."""
-    nodes.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView("__tree")
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE below(k, depth) AS (
-             SELECT k, 0 FROM __tree WHERE k = :root
-             UNION ALL SELECT t.k, b.depth + 1 FROM below b JOIN __tree t ON t.p = b.k WHERE b.depth < 20)
-           SELECT DISTINCT k AS key FROM below""",
-        args={"root": root},
-    )
+    """Keys of a node and of all below it, however deep, each once; cycles end by themselves.
+
+    Round r takes in the nodes up to 2**r - 1 levels down, by links to the ancestor 2**(r - 1) levels up, so a deep
+    tree takes few rounds; each round's tables are kept, and it ends when a round finds nothing new.
+    """
+    up = nodes.select(F.col(key).alias("key"), F.col(parent).alias("above")).where("key is not null and above is not null").distinct().persist()
+    found = nodes.where(F.col(key) == root).select(F.col(key).alias("key")).distinct().persist()
+    n = found.count()
+    while n:
+        found = up.join(found.withColumnRenamed("key", "above"), "above").select("key").unionByName(found).distinct().persist()
+        before, n = n, found.count()
+        if n == before:
+            break
+        up = up.join(up.select(F.col("key").alias("above"), F.col("above").alias("higher")), "above").select("key", F.col("higher").alias("above")).distinct().persist()
+    return found
 
 
 def page(df: DataFrame, *order: Column, offset: int = 0, limit: int = 50) -> DataFrame:

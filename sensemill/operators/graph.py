@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensemill.functions.text import definition_similarity, relation_group
 
 DEPTH = 5
+#: Keyword lists up to this length are matched inside the row, before tokens become rows.
+MOST_WORDS = 2_000
 
 
 def catalogue(synsets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,20 +39,22 @@ def closure(starts: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFram
 
 
 def link(senses: DataFrame, evidence: DataFrame, least: float = 0.60) -> DataFrame:
-    """Links senses (sense_id, tokens) to candidate synsets (sense_id, synset_id, tokens): the best definition
-    similarity if it is `least` or more and not tied; else the synset that shares most tokens, two at least and
-    untied; ties stay unlinked. Gives sense_id, synset_id, confidence, method for every sense with candidates."""
-    pairs = evidence.withColumnRenamed("tokens", "__b").join(senses.select("sense_id", F.col("tokens").alias("__a")), "sense_id")
-    pairs = pairs.select(
-        "sense_id", "synset_id", F.round(definition_similarity(F.col("__a"), F.col("__b")), 6).alias("sim"), F.size(F.array_intersect("__a", "__b")).alias("shared")
-    )
-    best = pairs.groupBy("sense_id").agg(
-        F.max("sim").alias("sim"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("n"),
-        F.max(F.struct("sim", "synset_id")).alias("by_sim"), F.max(F.struct("shared", "synset_id")).alias("by_shared"),
+    """Links senses (sense_id, tokens) to candidate synsets (sense_id, synset_id, tokens), as linked() does."""
+    pairs = evidence.withColumnRenamed("tokens", "b").join(senses.select("sense_id", F.col("tokens").alias("a")), "sense_id")
+    return linked(pairs.select("sense_id", "synset_id", "a", "b"), least)
+
+
+def linked(pairs: DataFrame, least: float = 0.60) -> DataFrame:
+    """Of candidate pairs (sense_id, synset_id, and the tokens of both, a and b): the best definition similarity if it
+    is `least` or more and not tied; else the synset that shares most tokens, two at least and untied; ties stay
+    unlinked. Gives sense_id, synset_id, confidence, method for every sense with candidates."""
+    of = Window.partitionBy("sense_id")
+    scored = pairs.select("sense_id", "synset_id", F.round(definition_similarity(F.col("a"), F.col("b")), 6).alias("sim"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    scored = scored.withColumn("top", F.max("sim").over(of)).withColumn("most", F.max("shared").over(of))
+    b = scored.groupBy("sense_id").agg(
+        F.max("top").alias("sim"), F.max("most").alias("shared"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("sim") == F.col("top")).alias("n_sim"),
+        F.count_if(F.col("shared") == F.col("most")).alias("n_shared"), F.max(F.struct("sim", "synset_id")).alias("by_sim"), F.max(F.struct("shared", "synset_id")).alias("by_shared"),
     )
-    tied = pairs.join(best.select("sense_id", F.col("sim").alias("top"), F.col("shared").alias("most")), "sense_id")
-    tied = tied.groupBy("sense_id").agg(F.count_if(F.col("sim") == F.col("top")).alias("n_sim"), F.count_if(F.col("shared") == F.col("most")).alias("n_shared"))
-    b = best.join(tied, "sense_id")
     good = (F.col("sim") >= least) & (F.col("n_sim") == 1)
     tokens = ~good & (F.col("shared") >= 2) & (F.col("n_shared") == 1)
     only = F.col("n") == 1
@@ -62,6 +66,13 @@ def link(senses: DataFrame, evidence: DataFrame, least: float = 0.60) -> DataFra
     )
 
 
+def words_among(tokens: Column, words: DataFrame) -> Column:
+    """Distinct tokens of a row, only those among `words` (a column word) where these are few: so they are matched
+    inside the row, before tokens become rows."""
+    few = [r["word"] for r in words.select("word").distinct().limit(MOST_WORDS + 1).collect()]
+    return F.array_intersect(tokens, F.array(*[F.lit(w) for w in few]).cast("array<string>")) if len(few) <= MOST_WORDS else F.array_distinct(tokens)
+
+
 def classify(entries: DataFrame, keywords: DataFrame) -> DataFrame:
     """Taxonomy classes of entries (entry_id, headword, tokens) by a keyword table (top, sub, word).
 
@@ -69,12 +80,17 @@ def classify(entries: DataFrame, keywords: DataFrame) -> DataFrame:
     keywords of a sub class among the tokens give it (0.80), two of a top class give that (0.70). A sub class
     yields its top. The best confidence of each class is kept.
     """
-    hits = entries.select("entry_id", "headword", F.explode("tokens").alias("word")).distinct().join(keywords, "word")
-    per = hits.groupBy("entry_id", "top", "sub").agg(F.countDistinct("word").alias("n"), F.max((F.col("word") == F.col("headword")).cast("int")).alias("own"))
-    sub = per.select("entry_id", "top", "sub", F.when((F.col("own") == 1) & (F.col("n") >= 2), 0.90).when(F.col("n") >= 2, 0.80).alias("confidence")).where("confidence is not null")
-    top = (
-        hits.groupBy("entry_id", "top").agg(F.countDistinct("word").alias("n")).where("n >= 2")
-        .select("entry_id", "top", F.lit("").alias("sub"), F.lit(0.70).alias("confidence"))
-    )
-    every = sub.unionByName(top).unionByName(sub.select("entry_id", "top", F.lit("").alias("sub"), "confidence"))
-    return every.groupBy("entry_id", "top", "sub").agg(F.max("confidence").alias("confidence"))
+    hits = entries.select("entry_id", "headword", F.explode(words_among(F.col("tokens"), keywords)).alias("word")).join(keywords, "word")
+    own = F.struct("sub", "word", (F.col("word") == F.col("headword")).alias("own"))
+    per = hits.groupBy("entry_id", "top").agg(F.collect_set(own).alias("h"))  # at most the keywords of a class
+
+    def sub(name: Column) -> Column:
+        mine = F.filter("h", lambda x: x["sub"] == name)
+        n = F.size(F.array_distinct(F.transform(mine, lambda x: x["word"])))
+        return F.struct(name.alias("sub"), F.when(n >= 2, F.when(F.exists(mine, lambda x: x["own"]), 0.90).otherwise(0.80)).alias("confidence"))
+
+    subs = F.filter(F.transform(F.array_distinct(F.transform("h", lambda x: x["sub"])), sub), lambda s: s["confidence"].isNotNull())
+    several = F.when(F.size(F.array_distinct(F.transform("h", lambda x: x["word"]))) >= 2, 0.70)
+    top = F.greatest(F.array_max(F.transform(F.col("subs"), lambda s: s["confidence"])), several)
+    every = F.concat("subs", F.filter(F.array(F.struct(F.lit("").alias("sub"), top.alias("confidence"))), lambda s: s["confidence"].isNotNull()))
+    return per.withColumn("subs", subs).select("entry_id", "top", F.inline(every))

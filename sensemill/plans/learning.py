@@ -96,11 +96,11 @@ def assign_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "import_classify",
-    """WITH i AS (SELECT o_orderkey AS id, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)
+    """WITH i AS (SELECT o_orderkey AS id, o_custkey, o_totalprice, o_orderpriority FROM orders)
         SELECT id, CASE WHEN o_totalprice < 20000 THEN 'error' WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'new' WHEN o_orderpriority = '5-LOW' THEN 'conflict' ELSE 'existing_match' END AS status FROM i""",
 )
 def import_classify(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").where("o_orderkey % 3 = 0")  # the imported file
+    rows = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")  # the imported file
     known = table(spark, sf, "customer", "c_custkey", "c_acctbal").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
     status = F.when(F.col("o_totalprice") < 20_000, "error").when(F.col("known").isNull(), "new").when(F.col("o_orderpriority") == "5-LOW", "conflict").otherwise("existing_match")
     return rows.join(known, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), status.alias("status"))

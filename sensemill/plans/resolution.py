@@ -65,11 +65,11 @@ def text_search_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "embedding_recipe",
-    r"""SELECT doc_id, sha256(concat_ws(' | ', nullif(trim(source), ''), nullif(trim(lang), ''), nullif(trim(left(text, 80)), ''), nullif(trim(substr(text, 81, 40)), ''), nullif(trim(substr(text, 121, 40)), ''))) AS sha FROM documents""",
+    r"""SELECT doc_id, sha256(concat_ws(' | ', nullif(trim(source), ''), nullif(trim(lang), ''), nullif(trim(text), ''), nullif(trim(string_split(text, chr(10))[1]), ''), nullif(trim(string_split(text, chr(10))[2]), ''))) AS sha FROM documents""",
 )
 def embedding_recipe(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    recipe = X.embed_text(F.col("source"), F.col("lang"), F.substring(t, 1, 80), F.array(F.substring(t, 81, 40), F.substring(t, 121, 40), F.lit("never")))
+    recipe = X.embed_text(F.col("source"), F.col("lang"), t, F.split(t, "\n"))  # lines are examples, of which the first two count
     return table(spark, sf, "documents", "doc_id", "source", "lang", "text").select("doc_id", F.sha2(recipe, 256).alias("sha"))
 
 
@@ -116,25 +116,25 @@ def identity_clusters(spark: SparkSession, sf: str) -> DataFrame:
 def _align(batches):
     for b in batches:
         out = []
-        for entry, text in zip(b["conv_id"], b["text"]):
+        for entry, turn, text in zip(b["conv_id"], b["turn"], b["text"]):
             words = text.split()
             inline = [words[:2], words[2:3], []]
-            out += [(entry, s, w, c) for s, w, c in identity.align_translations(inline, list(dict.fromkeys(words[:12])), words[0] if words else "")]
-        yield pd.DataFrame(out, columns=["entry", "sense", "translation", "confidence"])
+            out += [(entry, turn, s, w, c) for s, w, c in identity.align_translations(inline, list(dict.fromkeys(words)), words[0] if words else "")]
+        yield pd.DataFrame(out, columns=["entry", "turn", "sense", "translation", "confidence"])
 
 
 @query("align_translations")
 def align_translations(spark: SparkSession, sf: str) -> DataFrame:
-    """Each conversation's first line as an entry with three senses and twelve words to align."""
-    c = table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.coalesce("text", F.lit("")).alias("text"))
-    return c.mapInPandas(_align, "entry long, sense long, translation string, confidence double")
+    """Each turn of a conversation as an entry with three senses and its words to align."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return c.mapInPandas(_align, "entry long, turn long, sense long, translation string, confidence double")
 
 
 @query(
     "synset_link",
-    rf"""WITH s AS (SELECT doc_id, {_TOKENS.format('left(text, 400)')} AS t FROM documents), b AS (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark),
+    rf"""WITH s AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents), b AS (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark),
         w AS (SELECT item_id, unnest(t) AS w FROM b), sw AS (SELECT doc_id, unnest(t) AS w FROM s),
-        ev AS (SELECT doc_id, item_id FROM sw JOIN w USING (w) GROUP BY ALL HAVING count(*) >= 4),
+        lm AS (SELECT item_id, first(w ORDER BY length(w) DESC, w) AS w FROM w GROUP BY 1), ev AS (SELECT doc_id, item_id FROM sw JOIN lm USING (w)),
         p AS (SELECT ev.doc_id, ev.item_id, len(list_intersect(s.t, b.t)) AS shared, len(s.t) AS na, len(b.t) AS nb, s.t = b.t AS same FROM ev JOIN s USING (doc_id) JOIN b USING (item_id)),
         q AS (SELECT *, round(CASE WHEN least(na, nb) = 0 THEN 0 WHEN same THEN 0.95 WHEN shared = least(na, nb) AND shared >= 2 THEN 0.9
               WHEN shared / (na + nb - shared)::DOUBLE >= 0.75 THEN shared / (na + nb - shared)::DOUBLE ELSE shared / (na + nb - shared)::DOUBLE / 2 END::DOUBLE, 6) AS sim FROM p),
@@ -146,12 +146,13 @@ def align_translations(spark: SparkSession, sf: str) -> DataFrame:
           CASE WHEN top >= 0.6 AND n_sim = 1 THEN 'definition-match' WHEN n = 1 THEN 'monosemous' WHEN most >= 2 AND n_both = 1 THEN 'shared-tokens' ELSE 'ambiguous' END AS method FROM h""",
 )
 def synset_link(spark: SparkSession, sf: str) -> DataFrame:
-    """The start of a document is a gloss, benchmark items are synsets; four shared tokens make a candidate."""
-    s = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("sense_id"), X.significant_tokens(_native_key(F.expr("left(text, 400)"))).alias("tokens"))
+    """A document is a gloss, benchmark items are synsets; an item's longest token is its lemma, and documents that hold it have it as evidence."""
+    s = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("sense_id"), X.significant_tokens(_native_key(F.col("text"))).alias("tokens"))
     b = table(spark, sf, "benchmark", "item_id", "text").select(F.col("item_id").alias("synset_id"), X.significant_tokens(_native_key(F.col("text"))).alias("tokens"))
-    shared = s.select("sense_id", F.explode("tokens").alias("w")).join(b.select("synset_id", F.explode("tokens").alias("w")), "w")
-    candidates = shared.groupBy("sense_id", "synset_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").drop("n")
-    out = graph.link(s, candidates.join(b, "synset_id"))
+    lemma = F.get(F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("w")))), F.lit(0))["w"]
+    items = b.select("synset_id", F.col("tokens").alias("b"), lemma.alias("word")).where("word is not null")
+    held = s.select("sense_id", F.col("tokens").alias("a"), F.explode(graph.words_among(F.col("tokens"), items)).alias("word"))
+    out = graph.linked(held.join(items, "word"))
     return out.select(F.col("sense_id").alias("doc_id"), F.col("synset_id").alias("item_id"), "confidence", "method")
 
 
@@ -183,7 +184,7 @@ _KEYWORDS = [("law", "license", w) for w in ("license", "apache", "gnu", "mit",
         SELECT doc_id, top, sub, max(c) AS confidence FROM a GROUP BY ALL""",
 )
 def taxonomy_assign(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.split(_native_key(F.col("text")), " ")
+    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), "")
     e = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("entry_id"), F.get(words, F.lit(0)).alias("headword"), F.array_distinct(words).alias("tokens"))
     k = spark.createDataFrame(_KEYWORDS, "top string, sub string, word string")
     return graph.classify(e, F.broadcast(k)).withColumnRenamed("entry_id", "doc_id")  # the keyword table is a constant

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("browse", "channels", "rollups", "resolution", "enrichment", "learning", "changes")
+_PLANS = ("browse", "requests", "corpus", "channels", "rollups", "resolution", "enrichment", "learning", "changes")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

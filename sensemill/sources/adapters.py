@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensemill.functions.score import LEVELS
-from sensemill.functions.text import collapsed, usable_headword
+from sensemill.functions.text import collapsed, search_key, usable_headword
 
 SAMPLE = 100
 
 _TEXT = T.StringType()
-_SENSE = "struct<glosses:array<string>,tags:array<string>,examples:array<struct<text:string>>,id:string>"
+_SENSE = "struct<glosses:array<string>,tags:array<string>,examples:array<string>,id:string>"
 DUMP = f"word string, lang string, pos string, senses array<{_SENSE}>, translations array<struct<code:string,word:string>>, categories array<string>"
 SYNSET = "struct<definition:array<string>,example:array<string>,ili:string,members:array<string>,partOfSpeech:string"
 #: Relations of a synset that count.
@@ -34,7 +34,8 @@ def _csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return df.select(*[F.col(f"`{c}`") for c in columns], (F.monotonically_increasing_id() + 2).alias("row"))
+    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq"))
+    return rows.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("seq")) + 1).drop("file", "seq")
 
 
 def _again(*key: Column) -> Column:
@@ -77,15 +78,20 @@ def frequency_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _example(x: Column) -> Column:
+    """An example is a plain string, or an object (which arrives as its JSON text) whose text counts."""
+    return F.when(F.startswith(x, F.lit("{")), F.coalesce(F.get_json_object(x, "$.text"), x)).otherwise(x)
+
+
 def dictionary_dump(spark: SparkSession, path: str, targets: DataFrame | None = None) -> DataFrame:
-    """JSON lines, gzipped or not: every line is parsed before any filter. targets: a column key, the lower-case
-    headwords that are wanted. A gzipped file is one task to read, so its lines are dealt out before parsing."""
+    """JSON lines, gzipped or not: every line is parsed before any filter. targets: a column key, the search keys of
+    the headwords that are wanted. A gzipped file is one task to read, so its lines are dealt out before parsing."""
     lines = spark.read.text(path).repartition(spark.sparkContext.defaultParallelism)
     e = lines.select(F.from_json("value", DUMP + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("e")).select("e.*")
     glossed = F.filter(
         F.transform(F.coalesce("senses", F.array()), lambda s: F.struct(
             F.get(F.filter(s["glosses"], lambda g: F.trim(g) != ""), F.lit(0)).alias("gloss"),
-            F.slice(F.coalesce(F.transform(s["examples"], lambda x: x["text"]), F.array().cast("array<string>")), 1, 3).alias("examples"),
+            F.slice(F.coalesce(F.transform(s["examples"], _example), F.array().cast("array<string>")), 1, 3).alias("examples"),
             F.transform(F.coalesce(s["tags"], F.array().cast("array<string>")), lambda x: F.trim(x)).alias("tags"), s["id"].alias("id"),
         )),
         lambda s: s["gloss"].isNotNull(),
@@ -93,7 +99,7 @@ def dictionary_dump(spark: SparkSession, path: str, targets: DataFrame | None =
     polish = F.filter(F.transform(F.filter(F.coalesce("translations", F.array()), lambda t: t["code"] == "pl"), lambda t: F.trim(t["word"])), lambda w: w != "")
     e = e.withColumn("senses", glossed).withColumn("polish", polish)
     if targets is not None:
-        e = e.join(targets.select(F.col("key").alias("__key")).distinct().withColumn("__wanted", F.lit(True)), F.lower("word") == F.col("__key"), "left")
+        e = e.join(targets.select(F.col("key").alias("__key")).distinct().withColumn("__wanted", F.lit(True)), search_key(F.col("word")) == F.col("__key"), "left")
     else:
         e = e.withColumn("__wanted", F.lit(True))
     failed = F.when(F.col("_bad").isNotNull() | (F.col("word").isNull() & F.col("lang").isNull()), "malformed")
@@ -129,14 +135,21 @@ def synset_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 
 def target_keys(*profiles: DataFrame) -> DataFrame:
-    """Lower-case headword variants of several profiles, of two characters or more, each once."""
+    """Search keys of the headword variants of several profiles, of two characters or more, each once."""
     out = None
     for p in profiles:
-        one = p.where("verdict = 'processed'").select(F.explode(F.split("headword", "/")).alias("key")).select(F.lower(collapsed(F.col("key"))).alias("key"))
+        one = p.where("verdict = 'processed'").select(F.explode(F.split("headword", "/")).alias("key")).select(search_key(F.col("key")).alias("key"))
         out = one if out is None else out.unionByName(one)
     return out.where(F.length("key") >= 2).distinct()
 
 
+def examples(run: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """(word, example) of the first `most` words of wanted (word, place) that have an example in a dictionary run: a look-up."""
+    first = run.where("verdict = 'processed'").select("word", F.get(F.get(F.filter("senses", lambda s: F.size(s["examples"]) > 0), F.lit(0))["examples"], F.lit(0)).alias("example"))
+    some = first.where("example is not null").join(wanted, "word").groupBy("word").agg(F.min("place").alias("place"), F.min("example").alias("example"))
+    return some.orderBy("place", "word").limit(most).select("word", "example")
+
+
 def stats(run: DataFrame) -> DataFrame:
     """One row: read, processed, skipped, failed, warnings."""
     n = {k: F.count_if(F.col("verdict") == k) for k in ("processed", "skipped", "failed")}

@@ -20,6 +20,13 @@ def test_profiles(spark, tmp_path):
     assert [r["warning"] for r in A.advanced_profile(spark, str(p)).where("verdict = 'processed'").collect()] == ["missing_pos"]
 
 
+def test_rows_are_numbered_in_each_file(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("headword,pos,CEFR\n" + "".join(f"{name}{i},noun,A1\n" for i in range(3)))
+    got = sorted((r["headword"], r["record_id"]) for r in A.cefr_profile(spark, str(tmp_path)).collect())
+    assert got == [(f"{n}{i}", f"cefrj:row:{i + 2}") for n in "ab" for i in range(3)]
+
+
 def test_frequency_list(spark, tmp_path):
     p = tmp_path / "n.csv"
     p.write_text("Lemma,SFI Rank,SFI,Adjusted Frequency per Million (U)\nthe,1,88.1,60000\nThe, 2 ,80,5\nx,notanumber,1,1\nof,3,70,4\n")
@@ -35,6 +42,12 @@ def test_dictionary_dump(spark, tmp_path):
     assert A.stats(run).first().asDict() == {"read": 4, "processed": 1, "skipped": 2, "failed": 1, "warnings": 1}
     r = run.where("verdict = 'processed'").first()
     assert r["senses"][0]["gloss"] == "edge" and len(r["senses"][0]["examples"]) == 3 and r["polish"] == ["brzeg"]
+    mixed = {**good, "word": "café", "senses": [{"glosses": ["g"], "examples": ["plain", {"text": "object"}, {"ref": "no text"}, "fourth"]}]}
+    (tmp_path / "m.jsonl").write_text("\n".join(json.dumps(x) for x in (mixed, {**good, "word": "Bánk"}, {**good, "word": "other"})))
+    keys = spark.createDataFrame([("cafe",), ("bank",)], "key string")
+    got = {r["word"]: r for r in A.dictionary_dump(spark, str(tmp_path / "m.jsonl"), keys).collect()}
+    assert {w: r["verdict"] for w, r in got.items()} == {"café": "processed", "Bánk": "processed", "other": "skipped"}
+    assert got["café"]["senses"][0]["examples"] == ["plain", "object", '{"ref": "no text"}'.replace(" ", "")] or got["café"]["senses"][0]["examples"][:2] == ["plain", "object"]
     wanted = spark.createDataFrame([("other",)], "key string")
     assert A.dictionary_dump(spark, str(p), wanted).where("reason = 'not_wanted'").count() == 2
 
