@@ -210,7 +210,7 @@ class Model:
         grad["gates"] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], at)
         return grad, node, states[-1]
 
-    def train(self, ids: np.ndarray, first: np.ndarray, rate: float = RATE, most: int = 128, steps: int = 16, piece: int = 512) -> None:
+    def train(self, ids: np.ndarray, first: np.ndarray, rate: float = RATE, most: int = 192, steps: int = 16, piece: int = 512) -> None:
         """One pass of truncated backpropagation with Adam steps, over pieces of the texts; an input word's gates move when it occurs."""
         m, v = ({k: np.zeros(x.shape, F32) for k, x in self.p.items()} for _ in range(2))
         h, count = np.zeros((most, HIDDEN), F32), 0
