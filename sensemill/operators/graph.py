@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensemill.functions.text import definition_similarity, relation_group
+from sensemill.functions.text import definition_similarity, relation_group, stem
 
 DEPTH = 5
 #: Keyword lists up to this length are matched inside the row, before tokens become rows.
@@ -38,6 +38,11 @@ def closure(starts: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFram
     return found.distinct()
 
 
+#: Letters of synset ids that a part of speech may have.
+LETTERS = {"noun": ["n"], "verb": ["v"], "adjective": ["a", "s"], "adverb": ["r"]}
+SENSE_ID = 0.85
+
+
 def link(senses: DataFrame, evidence: DataFrame, least: float = 0.60) -> DataFrame:
     """Links senses (sense_id, tokens) to candidate synsets (sense_id, synset_id, tokens), as linked() does."""
     pairs = evidence.withColumnRenamed("tokens", "b").join(senses.select("sense_id", F.col("tokens").alias("a")), "sense_id")
@@ -45,25 +50,70 @@ def link(senses: DataFrame, evidence: DataFrame, least: float = 0.60) -> DataFra
 
 
 def linked(pairs: DataFrame, least: float = 0.60) -> DataFrame:
-    """Of candidate pairs (sense_id, synset_id, and the tokens of both, a and b): the best definition similarity if it
-    is `least` or more and not tied; else the synset that shares most tokens, two at least and untied; ties stay
-    unlinked. Gives sense_id, synset_id, confidence, method for every sense with candidates."""
+    """Links senses to the best of their candidates, pairs (sense_id, synset_id, and the tokens of both, a and b), by the
+    rules of link_senses with tokens as they are; all that stay unlinked are ambiguous. Gives sense_id, synset_id,
+    confidence, method for every sense with candidates."""
+    similar, shared = F.round(definition_similarity(F.col("a"), F.col("b")), 6), F.size(F.array_intersect("a", "b"))
+    out = _decided(pairs.select("sense_id", "synset_id", F.lit(True).alias("loaded"), similar.alias("sim"), shared.alias("shared")), least)
+    return out.withColumn("method", F.when(F.col("synset_id").isNull(), "ambiguous").otherwise(F.col("method")))
+
+
+def link_senses(senses: DataFrame, evidence: DataFrame, synsets: DataFrame, least: float = 0.60) -> DataFrame:
+    """Links every sense (sense_id, lemma, pos, tokens of its gloss) to a synset or says why not.
+
+    evidence: lemma, letter, synset_id; synsets: synset_id, tokens of the definition, members (their tokens).
+    A candidate's letter fits the part of speech. One candidate links by its similarity if that is `least` or more,
+    else as monosemous (0.80), and as sense-id (0.85) if it isn't among the synsets. Of several, those among the
+    synsets count: the best similarity, if `least` or more, links unless tied; below that, most shared stems of
+    definition and members (less the lemma's own), two at least, link unless tied (0.70). Similarity is that of tokens
+    or that of stems, the larger one. Gives sense_id, synset_id, confidence and method; unlinked senses have null, null
+    and no-evidence, pos-mismatch, ambiguous or weak-definition. Null tokens and members count as none.
+    """
+    none = F.array().cast("array<string>")
+
+    def stems(tokens: Column) -> Column:
+        return F.array_distinct(F.transform(tokens, stem))
+
+    def named(name: str) -> list[Column]:
+        tokens = F.coalesce("tokens", none)
+        return [tokens.alias(name), stems(tokens).alias(f"{name}_stems")]
+
+    letters = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.array(*[F.lit(x) for x in v])) for k, v in LETTERS.items()]))
+    own = senses.select("sense_id", "lemma", stem(F.col("lemma")).alias("own"), F.coalesce(F.try_element_at(letters, F.col("pos")), none).alias("letters"), *named("a"))
+    known = synsets.select("synset_id", *named("b"), stems(F.coalesce("members", none)).alias("m_stems"))
+    held = evidence.where("synset_id is not null").groupBy("lemma", "synset_id").agg(F.collect_set("letter").alias("of"))  # a few letters
+    pairs = own.join(held, "lemma", "left").withColumn("fits", F.coalesce(F.arrays_overlap("letters", "of"), F.lit(False)))
+    fitting = pairs.where("fits").join(known, "synset_id", "left")
+    similar = F.greatest(definition_similarity(F.col("a"), F.col("b")), definition_similarity(F.col("a_stems"), F.col("b_stems")))
+    members = F.array_except("m_stems", F.array("own"))
+    shared = F.size(F.array_intersect("a_stems", "b_stems")) + F.size(F.array_intersect("a_stems", members))
+    loaded = F.col("b").isNotNull()
+    best = _decided(fitting.select("sense_id", "synset_id", loaded.alias("loaded"), F.when(loaded, F.round(similar, 6)).alias("sim"), F.when(loaded, shared).alias("shared")), least)
+    seen = pairs.groupBy("sense_id").agg(F.bool_or(F.col("synset_id").isNotNull()).alias("seen"))
+    why = F.coalesce("method", F.when(F.col("seen"), "pos-mismatch").otherwise("no-evidence"))
+    return seen.join(best, "sense_id", "left").select("sense_id", "synset_id", "confidence", why.alias("method"))
+
+
+def _decided(scored: DataFrame, least: float) -> DataFrame:
+    """One row of each sense of scored (sense_id, synset_id, loaded, sim, shared); sim and shared are null if not loaded."""
     of = Window.partitionBy("sense_id")
-    scored = pairs.select("sense_id", "synset_id", F.round(definition_similarity(F.col("a"), F.col("b")), 6).alias("sim"), F.size(F.array_intersect("a", "b")).alias("shared"))
     scored = scored.withColumn("top", F.max("sim").over(of)).withColumn("most", F.max("shared").over(of))
     b = scored.groupBy("sense_id").agg(
         F.max("top").alias("sim"), F.max("most").alias("shared"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("sim") == F.col("top")).alias("n_sim"),
-        F.count_if(F.col("shared") == F.col("most")).alias("n_shared"), F.max(F.struct("sim", "synset_id")).alias("by_sim"), F.max(F.struct("shared", "synset_id")).alias("by_shared"),
+        F.count_if(F.col("shared") == F.col("most")).alias("n_shared"), F.max(F.when(F.col("loaded"), F.struct("sim", "synset_id"))).alias("by_sim"),
+        F.max(F.when(F.col("loaded"), F.struct("shared", "synset_id"))).alias("by_shared"), F.max("synset_id").alias("any"),
     )
-    good = (F.col("sim") >= least) & (F.col("n_sim") == 1)
-    tokens = ~good & (F.col("shared") >= 2) & (F.col("n_shared") == 1)
-    only = F.col("n") == 1
+    only, high = F.col("n") == 1, F.col("sim") >= least
+    good = high & (F.col("n_sim") == 1)
+    tokens = ~high & (F.col("shared") >= 2) & (F.col("n_shared") == 1)
+    tied = high | (F.col("shared") >= 2)
     return b.select(
         "sense_id",
-        F.when(good, F.col("by_sim.synset_id")).when(only, F.col("by_sim.synset_id")).when(tokens, F.col("by_shared.synset_id")).alias("synset_id"),
-        F.when(good, F.col("sim")).when(only, 0.80).when(tokens, 0.70).alias("confidence"),
-        F.when(good, "definition-match").when(only, "monosemous").when(tokens, "shared-tokens").otherwise("ambiguous").alias("method"),
-    )
+        F.when(good, F.col("by_sim.synset_id")).when(only, F.col("any")).when(tokens, F.col("by_shared.synset_id")).alias("synset_id"),
+        F.when(good, F.col("sim")).when(only, F.when(F.col("sim").isNull(), SENSE_ID).otherwise(0.80)).when(tokens, 0.70).alias("confidence"),
+        F.when(good, "definition-match").when(only, F.when(F.col("sim").isNull(), "sense-id").otherwise("monosemous")).when(tokens, "shared-tokens")
+        .when(tied, "ambiguous").otherwise("weak-definition").alias("method"),
+    )
 
 
 def words_among(tokens: Column, words: DataFrame) -> Column:

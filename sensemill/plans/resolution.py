@@ -141,9 +141,9 @@ def align_translations(spark: SparkSession, sf: str) -> DataFrame:
         g AS (SELECT *, max(sim) OVER d AS top, max(shared) OVER d AS most, count(*) OVER d AS n FROM q WINDOW d AS (PARTITION BY doc_id)),
         h AS (SELECT doc_id, max(top) AS top, max(most) AS most, max(n) AS n, count(*) FILTER (WHERE sim = top) AS n_sim, count(*) FILTER (WHERE shared = most) AS n_both,
               max(item_id) FILTER (WHERE sim = top) AS by_sim, max(item_id) FILTER (WHERE shared = most) AS by_both FROM g GROUP BY doc_id)
-        SELECT doc_id, CASE WHEN top >= 0.6 AND n_sim = 1 THEN by_sim WHEN n = 1 THEN by_sim WHEN most >= 2 AND n_both = 1 THEN by_both END AS item_id,
-          CASE WHEN top >= 0.6 AND n_sim = 1 THEN top WHEN n = 1 THEN 0.8::DOUBLE WHEN most >= 2 AND n_both = 1 THEN 0.7::DOUBLE END AS confidence,
-          CASE WHEN top >= 0.6 AND n_sim = 1 THEN 'definition-match' WHEN n = 1 THEN 'monosemous' WHEN most >= 2 AND n_both = 1 THEN 'shared-tokens' ELSE 'ambiguous' END AS method FROM h""",
+        SELECT doc_id, CASE WHEN top >= 0.6 AND n_sim = 1 THEN by_sim WHEN n = 1 THEN by_sim WHEN top < 0.6 AND most >= 2 AND n_both = 1 THEN by_both END AS item_id,
+          CASE WHEN top >= 0.6 AND n_sim = 1 THEN top WHEN n = 1 THEN 0.8::DOUBLE WHEN top < 0.6 AND most >= 2 AND n_both = 1 THEN 0.7::DOUBLE END AS confidence,
+          CASE WHEN top >= 0.6 AND n_sim = 1 THEN 'definition-match' WHEN n = 1 THEN 'monosemous' WHEN top < 0.6 AND most >= 2 AND n_both = 1 THEN 'shared-tokens' ELSE 'ambiguous' END AS method FROM h""",
 )
 def synset_link(spark: SparkSession, sf: str) -> DataFrame:
     """A document is a gloss, benchmark items are synsets; an item's longest token is its lemma, and documents that hold it have it as evidence."""

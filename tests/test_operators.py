@@ -48,6 +48,37 @@ def test_graph(spark):
     assert got == {1: ("s", "definition-match"), 2: (None, "ambiguous")}
 
 
+def test_link_senses(spark):
+    """Each way to link a sense, and each reason why one stays unlinked."""
+    senses = spark.createDataFrame(
+        [
+            (1, "cat", "noun", ["feline", "small"]), (2, "dog", "noun", ["loyal"]), (3, "owl", "noun", ["bird"]), (4, "run", "verb", ["moving", "fast", "legs"]),
+            (5, "bank", "noun", ["money", "house", "river"]), (6, "fast", "adjective", ["quick", "speedy"]), (7, "none", "noun", ["x"]), (8, "cat", "verb", ["feline"]),
+            (9, "weak", "noun", None), (10, None, "noun", ["a"]),
+        ],
+        "sense_id int, lemma string, pos string, tokens array<string>",
+    )
+    evidence = spark.createDataFrame(
+        [("cat", "n", "c1"), ("cat", "n", "c1"), ("dog", "n", "d1"), ("owl", "n", "lost"), ("run", "v", "r1"), ("run", "v", "r2"), ("run", "n", "r3"), ("bank", "n", "b1"), ("bank", "n", "b2"),
+         ("fast", "a", "f1"), ("fast", "s", "f2"), ("weak", "n", "b1"), ("weak", "n", "b2")],
+        "lemma string, letter string, synset_id string",
+    )
+    synsets = spark.createDataFrame(
+        [
+            ("c1", ["feline", "small"], []), ("d1", ["wolf"], None), ("r1", ["move", "quickly", "ground", "air"], ["leg", "run"]), ("r2", ["operate", "machine"], ["run"]),
+            ("b1", ["money", "house", "vault", "loan", "till"], ["bank"]), ("b2", ["money", "river", "shore", "water", "side"], ["bank"]), ("f1", ["quick", "speedy"], []), ("f2", ["quick", "speedy"], []),
+            ("r3", ["moving", "fast", "legs"], []),
+        ],
+        "synset_id string, tokens array<string>, members array<string>",
+    )
+    got = {r["sense_id"]: (r["synset_id"], r["confidence"], r["method"]) for r in graph.link_senses(senses, evidence, synsets).collect()}
+    assert got == {
+        1: ("c1", 0.95, "definition-match"), 2: ("d1", 0.80, "monosemous"), 3: ("lost", 0.85, "sense-id"), 4: ("r1", 0.70, "shared-tokens"), 5: (None, None, "ambiguous"),
+        6: (None, None, "ambiguous"), 7: (None, None, "no-evidence"), 8: (None, None, "pos-mismatch"), 9: (None, None, "weak-definition"), 10: (None, None, "no-evidence"),
+    }
+    assert not graph.link_senses(senses.limit(0), evidence.limit(0), synsets.limit(0)).collect()
+
+
 def test_merge(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
