@@ -72,6 +72,19 @@ def quality_score(confidence: Column, definition: Column, examples: Column, leve
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(raw + _HALF, 4)))
 
 
+def quality_indicators(confidence: Column, depth: Column, examples: Column, level: Column, frequency: Column, category: Column) -> dict[str, Column]:
+    """The eight indicators of a sense by name. confidence: mean of its translations, null without any; depth: tokens of
+    its gloss; examples: their number; category: its confidence, from 0 to 1. Missing evidence is false or 0."""
+    mean = F.coalesce(F.round(confidence + _HALF, 4), F.lit(0.0))
+    defined, examples = F.coalesce(depth >= 1, F.lit(False)), F.coalesce(examples, F.lit(0))
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(category, F.lit(0.0))))
+    return {
+        "translation_available": confidence.isNotNull(), "translation_confidence": mean, "definition_available": defined, "example_available": examples > 0,
+        "cefr_available": level.isNotNull(), "frequency_available": frequency.isNotNull(), "category_confidence": F.round(bounded + _HALF, 4),
+        "sense_confidence": quality_score(mean, defined.cast("double"), examples, level, frequency),
+    }
+
+
 def band(rank: Column) -> Column:
     out = F.lit("beyond")
     for name, most in reversed(BANDS.items()):

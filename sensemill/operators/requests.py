@@ -45,6 +45,35 @@ def scoped(rows: DataFrame, tenant: str, value, status: str = "status") -> DataF
     return rows.where((F.col(tenant) == value) & (F.col(status) != "DELETED"))
 
 
+@dataclass(frozen=True)
+class Children:
+    """A list of a detail: its rows, whose key names the root, their order (nulls last) and what is shown of each."""
+
+    rows: DataFrame
+    key: Column
+    order: list[Column | str]
+    shown: Column
+
+
+def detail(roots: DataFrame, key: str, active: Column, children: dict[str, Children]) -> DataFrame:
+    """Active roots, each with every child list as an array in its own order, empty without rows.
+
+    Child rows of all lists meet their roots in one shuffle by the key, whatever the number of lists. A list is one
+    value of its root's row. Rows that nothing is to be shown of (null) show as null.
+    """
+
+    def packed(name: str, c: Children) -> DataFrame:
+        order = [x for o in c.order for x in (F.isnull(o), F.col(o) if isinstance(o, str) else o)]
+        fields = [x.alias(f"o{i}") for i, x in enumerate(order)]
+        return c.rows.select(c.key.alias("of"), F.struct(*fields, c.shown.alias("shown")).alias(name)).where("of is not null")
+
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [packed(name, c) for name, c in children.items()])
+    lists = rows.groupBy("of").agg(*[F.transform(F.array_sort(F.collect_list(name)), lambda s: s["shown"]).alias(name) for name in children])
+    names = [F.coalesce(lists[name], F.array()).alias(name) for name in children]
+    kept = roots.where(active)
+    return kept.join(lists, kept[key] == lists["of"], "left").select(*[kept[c] for c in kept.columns if c not in children], *names)
+
+
 def disjunction(entities: DataFrame, key: str, request: channels.Request, fields: list[Column], children: list[DataFrame], prefix: Column) -> DataFrame:
     """Entities of which a field matches, or any row of a child table (given as its matching keys), or the prefix."""
     own = reduce(lambda a, b: a | b, [request.matches(channels.tokens(f)) for f in fields], prefix)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sensemill.functions.score import ordinal
 from sensemill.operators.filters import Evidence, at_least, page, prefixed, subtree
+from sensemill.operators.requests import Children, detail
 from sensemill.registry import query
 from sensemill.tables import table
 
@@ -109,8 +110,8 @@ def _sorted(name: str, sql_order: str, build):
         return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("p_partkey", "p_name", "place")
 
 
-_BASE = """(SELECT part.*, m.brand, s.rank, a.state FROM part
-    LEFT JOIN (SELECT p_name AS n, min(p_brand) AS brand FROM part WHERE p_size > 45 GROUP BY p_name) m ON n = p_name
+_BASE = """(SELECT part.*, m.brand, m.first, s.rank, a.state FROM part
+    LEFT JOIN (SELECT p_name AS n, min(p_brand) AS brand, first(p_brand ORDER BY p_size, p_partkey) AS first FROM part WHERE p_size > 45 GROUP BY p_name) m ON n = p_name
     LEFT JOIN (SELECT l_partkey AS k, min(l_linenumber) AS rank FROM lineitem WHERE l_quantity > 45 GROUP BY 1) s ON k = p_partkey
     LEFT JOIN (SELECT l_partkey AS ak, min(l_returnflag) AS state FROM lineitem WHERE l_suppkey = 7 GROUP BY 1) a ON ak = p_partkey)"""
 
@@ -120,8 +121,10 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_brand(spark: SparkSession, sf: str) -> DataFrame:
-    first = table(spark, sf, "part", "p_name", "p_brand", "p_size").where("p_size > 45").groupBy("p_name").agg(F.min("p_brand").alias("brand"))
-    return _parts(spark, sf).join(first, "p_name", "left")
+    """brand: the least of a headword's brands (a topic's key); first: that which stands first by position (a translation)."""
+    large = table(spark, sf, "part", "p_name", "p_brand", "p_size", "p_partkey").where("p_size > 45")
+    per = large.groupBy("p_name").agg(F.min("p_brand").alias("brand"), F.min_by("p_brand", F.struct("p_size", "p_partkey")).alias("first"))
+    return _parts(spark, sf).join(per, "p_name", "left")
 
 
 def _with_lines(spark: SparkSession, sf: str, where: str, column: str, name: str) -> DataFrame:
@@ -130,7 +133,7 @@ def _with_lines(spark: SparkSession, sf: str, where: str, column: str, name: str
 
 
 _sorted("headword", "p_name", lambda s, d: (_parts(s, d), F.col("p_name").asc_nulls_last()))
-_sorted("polish", "brand NULLS LAST", lambda s, d: (_with_brand(s, d), F.col("brand").asc_nulls_last()))
+_sorted("polish", "first NULLS LAST", lambda s, d: (_with_brand(s, d), F.col("first").asc_nulls_last()))
 _sorted("cefr", "list_position(['PROMO','STANDARD','MEDIUM','LARGE'], p_type) NULLS LAST", lambda s, d: (_parts(s, d), ordinal(F.col("p_type"), TYPES).asc_nulls_last()))
 _sorted("topic", "brand NULLS LAST", lambda s, d: (_with_brand(s, d), F.col("brand").asc_nulls_last()))
 _sorted("pos", "p_type NULLS LAST", lambda s, d: (_parts(s, d), F.col("p_type").asc_nulls_last()))
@@ -192,6 +195,51 @@ def detail_nested(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", "c_name", F.coalesce("orders", F.lit("")).alias("orders"), F.coalesce("lines", F.lit("")).alias("lines"))
 
 
+_LISTS = {  # name: value, rows, order
+    "forms": ("o_orderpriority", "(SELECT DISTINCT o_custkey, o_orderpriority FROM orders)", "o_orderpriority"),
+    "definitions": ("o_orderkey", "orders WHERE o_orderstatus = 'F'", "o_orderdate, o_orderkey"),
+    "translations": ("o_orderkey || ':' || o_orderpriority", "orders WHERE o_orderstatus = 'O'", "o_orderpriority, o_orderkey"),
+    "examples": ("o_orderkey", "orders WHERE o_orderstatus = 'P'", "o_orderdate, o_orderkey"),
+    "frequency": (
+        "s_name || ':' || coalesce(rank::VARCHAR, '')",
+        "(SELECT o_custkey, o_orderkey, s_name, CASE WHEN l_linenumber < 4 THEN l_linenumber END AS rank FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)",
+        "rank NULLS LAST, o_orderkey, s_name",
+    ),
+    "priorities": ("o_orderstatus || ':' || n", "(SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL)", "o_orderstatus"),
+}
+
+
+@query(
+    "sense_detail",
+    "WITH "
+    + ", ".join(f"{name}_ AS (SELECT o_custkey, string_agg({value}, ',' ORDER BY {order}) AS v FROM {rows} GROUP BY 1)" for name, (value, rows, order) in _LISTS.items())
+    + f"""SELECT c_custkey, c_name, {', '.join(f"coalesce({name}_.v, '') AS {name}" for name in _LISTS)}, coalesce(n_name || ':' || r_name, '') AS categories
+       FROM customer {' '.join(f'LEFT JOIN {name}_ ON {name}_.o_custkey = c_custkey' for name in _LISTS)}
+       LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 0""",
+)
+def sense_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers stand for senses, active with a balance; orders, lines and their suppliers, nation and region for the seven lists."""
+    c = table(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal", "c_nationkey").withColumn("active", F.col("c_acctbal") > 0)
+    o = table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber")
+    evidence = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf, "supplier", "s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rank = F.when(F.col("l_linenumber") < 4, F.col("l_linenumber"))
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    classes = c.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    key, number = F.col("o_custkey"), F.col("o_orderkey").cast("string")
+    lists = {
+        "forms": Children(o.select("o_custkey", "o_orderpriority").distinct(), key, ["o_orderpriority"], F.col("o_orderpriority")),
+        "definitions": Children(o.where("o_orderstatus = 'F'"), key, ["o_orderdate", "o_orderkey"], number),
+        "translations": Children(o.where("o_orderstatus = 'O'"), key, ["o_orderpriority", "o_orderkey"], F.concat_ws(":", "o_orderkey", "o_orderpriority")),
+        "examples": Children(o.where("o_orderstatus = 'P'"), key, ["o_orderdate", "o_orderkey"], number),
+        "categories": Children(classes, F.col("c_custkey"), ["n_regionkey", "n_name"], F.concat_ws(":", "n_name", "r_name")),
+        "frequency": Children(evidence, key, [rank, "o_orderkey", "s_name"], F.concat("s_name", F.lit(":"), F.coalesce(rank.cast("string"), F.lit("")))),
+        "priorities": Children(o.groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n")), key, ["o_orderstatus"], F.concat_ws(":", "o_orderstatus", "n")),
+    }
+    out = detail(c, "c_custkey", F.col("active"), lists)
+    return out.select("c_custkey", "c_name", *[F.array_join(name, ",").alias(name) for name in lists])
+
+
 @query(
     "diversify_tiers",
     """SELECT p_partkey, p_name, tier, row_number() OVER (ORDER BY tier, place) AS new_place FROM (

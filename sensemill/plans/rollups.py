@@ -166,6 +166,46 @@ def quality_score(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", score.alias("score"))
 
 
+_INDICATED = r"""SELECT p_partkey, conf IS NOT NULL AS translation_available, round(coalesce(round(conf + 1e-9, 4), 0), 4) AS translation_confidence,
+      len(list_filter(string_split_regex(p_name, '\s+'), lambda t: length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) >= 2)) >= 1 AS definition_available,
+      coalesce(examples, 0) > 0 AS example_available, p_type IN ('PROMO','LARGE') AS cefr_available, best IS NOT NULL AS frequency_available,
+      round(CASE WHEN p_size > 25 THEN p_size / 50.0::DOUBLE ELSE 0 END + 1e-9, 4) AS category_confidence, coalesce(examples, 0) AS examples
+    FROM part LEFT JOIN (SELECT l_partkey, avg(CASE WHEN l_quantity > 40 THEN l_discount * 10 END) AS conf, count(*) FILTER (WHERE l_tax > 0.06) AS examples,
+      min(CASE WHEN l_quantity < 5 THEN l_linenumber END) AS best FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"""
+_INDICATORS = f"""SELECT * EXCLUDE (examples), round(least(1.0::DOUBLE, 0.3::DOUBLE * translation_confidence + 0.25::DOUBLE * definition_available::INT
+      + 0.2::DOUBLE * least(1.0::DOUBLE, examples / 2.0::DOUBLE) + 0.15::DOUBLE * cefr_available::INT + 0.1::DOUBLE * frequency_available::INT) + 1e-9, 4) AS sense_confidence FROM ({_INDICATED})"""
+
+
+@query("quality_indicators", _INDICATORS)
+def quality_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts are senses; their lines give translations (quantity over 40), examples (high tax) and ranks (quantity under 5)."""
+    stats = (
+        table(spark, sf, "lineitem", "l_partkey", "l_discount", "l_linenumber", "l_quantity", "l_tax").groupBy("l_partkey")
+        .agg(
+            F.avg(F.when(F.col("l_quantity") > 40, F.col("l_discount") * 10)).alias("conf"), F.count_if(F.col("l_tax") > 0.06).alias("examples"),
+            F.min(F.when(F.col("l_quantity") < 5, F.col("l_linenumber"))).alias("best"),
+        )
+    )
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_size", "p_type").join(stats, F.col("p_partkey") == F.col("l_partkey"), "left")
+    level, category = F.when(F.col("p_type").isin("PROMO", "LARGE"), F.col("p_type")), F.when(F.col("p_size") > 25, F.col("p_size") / 50.0)
+    all_ = S.quality_indicators(F.col("conf"), X.gloss_depth(F.col("p_name")), F.col("examples"), level, F.col("best"), category)
+    return p.select("p_partkey", *[c.alias(name) for name, c in all_.items()])
+
+
+_AVAILABLE = ["translation", "definition", "example", "cefr", "frequency"]
+
+
+@query(
+    "quality_report",
+    f"""SELECT count(*) AS senses_total, {', '.join(f"count(*) FILTER (WHERE {a}_available) AS with_{a}" for a in _AVAILABLE)},
+          count(*) FILTER (WHERE category_confidence > 0) AS with_category, round(avg(sense_confidence) + 1e-9, 4) AS mean_sense_confidence FROM ({_INDICATORS})""",
+)
+def quality_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How many senses have each kind of evidence, and the mean of their confidence."""
+    have = [F.count_if(f"{a}_available").alias(f"with_{a}") for a in _AVAILABLE] + [F.count_if(F.col("category_confidence") > 0).alias("with_category")]
+    return quality_indicators(spark, sf).agg(F.count(F.lit(1)).alias("senses_total"), *have, F.round(F.avg("sense_confidence") + 1e-9, 4).alias("mean_sense_confidence"))
+
+
 @query(
     "adapter_validate",
     """SELECT c_custkey, CASE WHEN try_cast(substr(c_name, 10) AS BIGINT) IS NULL THEN 'failed' WHEN c_acctbal < 0 THEN 'failed' WHEN c_mktsegment = 'MACHINERY' THEN 'skipped' ELSE 'processed' END AS verdict,
