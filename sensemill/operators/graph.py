@@ -144,3 +144,46 @@ def classify(entries: DataFrame, keywords: DataFrame) -> DataFrame:
     top = F.greatest(F.array_max(F.transform(F.col("subs"), lambda s: s["confidence"])), several)
     every = F.concat("subs", F.filter(F.array(F.struct(F.lit("").alias("sub"), top.alias("confidence"))), lambda s: s["confidence"].isNotNull()))
     return per.withColumn("subs", subs).select("entry_id", "top", F.inline(every))
+
+
+def chain_words(links: DataFrame, edges: DataFrame, synsets: DataFrame, words: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(entry_id, word): those of `words` (word) that stand in the definitions (synset_id, tokens) of the synsets of links
+    (entry_id, synset_id) or of what lies up to `depth` upward edges (from_id, to_id) above. Each synset is walked once."""
+    above = closure(links.select(F.col("synset_id").alias("start")), edges, depth)
+    said = synsets.select(F.col("synset_id").alias("node"), F.explode(words_among(F.col("tokens"), words)).alias("word")).join(words.distinct(), "word")
+    per = above.join(said, "node").select(F.col("start").alias("synset_id"), "word").distinct()
+    return links.select("entry_id", "synset_id").join(per, "synset_id").select("entry_id", "word").distinct()
+
+
+def taxonomy(entries: DataFrame, keywords: DataFrame, domains: DataFrame, chains: DataFrame) -> DataFrame:
+    """Classes of entries (entry_id, headword, tokens) by all tiers; all words are stems.
+
+    keywords: top, sub (null: the top's own), word; domains: top, word; chains: entry_id, word, as of chain_words().
+    Evidence is the entry's tokens but its headword. A headword that is a keyword of a class counts (0.90, headword)
+    with evidence among the class's own words or its top's keywords and domain words; a domain word of the synset
+    chain gives the top (0.85, wordnet-chain); two keywords of a sub among the evidence give that (0.80, gloss), two of
+    the top's own give the top (0.70, gloss). A sub yields its top; the best tier of each class is kept. Gives
+    entry_id, top, sub ('' for the top itself), confidence, method.
+    """
+    # part: a sub class, '' for the top's own keywords, null for domain words
+    k = keywords.select("top", F.coalesce("sub", F.lit("")).alias("part"), "word").unionByName(domains.select("top", F.lit(None).cast("string").alias("part"), "word")).distinct()
+    tokens = F.array_union(F.coalesce("tokens", F.array().cast("array<string>")), F.array_compact(F.array("headword")))
+    said = entries.select("entry_id", "headword", F.explode(words_among(tokens, k)).alias("word")).join(k, "word")
+    own = F.col("word").eqNullSafe(F.col("headword"))
+    hits = said.groupBy("entry_id", "top", "part").agg(F.bool_or(own).alias("own"), F.count_if(~own).alias("n"))
+    linked_ = chains.distinct().join(domains.distinct(), "word").select("entry_id", "top", F.lit(True).alias("chain")).distinct()
+    rows = hits.unionByName(linked_, allowMissingColumns=True)
+    per = rows.groupBy("entry_id", "top").agg(F.collect_list(F.when(F.col("own").isNotNull(), F.struct("part", "own", "n"))).alias("h"), F.bool_or("chain").alias("chain"))
+
+    wide = F.exists("h", lambda x: F.coalesce(x["part"], F.lit("")).eqNullSafe(F.lit("")) & (x["n"] > 0))
+    per = per.withColumn("wide", wide)
+
+    def tier(x: Column) -> Column:
+        return F.when(x["own"] & ((x["n"] > 0) | F.col("wide")), 0.90).when(x["n"] >= 2, F.when(x["part"] == "", 0.70).otherwise(0.80))
+
+    reached = F.filter(F.transform("h", lambda x: F.struct(x["part"].alias("sub"), tier(x).alias("confidence"))), lambda s: s["sub"].isNotNull() & s["confidence"].isNotNull())
+    best = F.greatest(F.array_max(F.transform("reached", lambda s: s["confidence"])), F.when(F.col("chain"), 0.85))
+    subs = F.filter("reached", lambda s: s["sub"] != "")
+    every = F.concat(subs, F.filter(F.array(F.struct(F.lit("").alias("sub"), best.alias("confidence"))), lambda s: s["confidence"].isNotNull()))
+    out = per.withColumn("reached", reached).select("entry_id", "top", F.inline(every))
+    return out.withColumn("method", F.when(F.col("confidence") == 0.90, "headword").when(F.col("confidence") == 0.85, "wordnet-chain").otherwise("gloss"))

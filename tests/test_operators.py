@@ -79,6 +79,33 @@ def test_link_senses(spark):
     assert not graph.link_senses(senses.limit(0), evidence.limit(0), synsets.limit(0)).collect()
 
 
+def test_taxonomy(spark):
+    """Every tier, evidence without the headword itself, and chains over edges with a cycle."""
+    keywords = spark.createDataFrame([("food", None, "eat"), ("food", None, "meal"), ("food", "fruit", "appl"), ("food", "fruit", "pear"), ("food", "fruit", "plum"), ("work", None, "job")], "top string, sub string, word string")
+    domains = spark.createDataFrame([("food", "nutrition"), ("work", "office")], "top string, word string")
+    entries = spark.createDataFrame(
+        [
+            (1, "appl", ["appl", "pear"]), (2, "appl", ["appl", "bank"]), (3, "appl", ["nutrition"]), (4, "x", ["pear", "plum"]), (5, "x", ["eat", "meal"]), (6, "eat", ["meal"]),
+            (7, "x", ["pear"]), (8, None, None), (9, "pear", ["eat"]), (10, "x", ["eat", "meal", "pear", "plum"]),
+        ],
+        "entry_id int, headword string, tokens array<string>",
+    )
+    links = spark.createDataFrame([(7, "s1"), (5, "s1"), (6, "s4")], "entry_id int, synset_id string")
+    edges = spark.createDataFrame([("s1", "s2"), ("s2", "s3"), ("s3", "s1")], "from_id string, to_id string")
+    synsets = spark.createDataFrame([("s1", ["a"]), ("s3", ["office", "office", "nutrition"]), ("s4", None)], "synset_id string, tokens array<string>")
+    chains = graph.chain_words(links, edges, synsets, domains.select("word"))
+    got = {(r["entry_id"], r["top"], r["sub"]): (r["confidence"], r["method"]) for r in graph.taxonomy(entries, keywords, domains, chains).collect()}
+    head, chain, gloss = (0.90, "headword"), (0.85, "wordnet-chain"), (0.80, "gloss")
+    assert got == {
+        (1, "food", "fruit"): head, (1, "food", ""): head, (3, "food", "fruit"): head, (3, "food", ""): head, (4, "food", "fruit"): gloss, (4, "food", ""): gloss,
+        (5, "food", ""): chain, (5, "work", ""): chain, (6, "food", ""): head, (7, "food", ""): chain, (7, "work", ""): chain, (9, "food", "fruit"): head, (9, "food", ""): head,
+        (10, "food", "fruit"): gloss, (10, "food", ""): gloss,
+    }
+    none = graph.chain_words(links.limit(0), edges, synsets, domains.select("word"))
+    plain = {(r["entry_id"], r["top"], r["sub"], r["confidence"]) for r in graph.taxonomy(entries.where("entry_id = 5"), keywords, domains, none).collect()}
+    assert plain == {(5, "food", "", 0.70)}
+
+
 def test_merge(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
