@@ -188,3 +188,39 @@ def taxonomy_assign(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("entry_id"), F.get(words, F.lit(0)).alias("headword"), F.array_distinct(words).alias("tokens"))
     k = spark.createDataFrame(_KEYWORDS, "top string, sub string, word string")
     return graph.classify(e, F.broadcast(k)).withColumnRenamed("entry_id", "doc_id")  # the keyword table is a constant
+
+
+#: Top class, part (a sub class, '' for the top's own words, None for its domain words), word.
+_TIERS = [("law", "", w) for w in ("license", "public", "terms")] + [("law", "license", w) for w in ("apache", "gnu", "mit", "general")] + [("law", None, "of")] + [
+    ("mail", "", w) for w in ("email", "contact")
+] + [("mail", "address", w) for w in ("example", "com", "org")] + [("mail", None, "der")]
+_TIER_SQL = ", ".join(f"('{top}', {'NULL' if part is None else repr(part)}, '{word}')" for top, part, word in _TIERS)
+
+
+@query(
+    "taxonomy_tiers",
+    rf"""WITH RECURSIVE k(top, part, word) AS (VALUES {_TIER_SQL}),
+        e AS (SELECT doc_id, string_split({_KEY.format('text')}, ' ') AS t, ['license', 'contact', 'apache', 'x'][doc_id % 4 + 1] AS head FROM documents),
+        w AS (SELECT DISTINCT doc_id, head, word FROM (SELECT doc_id, head, unnest(t) AS word FROM e UNION ALL SELECT doc_id, head, head FROM e)),
+        h AS (SELECT doc_id, top, part, bool_or(word = head) AS own, count(*) FILTER (WHERE word <> head) AS n FROM w JOIN k USING (word) GROUP BY ALL),
+        up(start, node, d) AS (SELECT item_id, item_id, 0 FROM benchmark UNION ALL SELECT start, node // 2, d + 1 FROM up WHERE d < 5 AND node // 2 <> node),
+        c AS (SELECT DISTINCT start, top FROM (SELECT start, unnest(string_split({_KEY.format('text')}, ' ')) AS word FROM up JOIN benchmark ON item_id = node) JOIN k USING (word) WHERE part IS NULL),
+        b AS (SELECT DISTINCT doc_id, top FROM h WHERE coalesce(part, '') = '' AND n > 0),
+        r AS (SELECT h.doc_id, h.top, part, CASE WHEN own AND (n > 0 OR b.doc_id IS NOT NULL) THEN 0.9::DOUBLE WHEN n >= 2 AND part = '' THEN 0.7::DOUBLE WHEN n >= 2 THEN 0.8::DOUBLE END AS c
+              FROM h LEFT JOIN b ON b.doc_id = h.doc_id AND b.top = h.top WHERE part IS NOT NULL),
+        a AS (SELECT doc_id, top, part AS sub, c FROM r WHERE c IS NOT NULL UNION ALL SELECT doc_id, top, '', c FROM r WHERE c IS NOT NULL
+              UNION ALL SELECT doc_id, top, '', 0.85::DOUBLE FROM e JOIN c ON start = doc_id % 40)
+        SELECT doc_id, top, sub, max(c) AS confidence, CASE WHEN max(c) = 0.9::DOUBLE THEN 'headword' WHEN max(c) = 0.85::DOUBLE THEN 'wordnet-chain' ELSE 'gloss' END AS method FROM a GROUP BY doc_id, top, sub""",
+)
+def taxonomy_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as glosses with four headwords in turn, linked to benchmark items as synsets; edges lead from an item to its half."""
+    tokens = F.array_distinct(F.split(_native_key(F.col("text")), " "))
+    head = F.get(F.array(*[F.lit(w) for w in ("license", "contact", "apache", "x")]), (F.col("doc_id") % 4).cast("int"))
+    e = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("entry_id"), head.alias("headword"), tokens.alias("tokens"))
+    items = table(spark, sf, "benchmark", "item_id", "text").select(F.col("item_id").alias("synset_id"), tokens.alias("tokens"))
+    edges = items.select(F.col("synset_id").alias("from_id"), F.expr("synset_id div 2").alias("to_id")).where("from_id <> to_id")
+    k = spark.createDataFrame(_TIERS, "top string, sub string, word string")
+    domains, own = k.where("sub is null").select("top", "word"), k.where("sub is not null")
+    links = e.select("entry_id", (F.col("entry_id") % 40).alias("synset_id")).join(items.select("synset_id"), "synset_id", "left_semi")
+    chains = graph.chain_words(links, edges, items, domains.select("word"))
+    return graph.taxonomy(e, own, domains, chains).withColumnRenamed("entry_id", "doc_id")
