@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tidy
 from .decontaminate import overlaps
+from .filter_audit import audit
 from .language_model import score_documents
 from .licenses import scan_licenses
+from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dup import near_duplicates
 from .neighbours import nearest
 from .quality import classify
 from .secrets import find_secrets
+from .spelling import group_variants
 from .substrings import remove_repeats
 from .warc import round_trip
 
@@ -69,6 +72,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+@tidy
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+@tidy
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@tidy
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -163,6 +181,34 @@ ORACLE: dict[str, str] = {
         x AS (SELECT doc_id, item_id, win, max(k) AS matched FROM r GROUP BY ALL)
         SELECT doc_id, item_id, matched::BIGINT AS matched, win::BIGINT AS "window", matched / win::DOUBLE AS similarity
         FROM x WHERE matched >= 0.8 * win AND (win = 13 OR matched = win)""",
+    "op11_filter_audit": rf"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '{_BLANKS}') AS w, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS copy FROM d),
+        m AS (SELECT doc_id, coalesce(bool_or(quality = 1), false)::INT AS good, coalesce(bool_or(toxic = 1), false)::INT AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+                || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END)
+                || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN copy THEN 'E' ELSE '' END) AS p
+              FROM w LEFT JOIN m USING (doc_id)),
+        c AS (SELECT part, p, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        o AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM l a JOIN l b ON b.l <> a.l JOIN l c ON c.l NOT IN (a.l, b.l) JOIN l d ON d.l NOT IN (a.l, b.l, c.l) JOIN l e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+        s AS (SELECT o, step, o[step] AS f, o[1:step - 1] AS before FROM (SELECT o, unnest(range(1, 6)) AS step FROM o)),
+        x AS (SELECT c.*, s.*, contains(p, f) AS fails, len(list_intersect(string_split(p, ''), string_split(before, ''))) > 0 AND before <> '' AND p <> '' AS gone FROM c, s),
+        r AS (SELECT part, o AS filter_order, step::INT AS step, f,
+                coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (WHERE fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE p = f), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS toxic_lost
+              FROM x GROUP BY ALL)
+        SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r""",
+    "op12_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+        k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        g AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM g GROUP BY doc_id""",
 }
 
 
