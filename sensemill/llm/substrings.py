@@ -105,7 +105,7 @@ def _windows(column: pa.Array, window: int) -> tuple[np.ndarray, ...]:
 
 
 def _sorted_bucket(window: int):
-    """Rows come sorted by minimiser; for each packed string, gives the runs of windows that a smaller document holds too."""
+    """Rows come sorted by minimiser and packed string; for each packed string, gives the runs of windows that a smaller document holds too."""
 
     def judge(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -127,10 +127,17 @@ def _sorted_bucket(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = pa.Table.from_batches([batch])
+            # rows that repeat a document send its strings again; of each string one stays
+            key = np.stack([batch.column(c).to_numpy() for c in ("mini", "packed")])
+            other = np.r_[last is None or (key[:, 0] != last).any(), (key[:, 1:] != key[:, :-1]).any(0)]
+            last = key[:, -1]
+            new = pa.Table.from_batches([batch]).filter(pa.array(other))
+            if not new.num_rows:
+                continue
             held = new if held is None else pa.concat_tables([held, new])
             if held.nbytes >= _CHUNK:
                 mini = held.column("mini").to_numpy()
@@ -179,13 +186,13 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(rows: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """rows (doc_id not null, th, text), th telling apart texts of one doc_id. Returns doc_id, th and
     ranges, an array of word ranges lo to hi (exclusive) that windows of smaller documents cover."""
-    place, _ = written(map_arrow(rows, _scan(window, m), "doc_id long, th int, mini long, packed long, start int, windows int"), "super-k-mers")
+    place, _ = written(map_arrow(rows, _scan(window, m), "doc_id long, th long, mini long, packed long, start int, windows int"), "super-k-mers")
     shared = (
         place.groupBy("mini")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("packed").alias("p"), F.max("packed").alias("q"))
         .where("lo <> hi").select("mini", (F.col("p") != F.col("q")).alias("mixed"))
     )
-    place, _ = written(place.join(shared, "mini"), "shared")
+    place, _ = written(place.join(shared, "mini").distinct(), "shared")  # a repeated row gives its places once
     first = place.groupBy("mini", "packed").agg(F.min("doc_id").alias("least"), F.first("mixed").alias("mixed"))
     first, _ = written(first, "first")
     many = first.where("mixed").groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("mini", F.lit(True).alias("large"))
@@ -199,12 +206,12 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, m: int = MINIMISER) -
     )
     strings = map_arrow(rows.join(asked, ["doc_id", "th"]).select("doc_id", "text", "asked"), _packer(window), "mini long, packed long, doc_id long, large boolean, words string")
     strings, _ = written(strings, "packed")
-    bucket = strings.where("not large").select("mini", "packed", "doc_id", "words").repartition("mini").sortWithinPartitions("mini")
+    bucket = strings.where("not large").select("mini", "packed", "doc_id", "words").repartition("mini").sortWithinPartitions("mini", "packed")
     lost = bucket.mapInArrow(_sorted_bucket(window), "mini long, packed long, lo int, hi int")
     spread = strings.where("large").mapInArrow(_exploder(window), "a long, b long, mini long, packed long, doc_id long, place int")
     least = spread.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
     lost = lost.unionByName(spread.join(least, ["a", "b"]).where("least < doc_id").select("mini", "packed", F.col("place").alias("lo"), F.col("place").alias("hi")))
-    some = own.join(lost, ["mini", "packed"]).select("doc_id", "th", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + window).alias("hi"))
+    some = own.join(lost.distinct(), ["mini", "packed"]).select("doc_id", "th", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + window).alias("hi"))
     return later.unionByName(some).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
@@ -218,6 +225,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     nothing from others. Rows that repeat a doc_id are one document: none of them takes from another.
     Windows are compared by 128-bit keys of their words.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.coalesce(F.hash("text"), F.lit(0)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     ranges = repeated_ranges(rows.where("doc_id is not null and text is not null"), window)
     return map_arrow(rows.join(ranges, ["doc_id", "th"], "left").select("doc_id", "text", "ranges"), _cutter, "doc_id long, n_words long, n_removed long, kept_sha256 string")
