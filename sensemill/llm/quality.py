@@ -208,7 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Additiv
     )
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = map_arrow(text.join(F.broadcast(known), "doc_id"), _numbers, "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES))
-    got = rows.toPandas().sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")  # at most `most` rows
+    # one row for each labelled id, however often documents repeat it: at most `most` rows
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x"), F.first("quality").alias("quality"))
+    got = one.select("doc_id", "quality", "x.*").toPandas().sort_values("doc_id")
     return fit(got[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), got["quality"].to_numpy(float))
 
 
