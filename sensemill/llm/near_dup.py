@@ -222,6 +222,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, registers: int = RE
         .join(sketched.groupBy("digest").agg(F.min("doc_id").alias("node")), "digest"),
         "members",
     )
+    # Rows that repeat an id with its text stand once from here on.
+    again, _ = written(sketched.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest"), "repeated")
+    once = sketched.join(again, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    sketched = sketched.join(again, ["doc_id", "digest"], "left_anti").select(*sketched.columns).unionByName(once)
     sets = sketched.where(F.size("shingles") > 0).select(F.col("doc_id").alias("node"), "shingles")
     first_copy = member.where("doc_id = node").select("doc_id", "digest")
     kept, _ = written(
