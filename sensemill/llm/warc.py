@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -162,8 +163,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS)], NAMES)
 
 
+def _number(value: str) -> int | None:
+    value = value.strip()
+    return int(value) if value.isascii() and value.isdigit() else None
+
+
 def _header(block: bytes) -> dict:
-    """The columns of a header block, and the length of what follows it."""
+    """The columns of a header block, and the length of what follows it (None if that can't be read)."""
     h = {}
     for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
         key, _, value = line.partition(":")
@@ -177,16 +183,21 @@ def _header(block: bytes) -> dict:
     return {
         "record_type": h.get("warc-type"), "page_id": page("warc-record-id"), "target_uri": h.get("warc-target-uri"),
         "payload_digest": digest and digest.partition(":")[2], "payload_bytes": None, "refers_to": page("warc-refers-to"),
-        "length": int(h.get("content-length", 0)),
+        "length": _number(h.get("content-length", "0")),
     }
 
 
+#: What parts header and body; some writers leave out the carriage returns.
+_GAP = re.compile(rb"\r?\n\r?\n")
+
+
 def _finish(head: dict, block: bytes, payload: bool) -> tuple[dict, bytes | None]:
     """Takes the HTTP header off the block; its Content-Length is the full payload's size, also for a revisit."""
-    http, _, body = block.partition(b"\r\n\r\n")
-    for line in http.split(b"\r\n"):
+    gap = _GAP.search(block)
+    http, body = (block[: gap.start()], block[gap.end() :]) if gap else (block, b"")
+    for line in http.splitlines():
         if line.lower().startswith(b"content-length:"):
-            head["payload_bytes"] = int(line.partition(b":")[2])
+            head["payload_bytes"] = _number(line.partition(b":")[2].decode("latin-1"))
     return head, body if payload and head["record_type"] == "response" else None
 
 
@@ -209,8 +220,13 @@ class _Inflated(io.RawIOBase):
                 self.raw = self.raw.lstrip(b"\0")  # some writers pad members
                 if not self.raw:
                     continue
+                if not self.raw.startswith(b"\x1f"):
+                    return 0  # what follows the last member is none
                 self.z = zlib.decompressobj(31)
-            out = self.z.decompress(self.raw, len(buffer))
+            try:
+                out = self.z.decompress(self.raw, len(buffer))
+            except zlib.error:
+                return 0  # what follows a broken place can't be read
             self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
             if out:
                 buffer[: len(out)] = out
@@ -229,7 +245,12 @@ def _known_length(f: io.BufferedReader) -> int | None:
 
 
 def records(f: io.BufferedReader, wanted=lambda head: True, payload: bool = True) -> Iterator[tuple[dict, bytes | None]]:
-    """Records of one archive, plain or gzip, whose header columns are wanted."""
+    """Records of one archive, plain or gzip, whose header columns are wanted.
+
+    Archives are read as far as they go: a record whose length can't be read is skipped up to the next line that
+    begins a record, a member that can't be inflated is skipped, and bytes that belong to no record are passed over.
+    A malformed HTTP length leaves payload_bytes null. Header and body may be parted by bare line feeds.
+    """
     while start := f.peek(2)[:2]:
         if start != b"\x1f\x8b":
             yield from _walk(f, wanted, payload)
@@ -237,31 +258,37 @@ def records(f: io.BufferedReader, wanted=lambda head: True, payload: bool = True
             yield from _walk(io.BufferedReader(_Inflated(f), 1 << 16), wanted, payload)
         else:
             left -= 8  # checksum and size
-            inflate, text = zlib.decompressobj(-15), b""
-            while left and b"\r\n\r\n" not in text:
-                part = f.read(min(left, 1024))
-                left -= len(part)
-                text += inflate.decompress(part)
-            block, _, rest = text.partition(b"\r\n\r\n")
-            if wanted(head := _header(block)):
-                if payload or b"\r\n\r\n" not in rest:
-                    rest += inflate.decompress(f.read(left)) + inflate.flush()
-                    left = 0
-                yield _finish(head, rest[: head["length"]], payload)
-            f.seek(left + 8, io.SEEK_CUR)
+            inflate, text, found = zlib.decompressobj(-15), b"", None
+            try:
+                while left > 0 and b"\r\n\r\n" not in text:
+                    part = f.read(min(left, 1024))
+                    left -= len(part) or left
+                    text += inflate.decompress(part)
+                block, _, rest = text.partition(b"\r\n\r\n")
+                head = _header(block)
+                if head["length"] is not None and wanted(head):
+                    if payload or not _GAP.search(rest):
+                        rest += inflate.decompress(f.read(max(left, 0))) + inflate.flush()
+                        left = 0
+                    found = _finish(head, rest[: head["length"]], payload)
+            except zlib.error:
+                found = None
+            if found:
+                yield found
+            f.seek(max(left, 0) + 8, io.SEEK_CUR)
 
 
 def _walk(f: io.BufferedReader, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
     """Records of a stream of plain text up to its end."""
-    while line := f.readline():
-        if not line.strip():
-            continue  # blank lines between records
+    while line := f.readline(1 << 16):
+        if not line.startswith(b"WARC/"):
+            continue  # blank lines between records, or what belongs to none
         lines = [line.rstrip(b"\r\n")]
         while (line := f.readline()) not in (b"", b"\r\n", b"\n"):
             lines.append(line.rstrip(b"\r\n"))
         head = _header(b"\r\n".join(lines))
-        left, block = head["length"], []
-        if wanted(head):
+        left, block = head["length"] or 0, []
+        if head["length"] is not None and wanted(head):
             while left and (payload or not block or block[-1] not in (b"\r\n", b"\n")):  # without payloads, up to the end of the HTTP header
                 block.append(f.read(left) if payload else f.readline(min(left, 1 << 16)))
                 left -= len(block[-1])
