@@ -131,9 +131,10 @@ def _trainer(flat: np.ndarray, vocabulary: Vocabulary, turn: int, rounds: int):
                 if len(texts):
                     model, size = gru.Model(flat.copy(), len(vocabulary.words)), int(n[texts].sum())
                     model.train(np.concatenate([ids[first[t] : first[t + 1]] for t in texts]), np.r_[0, np.cumsum(n[texts])])
-                    if np.isfinite(model.flat).all():
-                        total += model.flat.astype(float) * size
-                        tokens_seen += size
+                    if not np.isfinite(model.flat).all():  # Adam's steps are bounded, so this is a fault, not a block to pass over
+                        raise ArithmeticError("training left the range of numbers")
+                    total += model.flat.astype(float) * size
+                    tokens_seen += size
         if tokens_seen:
             at = pa.array(np.arange(len(flat), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([at, pa.array(total), pa.array(np.full(len(flat), tokens_seen))], ["at", "total", "tokens"])
