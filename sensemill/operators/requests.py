@@ -74,13 +74,11 @@ def detail(roots: DataFrame, key: str, active: Column, children: dict[str, Child
     return kept.join(lists, kept[key] == lists["of"], "left").select(*[kept[c] for c in kept.columns if c not in children], *names)
 
 
-def disjunction(entities: DataFrame, key: str, request: channels.Request, fields: list[Column], children: list[DataFrame], prefix: Column) -> DataFrame:
-    """Entities of which a field matches, or any row of a child table (given as its matching keys), or the prefix."""
-    own = reduce(lambda a, b: a | b, [request.matches(channels.tokens(f)) for f in fields], prefix)
-    if not children:
-        return entities.where(own)
-    keys = reduce(lambda a, b: a.unionByName(b), children).distinct().select(F.col(key).alias("of"))
-    return entities.join(keys, entities[key] == keys["of"], "left").where(own | F.col("of").isNotNull()).drop("of")
+def disjunction(entities: DataFrame, key: str, found: DataFrame, prefix: Column) -> DataFrame:
+    """Entities that an index found (key, score), by a field of their own or a row of a child table, or that the prefix takes;
+    with their score, 0 for the prefix alone."""
+    hits = found.select(F.col("key").alias("of"), F.col("score").alias("lexical"))
+    return entities.join(hits, entities[key] == hits["of"], "left").where(prefix | F.col("of").isNotNull()).withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).drop("of")
 
 
 def search(entities: DataFrame, key: str, name: str, found: dict[str, tuple[DataFrame, list[Column]]], prefix: Column, meta: Column, offset: int = 0, limit: int = 50) -> DataFrame:
@@ -109,25 +107,46 @@ class _Word:
     negated: bool
 
 
-def query_text(text: str) -> Callable[[Column], Column]:
-    """A predicate on token arrays for a query string: words all occur, "…" stand in a row, -x does not occur, and OR
-    parts alternatives. Empty strings match nothing."""
-    either: list[list[_Word]] = [[]]
-    for sign, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
-        if word == "OR" and not sign:
-            either.append([])
-        elif parts := re.findall(r"[^\W_]+", (phrase or word).lower()):
-            either[-1].append(_Word(parts, bool(sign)))
+@dataclass(frozen=True)
+class QueryText:
+    """A query string taken apart: alternatives of words and phrases that must, or must not, occur."""
+
+    either: list[list[_Word]]
+
+    def condition(self, has: Callable[[list[str]], Column]) -> Column:
+        """A predicate made of has(words), which says whether the words stand in a row. Without a word it is false."""
 
-    def matches(tokens: Column) -> Column:
         def one(w: _Word) -> Column:
-            hit = F.array_contains(tokens, w.words[0])
-            if len(w.words) > 1:
-                hit &= F.contains(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.lit(f" {' '.join(w.words)} "))
-            return ~hit if w.negated else hit
+            return ~has(w.words) if w.negated else has(w.words)
 
-        every = [reduce(lambda a, b: a & b, map(one, group)) for group in either if group]
+        every = [reduce(lambda a, b: a & b, map(one, group)) for group in self.either]
         return reduce(lambda a, b: a | b, every, F.lit(False))
 
-    return matches
+    def __call__(self, tokens: Column) -> Column:
+        """The predicate on an array of tokens."""
+
+        def has(words: list[str]) -> Column:
+            hit = F.array_contains(tokens, words[0])
+            return hit & F.contains(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.lit(f" {' '.join(words)} ")) if len(words) > 1 else hit
 
+        return self.condition(has)
+
+    def rank(self) -> list[str]:
+        """Words that may occur in a match."""
+        return list(dict.fromkeys(x for group in self.either for w in group if not w.negated for x in w.words))
+
+    def terms(self) -> list[str]:
+        if any(all(w.negated for w in group) for group in self.either):
+            raise ValueError("an index answers no alternative without a word that must occur")
+        return list(dict.fromkeys(x for group in self.either for w in group for x in w.words))
+
+
+def query_text(text: str) -> QueryText:
+    """A query string: words all occur, "…" stand in a row, -x does not occur, and OR parts alternatives. Empty strings match nothing."""
+    either: list[list[_Word]] = [[]]
+    for sign, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
+        if word == "OR" and not sign:
+            either.append([])
+        elif parts := re.findall(r"[^\W_]+", (phrase or word).lower()):
+            either[-1].append(_Word(parts, bool(sign)))
+    return QueryText([group for group in either if group])

@@ -7,6 +7,7 @@ stemming or stop words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -40,6 +41,19 @@ class Request:
         has += [~F.array_contains(words, w) for w in self.none_of]
         return reduce(lambda a, b: a & b, has, F.lit(True))
 
+    def condition(self, has: Callable[[list[str]], Column]) -> Column:
+        """The same predicate for an index: has(words) says whether they stand in a row."""
+        if not self.words():
+            raise ValueError("an index answers no request without a word that must occur")
+        each = [has([w]) for w in self.all_of]
+        if self.any_of:
+            each.append(reduce(lambda a, b: a | b, [has([w]) for w in self.any_of]))
+        each += [has(p.split()) for p in self.phrases] + [~has([w]) for w in self.none_of]
+        return reduce(lambda a, b: a & b, each)
+
+    def terms(self) -> list[str]:
+        return list(dict.fromkeys([*self.words(), *self.none_of]))
+
     def words(self) -> list[str]:
         return [*self.all_of, *self.any_of, *(w for p in self.phrases for w in p.split())]
 

@@ -6,13 +6,17 @@ vectors with the query vector of vec_id 0, regions and nations for topics.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensemill.functions import score as S
 from sensemill.functions.text import category_matches
 from sensemill.operators import search
-from sensemill.operators.search import Request, lexical_score, matched, merged, ranked
+from sensemill.operators.index import Index, opened
+from sensemill.operators.requests import query_text
+from sensemill.operators.search import Request, merged, ranked
 from sensemill.registry import query
 from sensemill.tables import table
 
@@ -25,10 +29,32 @@ _REQUESTS = {
 }
 
 
+#: The vector of each field, see operators/index.py.
+VECTORS = {"text": "own", "source": "own", "turn": "turns"}
+
+
+def documents_index(spark: SparkSession, sf: str) -> Index:
+    """The index of documents by text and source, and of the turns that belong to them."""
+    d, c = table(spark, sf, "documents", "doc_id", "text", "source"), table(spark, sf, "conversations", "conv_id", "turn", "text")
+    own = d.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("child"), F.col(f).alias("text")) for f in ("text", "source")])).alias("u")).select("u.*")
+    turns = c.select(F.lit("turn").alias("field"), F.col("conv_id").alias("key"), F.col("turn").cast("long").alias("child"), "text")
+    return opened(spark, f"documents-{zlib.crc32(sf.encode()):08x}", own.unionByName(turns), d, c)
+
+
+def indexed(spark: SparkSession, sf: str, request: Request, weights: dict[str, float], within: list[str] | None = None) -> DataFrame:
+    """(key, score) of a request; one for several words that nothing matches falls back to any of them."""
+    index = documents_index(spark, sf)
+    found = index.matches(request.condition, request.terms(), request.words(), weights, VECTORS, within)
+    if len(request.all_of) > 1 and found.isEmpty():
+        return indexed(spark, sf, request.loose(), weights, within)
+    return found
+
+
 def _fts(name: str, request: Request, condition: str):
     @query(name, f"SELECT doc_id, source FROM (SELECT doc_id, source, {_T} AS t FROM documents) WHERE {condition}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return table(spark, sf, "documents", "doc_id", "source", "text").where(request.matches(search.tokens(F.col("text")))).select("doc_id", "source")
+        found = indexed(spark, sf, request, {}, ["text"]).select(F.col("key").alias("doc_id"))
+        return table(spark, sf, "documents", "doc_id", "source").join(found, "doc_id")
 
 
 for _name, (_request, _condition) in _REQUESTS.items():
@@ -43,12 +69,25 @@ for _name, (_request, _condition) in _REQUESTS.items():
 )
 def fts_ranked(spark: SparkSession, sf: str) -> DataFrame:
     request = Request(any_of=["license", "src1"])
-    found = matched(table(spark, sf, "documents", "doc_id", "source", "text"), request)
-    found = found.select("doc_id", lexical_score(request, [(F.col("text"), 1.0), (F.col("source"), 0.4)]).alias("lex_score"))
+    found = indexed(spark, sf, request, {"text": 1.0, "source": 0.4}, ["text"]).select(F.col("key").alias("doc_id"), F.col("score").alias("lex_score"))
     order = (F.desc("lex_score"), F.col("doc_id"))
     return found.join(ranked(found, "doc_id", "rank", *order, most=100), "doc_id")
 
 
+@query(
+    "fts_weighted",
+    f"""WITH u AS (SELECT doc_id AS key, 'own' AS vector, 0 AS child, {_T} AS a, {_T.replace('text', 'source')} AS b FROM documents UNION ALL SELECT conv_id, 'turns', turn, {_T}, [] FROM conversations),
+          s AS (SELECT key, vector, child, CASE vector WHEN 'own' THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END * len(list_filter(a, lambda x: x IN ('license', 'apache', 'the'))) + 0.4::DOUBLE * len(list_filter(b, lambda x: x IN ('license', 'apache', 'the'))) AS score FROM u
+                WHERE (list_contains(a, 'license') AND contains(' ' || coalesce(list_aggregate(a, 'string_agg', ' '), '') || ' ', ' the apache ')) OR (list_contains(a, 'the') AND NOT list_contains(a, 'license') AND NOT list_contains(a, 'apache')))
+        SELECT key AS doc_id, round(sum(score), 6) AS score FROM (SELECT key, vector, max(score) AS score FROM s GROUP BY ALL) GROUP BY key""",
+)
+def fts_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """A query string with a phrase, negations and an alternative over all vectors: the document's own by weighted fields, and the best of its turns."""
+    q = query_text('license "the apache" OR the -license -apache')
+    found = documents_index(spark, sf).matches(q.condition, q.terms(), q.rank(), {"text": 1.0, "source": 0.4, "turn": 0.1}, VECTORS)
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 _COS = """(SELECT e.vec_id, e.label, 1.0 - list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])
     / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS distance
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
@@ -110,14 +149,14 @@ def topic_channel(spark: SparkSession, sf: str) -> DataFrame:
 )
 def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Three channels of at most 200 candidates each, merged and scored by weighted reciprocal ranks."""
-    d = table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    d = table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars")
     request = Request(any_of=["license", "apache"])
-    found = d.where(request.matches(search.tokens(F.col("text")))).select("doc_id", lexical_score(request, [(F.col("text"), 1.0)]).alias("s"))
+    found = indexed(spark, sf, request, {"text": 1.0}, ["text"]).select(F.col("key").alias("doc_id"), F.col("score").alias("s"))
     lex = ranked(found, "doc_id", "lex", F.desc("s"), F.col("doc_id"), most=200)
     near = _distances(spark, sf).select(F.col("vec_id").alias("doc_id"), F.round("distance", 9).alias("distance"))
     sem = ranked(near, "doc_id", "sem", F.col("distance"), F.col("doc_id"), most=200)
     top = ranked(d.where(F.col("source").isin("src0", "src1")), "doc_id", "top", F.desc("n_chars"), F.col("doc_id"), most=200)
     candidates = merged("doc_id", lex, sem, top)
     meta = S.metadata_bonus(F.col("n_chars"), F.when(F.col("lang") == "en", "HIGH"))
-    out = search.fused(candidates.join(d.drop("text"), "doc_id"), "lex", "sem", "top", F.startswith("source", F.lit("src1")), meta)
+    out = search.fused(candidates.join(d, "doc_id"), "lex", "sem", "top", F.startswith("source", F.lit("src1")), meta)
     return out.select("doc_id", "lex", "sem", "top", "score")

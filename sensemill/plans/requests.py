@@ -13,7 +13,8 @@ from sensemill.functions import score as S
 from sensemill.functions import text as X
 from sensemill.operators import requests as R
 from sensemill.operators.composer import Filters, Tables
-from sensemill.operators.search import Request, tokens
+from sensemill.operators.search import Request
+from sensemill.plans.channels import VECTORS, documents_index, indexed
 from sensemill.registry import query
 from sensemill.tables import table
 
@@ -116,11 +117,9 @@ def _search(name: str, mode: str):
     @query(name, sql)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """Words in a text, a source or a child's text, or a source's start; near vectors; topics by priority."""
-        d = table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
-        words = Request(any_of=["license", "apache"])
-        child = table(spark, sf, "conversations", "conv_id", "text").where(words.matches(tokens(F.col("text")))).select(F.col("conv_id").alias("doc_id"))
-        found = R.disjunction(d, "doc_id", words, [F.col("text"), F.col("source")], [child], F.startswith("source", F.lit("src1")))
-        found = found.select("doc_id", F.size(F.filter(tokens(F.col("text")), lambda w: w.isin("license", "apache"))).alias("s"))
+        d = table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars")
+        hits = indexed(spark, sf, Request(any_of=["license", "apache"]), {"text": 1.0})
+        found = R.disjunction(d, "doc_id", hits, F.startswith("source", F.lit("src1"))).select("doc_id", F.col("lexical").alias("s"))
         e = table(spark, sf, "embeddings")
         q = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
         near = e.join(F.broadcast(q), F.lit(True)).select(F.col("vec_id").alias("doc_id"), F.round(S.cosine_distance(F.col("embedding"), F.col("q")), 9).alias("distance")).where("distance <= 0.9")
@@ -128,7 +127,7 @@ def _search(name: str, mode: str):
         channels = {"lex": (found, [F.desc("s"), F.col("doc_id")]), "sem": (near, [F.col("distance"), F.col("doc_id")]), "top": (topic, [F.col("n_chars").desc_nulls_last(), F.col("source"), F.col("doc_id")])}
         on = {"hybrid": ("lex", "sem", "top"), "lexical": ("lex",), "semantic": ("sem",)}[mode]
         meta = S.metadata_bonus(F.col("n_chars"), F.when(F.col("lang") == "en", "HIGH"))
-        out = R.search(d.drop("text"), "doc_id", "source", {k: channels[k] for k in on}, F.startswith("source", F.lit("src1")), meta, offset=5, limit=30)
+        out = R.search(d, "doc_id", "source", {k: channels[k] for k in on}, F.startswith("source", F.lit("src1")), meta, offset=5, limit=30)
         return out.select("doc_id", "source", "score", "total")
 
 
@@ -138,8 +137,9 @@ for _mode in ("hybrid", "lexical", "semantic"):
 
 @query("query_string", rf"""SELECT doc_id FROM (SELECT doc_id, {_T.format("text")} AS t FROM documents) WHERE (list_contains(t, 'license') AND contains(' ' || list_aggregate(t, 'string_agg', ' ') || ' ', ' under the ') AND NOT list_contains(t, 'mit')) OR list_contains(t, 'gnu')""")
 def query_string(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents", "doc_id", "text")
-    return d.where(R.query_text('License "under the" -MIT OR gnu')(tokens(F.col("text")))).select("doc_id")
+    q = R.query_text('License "under the" -MIT OR gnu')
+    found = documents_index(spark, sf).matches(q.condition, q.terms(), q.rank(), {}, VECTORS, ["text"])
+    return found.select(F.col("key").alias("doc_id"))
 
 
 @query(

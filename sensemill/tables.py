@@ -22,3 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="sensemill-")
+
+
+_folders: dict[str, str] = {}
+
+
+def session_folder(spark: SparkSession) -> str:
+    """A shared folder of this application, the same at every call."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_folder(spark)}/sensemill-{app}"
+    return _folders[app]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
