@@ -1,43 +1,81 @@
 """Sense identity: greedy clustering of candidates inside (headword, part of speech) blocks.
 
-Blocks are as large as a word has senses. The scan is order-dependent and not transitive (a candidate
-joins the first cluster whose founder means the same), so a block is one grouped call; everything
-around it is joins and windows.
+The rule is a sequential scan: a candidate joins the first cluster whose founder means the same, else founds one. Its
+founders are found in rounds instead: of the pairs that mean the same, a candidate founds as soon as none of the earlier ones
+it pairs with is undecided, and what pairs with a founder does not found. No block is gathered in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensemill.functions.text import same_meaning
+from sensemill.tables import delete, staged
 
-def means_same(a: frozenset, b: frozenset) -> bool:
-    if not a or not b:
-        return False
-    both, small = len(a & b), min(len(a), len(b))
-    j = both / len(a | b)
-    return a == b or (both == small and small >= 2) or j >= 0.75 or (len(a) == len(b) and j >= 0.6)
+#: The least Jaccard similarity of any two token sets that mean the same and don't lie one inside the other.
+LEAST_SIMILAR = 0.6
 
 
-def _cluster(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["ordering", "candidate_id"])
-    founders: list[tuple[frozenset, int]] = []
-    out = []
-    for tokens, candidate in zip(block["tokens"], block["candidate_id"]):
-        own = frozenset(tokens)
-        cluster = next((c for f, c in founders if means_same(f, own)), None)
-        if cluster is None:
-            cluster = candidate
-            founders.append((own, cluster))
-        out.append(cluster)
-    return pd.DataFrame({"candidate_id": block["candidate_id"], "cluster_id": out})
+def similar_pairs(sets: DataFrame, *block: str) -> DataFrame:
+    """Of sets (block columns, id, tokens; distinct and not empty): (a, b) of all pairs in a block that mean the same, a < b.
+
+    Pairs meet on a token. A set is looked for under its rarest tokens of the block only: if it lies in the other set or shares
+    LEAST_SIMILAR of its own tokens with it, the other holds one of the rarest n - ceil(LEAST_SIMILAR n) + 1 of them.
+    """
+    each = sets.select(*block, "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    often = each.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, [*block, "token"]).groupBy(*block, "id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("tokens"))
+    n = F.size("tokens")
+    rare = F.slice("tokens", F.lit(1), n - F.ceil(n * F.lit(LEAST_SIMILAR) - F.lit(1e-9)).cast("int") + 1)
+    probe = ranked.select(*block, F.col("id").alias("p"), n.alias("np"), F.explode(rare).alias("t")).select(*block, "p", "np", F.col("t.token").alias("token"))
+    met = probe.join(each.withColumnRenamed("id", "q"), [*block, "token"]).where((F.col("p") != F.col("q")) & (F.col("np") <= F.col("size")))
+    met = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    text = sets.select("id", "tokens")
+    both = met.join(text.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    return both.where(same_meaning(F.col("ta"), F.col("tb"))).select("a", "b")
+
+
+def followers(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) with a before b: (b, a) of every node that founds nothing, with its first founder.
+
+    Each round decides the nodes that no undecided one stands before, so a round is two joins of what is left of the pairs.
+    """
+    pairs, first_path = staged(pairs, "pairs")
+    left, path, taken, paths = pairs, None, None, []
+    while not left.isEmpty():
+        new = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone, gone_path = staged(left.join(new, "a", "left_semi").select("b").distinct(), "followers")
+        paths.append(gone_path)
+        after = left.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+        left, new_path = staged(after, "undecided")
+        if path:
+            delete(pairs.sparkSession, path)
+        path = new_path
+        taken = gone if taken is None else taken.unionByName(gone)
+    if taken is None:
+        return pairs.select("b", "a")
+    taken, _ = staged(taken, "followers")
+    out, _ = staged(pairs.join(taken, "b").join(taken.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("a")), "first-founders")
+    for p in [first_path, path, *paths]:
+        delete(pairs.sparkSession, p)
+    return out
 
 
 def clusters(candidates: DataFrame) -> DataFrame:
-    """candidates: headword, pos, candidate_id, ordering, tokens. Gives candidate_id and the founder's id as cluster_id."""
-    rows = candidates.select("headword", "pos", "candidate_id", "ordering", "tokens")
-    return rows.groupBy("headword", "pos").applyInPandas(_cluster, "candidate_id long, cluster_id long")
+    """candidates: headword, pos, candidate_id, ordering, tokens. Gives candidate_id and the founder's id as cluster_id.
+
+    Candidates are taken by ordering, then candidate_id, in which nulls come first. Equal token sets of a block are
+    one candidate, the first of them; no tokens mean the same as nothing, so such candidates found each their own.
+    """
+    rows = candidates.select("headword", "pos", "candidate_id", F.struct("ordering", "candidate_id").alias("id"), F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"))
+    block = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in ("headword", "pos")]
+    rows = rows.select(*block, "candidate_id", "id", "tokens")
+    sets, _ = staged(rows.where(F.size("tokens") > 0).groupBy("headword", "pos", "tokens").agg(F.min("id").alias("id")), "token-sets")
+    first = followers(similar_pairs(sets, "headword", "pos")).select(F.col("b").alias("id"), F.col("a").alias("founder"))
+    found = sets.join(first, "id", "left").select("headword", "pos", "tokens", F.coalesce("founder", "id")["candidate_id"].alias("cluster_id"))
+    joined = rows.join(found, ["headword", "pos", "tokens"], "left")
+    return joined.select("candidate_id", F.coalesce("cluster_id", "candidate_id").alias("cluster_id"))
 
 
 def with_suffix(clustered: DataFrame, base: str, order: str) -> DataFrame:

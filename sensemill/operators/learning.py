@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensemill.functions.score import day_end
+from sensemill.operators.keyed import folded_rows
 
 # The default weights of the public FSRS-6 scheduler. ---------------------------------
 W = [
@@ -55,45 +58,80 @@ def review(stability: float | None, difficulty: float | None, days: float, grade
     return s, d, int(min(MAX_INTERVAL, max(1, round(s))))
 
 
-def _step(acc: Column, e: Column) -> Column:
-    """The same step as a Column, for the fold inside Spark."""
-    g, s, d = e["grade"], acc["stability"], acc["difficulty"]
-    days = F.when(acc["at"].isNull(), 0.0).otherwise((e["at"] - acc["at"]) / 86_400.0)
+_STATE = "stability double, difficulty double, reps int, lapses int, at double, last_grade int"
 
-    def first(x: Column) -> Column:
-        return F.lit(W[4] + 1) - F.exp(W[5] * (x - 1))
 
-    def clamp(x: Column) -> Column:
-        return F.least(F.lit(10.0), F.greatest(F.lit(1.0), x))
+class _Reviews:
+    """A card's state after its reviews so far."""
 
-    new_s = F.element_at(F.array(*[F.lit(w) for w in W[:4]]), g)
-    gain = F.exp(W[17] * (g - 3 + W[18])) * F.pow(s, F.lit(-W[19]))
-    same_day = s * F.when(g >= 3, F.greatest(gain, F.lit(1.0))).otherwise(gain)
-    r = F.pow(1 + FACTOR * days / s, F.lit(DECAY))
-    lapse = F.least(W[11] * F.pow(d, F.lit(-W[12])) * (F.pow(s + 1, F.lit(W[13])) - 1) * F.exp(W[14] * (1 - r)), s / math.exp(W[17] * W[18]))
-    grow = math.exp(W[8]) * (11 - d) * F.pow(s, F.lit(-W[9])) * (F.exp(W[10] * (1 - r)) - 1) * F.when(g == 2, W[15]).when(g == 4, W[16]).otherwise(1.0)
-    later = F.when(days < 1, same_day).when(g == 1, lapse).otherwise(s * (1 + grow))
-    drift = d + (10 - d) * (-W[6] * (g - 3)) / 9
-    later_d = clamp(W[7] * (W[4] - math.exp(W[5] * 3) + 1) + (1 - W[7]) * drift)
-    return F.struct(
-        F.greatest(F.when(s.isNull(), new_s).otherwise(later), F.lit(0.001)).alias("stability"), F.when(s.isNull(), clamp(first(g))).otherwise(later_d).alias("difficulty"),
-        (acc["reps"] + 1).alias("reps"), (acc["lapses"] + F.when(s.isNotNull() & (g == 1), 1).otherwise(0)).alias("lapses"), e["at"].alias("at"), g.alias("last_grade"),
-    )
+    def __init__(self, key: tuple, names: list[str]) -> None:
+        self.key, self.names = key, names
+        self.state: tuple = (None, None, 0, 0, None, None)
 
+    def feed(self, rows: pa.RecordBatch) -> None:
+        self.kinds = [rows.schema.field(c).type for c in self.names]
+        s, d, reps, lapses, before, last = self.state
+        for kind, at, grade, start in zip(*(rows.column(c).to_pylist() for c in ("__kind", "at", "grade", "__start"))):
+            if kind == 0:
+                s, d, reps, lapses, before, last = start.values()
+                continue
+            lapses += int(s is not None and grade == 1)
+            s, d, _ = review(s, d, 0.0 if before is None else (at - before) / 86_400, grade)
+            reps, before, last = reps + 1, at, grade
+        self.state = (s, d, reps, lapses, before, last)
 
-def folded(events: DataFrame, *key: str) -> DataFrame:
-    """State per key from its whole history: events have the key, at (seconds), seq and grade.
+    def end(self) -> pa.RecordBatch:
+        s = self.state
+        days = None if s[0] is None else int(min(MAX_INTERVAL, max(1, round(s[0]))))
+        kinds = [pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+        columns = [pa.array([k], t) for k, t in zip(self.key, self.kinds)] + [pa.array([x], t) for x, t in zip((*s, days), kinds)]
+        return pa.RecordBatch.from_arrays(columns, [*self.names, "stability", "difficulty", "reps", "lapses", "at", "last_grade", "interval_days"])
 
-    An ordered fold inside one expression; a key's history is one person's reviews of one item.
+
+def folded(events: DataFrame, *key: str, start: DataFrame | None = None) -> DataFrame:
+    """State per key after its reviews: events have the key, at (seconds), seq and grade, and are taken by at, seq, grade.
+
+    start: states (of this function's columns) that the events continue; keys without events keep theirs. A key's
+    history may have any length: only its state is held.
     """
-    zero = F.struct(
-        F.lit(None).cast("double").alias("stability"), F.lit(None).cast("double").alias("difficulty"), F.lit(0).alias("reps"), F.lit(0).alias("lapses"),
-        F.lit(None).cast("double").alias("at"), F.lit(None).cast("int").alias("last_grade"),
-    )
-    history = F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), "seq", F.col("grade").cast("int").alias("grade"))))
-    state = events.groupBy(*key).agg(F.aggregate(history, zero, _step).alias("s"))
-    days = F.least(F.lit(MAX_INTERVAL), F.greatest(F.lit(1), F.bround("s.stability").cast("int")))
-    return state.select(*key, "s.*", days.alias("interval_days"))
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*key).schema.fields)
+    none = F.lit(None).cast(f"struct<{_STATE}>")
+    rows = events.select(*key, F.lit(1).alias("__kind"), F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq"), F.col("grade").cast("int").alias("grade"), none.alias("__start"))
+    if start is not None:
+        held = F.struct(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in _STATE.split(", ")])
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("at", "double"), ("seq", "long"), ("grade", "int"))]
+        rows = rows.unionByName(start.select(*key, F.lit(0).alias("__kind"), *empty, held.alias("__start")))
+    return folded_rows(rows, key, ["__kind", "at", "seq", "grade"], lambda k: _Reviews(k, list(key)), f"{keys}, {_STATE}, interval_days int")
+
+
+class _Windows:
+    """Numbers a client's requests in windows of `width` from the first request after the last window."""
+
+    def __init__(self, key: tuple, width: float) -> None:
+        self.width, self.begun, self.n = width, None, 0
+
+    def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        at = rows.column("at").to_numpy()
+        begun, number, i = np.empty(len(at), at.dtype), np.empty(len(at), np.int64), 0
+        while i < len(at):  # a step a window
+            if self.begun is None or at[i] >= self.begun + self.width:
+                self.begun, self.n = at[i], 0
+            stop = max(i + 1, int(np.searchsorted(at, self.begun + self.width)))
+            begun[i:stop], number[i:stop] = self.begun, self.n + np.arange(1, stop - i + 1)
+            self.n, i = self.n + stop - i, stop
+        columns = {**{c: rows.column(c) for c in rows.schema.names}, "window_start": pa.array(begun), "number": pa.array(number)}
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    def end(self) -> None:
+        return None
+
+
+def windowed(requests: DataFrame, *key: str, width: int) -> DataFrame:
+    """requests (the key, at, seq) by at and seq, with the start of their window and their number in it, from 1. A window is anchored at
+    the first request that no window holds."""
+    rows = requests.select(*key, F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return folded_rows(rows.where("at is not null"), key, ["at", "seq"], lambda k: _Windows(k, width), f"{schema}, window_start long, number long")
 
 
 def due_bucket(due_at: Column, as_of: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensemill.operators import merge as M
+from sensemill.operators.keyed import numbered
 from sensemill.registry import query
 from sensemill.tables import table
 
@@ -78,8 +79,8 @@ def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(stored, "doc_id", "left").where(~F.col("stored").eqNullSafe(F.col("sha"))).select("doc_id", "sha")
 
 
-@query("stride_shard", "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4 AS shard FROM documents")
+@query("stride_shard", "SELECT doc_id, (row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1) % 4 AS shard FROM documents")
 def stride_shard(spark: SparkSession, sf: str) -> DataFrame:
-    """Strides over the sorted keys of each source, so no single task sorts all keys."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents", "doc_id", "source").select("doc_id", (n % 4).cast("long").alias("shard"))
+    """Strides over all sorted keys: numbers of the total order, found range by range."""
+    d = numbered(table(spark, sf, "documents", "source", "doc_id"), "source", "doc_id")
+    return d.select("doc_id", (F.col("number") % 4).alias("shard"))

@@ -157,21 +157,18 @@ def fsrs_state(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", F.col("reps").cast("long").alias("reps"), "lapses", F.round("stability", 5).alias("stability"), F.round("difficulty", 5).alias("difficulty"))
 
 
-@query("rate_limit_windows")
+@query(
+    "rate_limit_windows",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts::TIMESTAMP) AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT user_id, event_id, u AS start, 1 AS n, k FROM e WHERE k = 1
+          UNION ALL SELECT e.user_id, e.event_id, CASE WHEN e.u - start >= 86400000000 THEN e.u ELSE start END, CASE WHEN e.u - start >= 86400000000 THEN 1 ELSE n + 1 END, e.k FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+        SELECT user_id, event_id, make_timestamp(start) AS window_start, n <= 20 AS allowed FROM r""",
+)
 def rate_limit_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Requests in fixed windows that start at a client's first request after the last window: which are over the limit."""
-    rows = table(spark, sf, "events", "user_id", "event_id", "ts").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    history = F.array_sort(F.collect_list(F.struct("at", "event_id")))
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,start:bigint,n:int>>").alias("out"))
-    width, limit = 86_400_000_000, 20
-
-    def step(acc, e):
-        new = acc["start"].isNull() | (e["at"] - acc["start"] >= width)
-        start, n = F.when(new, e["at"]).otherwise(acc["start"]), F.when(new, 1).otherwise(acc["n"] + 1)
-        return F.struct(start.alias("start"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(e["event_id"].alias("event_id"), start.alias("start"), n.alias("n")))).alias("out"))
-
-    g = rows.groupBy("user_id").agg(F.aggregate(history, zero, step, lambda a: a["out"]).alias("x"))
-    return g.select("user_id", F.explode("x").alias("x")).select("user_id", "x.event_id", F.timestamp_micros("x.start").alias("window_start"), (F.col("x.n") <= limit).alias("allowed"))
+    rows = table(spark, sf, "events", "user_id", "event_id", "ts").select("user_id", F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    out = L.windowed(rows, "user_id", width=86_400_000_000)
+    return out.select("user_id", F.col("seq").alias("event_id"), F.timestamp_micros("window_start").cast("timestamp_ntz").alias("window_start"), (F.col("number") <= 20).alias("allowed"))
 
 
 @query(

@@ -113,6 +113,24 @@ def identity_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return identity.with_suffix(keyed, "base", "first_id").select("sense_key", "cluster_id", "members")
 
 
+@query(
+    "identity_founders",
+    rf"""WITH RECURSIVE c AS (SELECT block, id, t, row_number() OVER (PARTITION BY block ORDER BY id) AS k FROM (SELECT 'doc' || (doc_id % 40) AS block, doc_id AS id, list_sort(list_distinct(t[1:6])) AS t FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents))),
+        r AS (SELECT block, k, id, id AS cluster_id, CASE WHEN len(t) > 0 THEN [{{'t': t, 'id': id}}] ELSE [] END AS founders FROM c WHERE k = 1
+          UNION ALL SELECT block, k, id, coalesce(f.id, id), CASE WHEN f IS NULL AND len(t) > 0 THEN list_append(founders, {{'t': t, 'id': id}}) ELSE founders END FROM (
+            SELECT c.block, c.k, c.id, c.t, r.founders, list_filter(r.founders, lambda x: len(c.t) > 0 AND (x.t = c.t OR (len(list_intersect(x.t, c.t)) = least(len(x.t), len(c.t)) AND least(len(x.t), len(c.t)) >= 2)
+              OR len(list_intersect(x.t, c.t)) / (len(x.t) + len(c.t) - len(list_intersect(x.t, c.t)))::DOUBLE >= 0.75 OR (len(x.t) = len(c.t) AND len(list_intersect(x.t, c.t)) / (len(x.t) + len(c.t) - len(list_intersect(x.t, c.t)))::DOUBLE >= 0.6)))[1] AS f
+            FROM r JOIN c ON c.block = r.block AND c.k = r.k + 1))
+        SELECT id AS candidate_id, cluster_id FROM r""",
+)
+def identity_founders(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as candidates of forty headwords, by their first six significant tokens, in the order of their ids."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    tokens = F.slice(X.significant_tokens(_native_key(F.col("text"))), 1, 6)
+    c = d.select(F.concat(F.lit("doc"), F.col("doc_id") % 40).alias("headword"), F.lit("noun").alias("pos"), F.col("doc_id").alias("candidate_id"), F.lit("").alias("ordering"), tokens.alias("tokens"))
+    return identity.clusters(c)
+
+
 def _align(batches):
     for b in batches:
         out = []

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,14 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="sensemill-")
+    folder = tempfile.mkdtemp(prefix="sensemill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 _folders: dict[str, str] = {}
 
 
 def session_folder(spark: SparkSession) -> str:
-    """A shared folder of this application, the same at every call."""
+    """A shared folder of this application, the same at every call. delete() takes it away at the application's end; a
+    local session's goes with the process."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         _folders[app] = f"{shared_folder(spark)}/sensemill-{app}"
@@ -38,3 +44,10 @@ def session_folder(spark: SparkSession) -> str:
 def delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the session's folder and read again, which cuts its lineage; and the path, for delete()."""
+    path = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
