@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from sensemill.functions import score as S
 from sensemill.functions.text import category_matches
 from sensemill.operators import search
-from sensemill.operators.index import Index, opened
-from sensemill.operators.requests import query_text
+from sensemill.operators.cells import Cells
+from sensemill.operators.index import Index, opened, source_state
+from sensemill.operators.requests import query_text, with_total
 from sensemill.operators.search import Request, merged, ranked
 from sensemill.registry import query
-from sensemill.tables import table
+from sensemill.tables import exists, session_folder, table
 
 _T = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _REQUESTS = {
@@ -114,6 +115,25 @@ def vector_within_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     return near.join(F.broadcast(total), F.lit(True))  # one row
 
 
+def _cells(spark: SparkSession, sf: str) -> Cells:
+    """The session's cells of the table, built anew if its files have changed."""
+    e = table(spark, sf, "embeddings")
+    cells = Cells(spark, f"{session_folder(spark)}/cells-{zlib.crc32((sf + source_state(e)).encode()):08x}")
+    return cells if exists(spark, f"{cells.path}/rows/_SUCCESS") else cells.build(e, "vec_id", "embedding")
+
+
+@query(
+    "vector_range",
+    f"""WITH f AS (SELECT vec_id, label, round(distance, 9) AS distance FROM {_COS} WHERE distance <= 0.85 AND label IN (1, 3, 5, 7))
+        SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY distance, vec_id LIMIT 40 OFFSET 5""",
+)
+def vector_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of what is within the cutoff and in scope, nearest first, with its exact number: from the cells that the cutoff reaches."""
+    q = table(spark, sf, "embeddings", "vec_id", "embedding").where("vec_id = 0").first()["embedding"]
+    near = _cells(spark, sf).within(q, "embedding", 0.85, F.col("label").isin(1, 3, 5, 7)).select("vec_id", "label", F.round("distance", 9).alias("distance"))
+    return with_total(near.orderBy("distance", "vec_id").offset(5).limit(40), near)
+
+
 @query("vector_scoped", f"SELECT vec_id, label, round(distance, 9) AS distance FROM {_COS} WHERE label IN (1, 3, 5) ORDER BY round(distance, 9), vec_id LIMIT 20")
 def vector_scoped(spark: SparkSession, sf: str) -> DataFrame:
     near = _distances(spark, sf).where(F.col("label").isin(1, 3, 5)).withColumn("distance", F.round("distance", 9))

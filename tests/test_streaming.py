@@ -27,7 +27,23 @@ def test_review_states(spark, tmp_path):
 
 def test_rate_limit(spark, tmp_path):
     schema = "key long, at double, seq long"
-    spark.createDataFrame([(1, float(t), t) for t in (0, 1, 2, 3, 60, 61)], schema).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(1, 1e9 + t, t) for t in (0, 1, 2, 3, 60, 61)], schema).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     got = {r["seq"]: r["allowed"] for r in _run(spark, rate_limited(stream, "key", 60.0, 3), "limits", "append", tmp_path)}
     assert got == {0: True, 1: True, 2: True, 3: False, 60: True, 61: True}
+
+
+def test_idle_clients_lose_their_state(spark, tmp_path):
+    schema = "key long, at double, seq long"
+    path = str(tmp_path / "in")
+    spark.createDataFrame([(k, 1e9 + k, k) for k in range(20)], schema).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path)
+    q = rate_limited(stream, "key", 60.0, 1).writeStream.outputMode("append").format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 20
+    for step in (1, 2):
+        spark.createDataFrame([(99, 1e9 + 10_000.0 * step, 100 + step)], schema).coalesce(1).write.mode("append").parquet(path)
+        q.processAllAvailable()
+    states = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    assert states == 1
