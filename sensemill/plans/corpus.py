@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,72 +12,83 @@ from sensemill.functions import text as X
 from sensemill.operators import build as B
 from sensemill.registry import query
 from sensemill.sources import adapters as A
-from sensemill.tables import shared_folder, table
+from sensemill.operators.index import source_state
+from sensemill.tables import exists, session_folder, table
 
 _LEVELS = ", ".join(f"'{x}'" for x in [*S.LEVELS, "ZZ", ""])
-_PROFILE = f"""(SELECT p_partkey, trim(p_name) AS headword, lower(p_type) AS pos, [{_LEVELS}][p_size % 8 + 1] AS level, row_number() OVER (ORDER BY p_partkey) + 1 AS row FROM part)"""
+_PROFILE = f"""(SELECT p_partkey, trim(p_name) AS headword, lower(p_type) AS pos, [{_LEVELS}][p_size % 8 + 1] AS level, p_partkey // 500 AS shard, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) + 1 AS row FROM part)"""
 
 
-def _file(spark: SparkSession, df: DataFrame, kind: str, **options) -> str:
-    """Writes df as one file of the shared folder, as a source would come."""
-    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
-    df.coalesce(1).write.format(kind).options(**options).save(path)
+#: Rows of a staged file, so that files grow in number with the tables, not in size.
+PER_FILE = 500
+
+
+def _files(spark: SparkSession, name: str, df: DataFrame, place: str, kind: str, source: DataFrame, **options) -> str:
+    """Writes df in the files of a source, a file for each PER_FILE values of the column `place`, in its order; the folder of each file is
+    shard=<place div PER_FILE>. A session writes a source once for each state of the table it comes from."""
+    path = f"{session_folder(spark)}/source-{name}-{zlib.crc32(source_state(source).encode()):08x}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows = df.withColumn("shard", F.expr(f"{place} div {PER_FILE}"))
+        rows = rows.repartition("shard").sortWithinPartitions("shard", place)
+        rows.drop(*([place] if place in df.columns and kind == "text" else [])).write.partitionBy("shard").format(kind).options(**options).mode("overwrite").save(path)
     return path
 
 
-def _named(spark: SparkSession, one: DataFrame, folder: str, name: str) -> None:
-    """Writes the text of one row as a file of that name."""
-    path = _file(spark, one, "text")
+def _renamed(spark: SparkSession, path: str, name: str) -> None:
+    """Gives the text files under path's shards a name of their own: name-<shard>.json, all in path."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.Path(folder))
-    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(path)) if f.getPath().getName().startswith("part-"))
-    fs.rename(part, hadoop.Path(f"{folder}/{name}"))
+    for shard in fs.listStatus(hadoop.Path(path)):
+        if shard.getPath().getName().startswith("shard="):
+            for f in fs.listStatus(shard.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), hadoop.Path(f"{path}/{name}-{shard.getPath().getName()[6:]}.json"))
 
 
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_size").orderBy("p_partkey")
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_size")
     level = F.get(F.array(*[F.lit(x) for x in [*S.LEVELS, "zz", ""]]), F.col("p_size") % 8)
-    return A.cefr_profile(spark, _file(spark, p.select(F.col("p_name").alias("headword"), F.lower("p_type").alias("pos"), level.alias("CEFR")), "csv", header="true"))
+    rows = p.select("p_partkey", F.col("p_name").alias("headword"), F.lower("p_type").alias("pos"), level.alias("CEFR"))
+    return A.cefr_profile(spark, _files(spark, "profile", rows, "p_partkey", "csv", p, header="true"))
 
 
 @query(
     "src_profile",
-    f"""SELECT 'cefrj:row:' || row AS record_id, headword, level, CASE WHEN level IN ('ZZ', '') THEN 'failed' ELSE 'processed' END AS verdict,
-          CASE WHEN level NOT IN ('ZZ', '') AND row_number() OVER (PARTITION BY lower(headword), pos ORDER BY row) > 1 THEN 'duplicate' END AS warning FROM {_PROFILE}""",
+    f"""SELECT 'cefrj:' || shard || ':row:' || row AS record_id, headword, level, CASE WHEN level IN ('ZZ', '') THEN 'failed' ELSE 'processed' END AS verdict,
+          CASE WHEN level NOT IN ('ZZ', '') AND row_number() OVER (PARTITION BY lower(headword), pos ORDER BY shard, row) > 1 THEN 'duplicate' END AS warning FROM {_PROFILE}""",
 )
 def src_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _profile(spark, sf).select("record_id", "headword", "level", "verdict", "warning")
 
 
-@query("src_stats", f"SELECT count(*) AS read, count(*) FILTER (WHERE level NOT IN ('ZZ','')) AS processed, 0::BIGINT AS skipped, count(*) FILTER (WHERE level IN ('ZZ','')) AS failed, count(*) FILTER (WHERE level NOT IN ('ZZ','') AND n > 1) AS warnings FROM (SELECT *, row_number() OVER (PARTITION BY lower(headword), pos ORDER BY row) AS n FROM {_PROFILE})")
+@query("src_stats", f"SELECT count(*) AS read, count(*) FILTER (WHERE level NOT IN ('ZZ','')) AS processed, 0::BIGINT AS skipped, count(*) FILTER (WHERE level IN ('ZZ','')) AS failed, count(*) FILTER (WHERE level NOT IN ('ZZ','') AND n > 1) AS warnings FROM (SELECT *, row_number() OVER (PARTITION BY lower(headword), pos ORDER BY shard, row) AS n FROM {_PROFILE})")
 def src_stats(spark: SparkSession, sf: str) -> DataFrame:
     return A.stats(_profile(spark, sf))
 
 
 @query(
     "src_advanced",
-    """SELECT 'octanove:row:' || (row_number() OVER (ORDER BY p_partkey) + 1) AS record_id, CASE WHEN p_size % 3 = 0 THEN 'failed' ELSE 'processed' END AS verdict,
+    """SELECT 'octanove:' || p_partkey // 500 || ':row:' || (row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) + 1) AS record_id, CASE WHEN p_size % 3 = 0 THEN 'failed' ELSE 'processed' END AS verdict,
          CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 5 = 0 THEN 'missing_pos' END AS warning FROM part""",
 )
 def src_advanced(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part", "p_partkey", "p_name", "p_size").orderBy("p_partkey")
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_size")
     level = F.when(F.col("p_size") % 3 == 0, "B9").when(F.col("p_size") % 3 == 1, "C1").otherwise("C2")
-    rows = p.select(F.concat("p_name", F.lit(" "), "p_partkey").alias("headword"), F.when(F.col("p_size") % 5 == 0, "").otherwise("noun").alias("pos"), level.alias("CEFR"))
-    return A.advanced_profile(spark, _file(spark, rows, "csv", header="true")).select("record_id", "verdict", "warning")
+    rows = p.select("p_partkey", F.concat("p_name", F.lit(" "), "p_partkey").alias("headword"), F.when(F.col("p_size") % 5 == 0, "").otherwise("noun").alias("pos"), level.alias("CEFR"))
+    return A.advanced_profile(spark, _files(spark, "advanced", rows, "p_partkey", "csv", p, header="true")).select("record_id", "verdict", "warning")
 
 
 @query(
     "src_frequency",
-    """SELECT 'ngsl:row:' || row AS record_id, lemma, CASE WHEN bad THEN NULL ELSE k END AS rank, CASE WHEN bad THEN 'failed' ELSE 'processed' END AS verdict,
-         CASE WHEN NOT bad AND row_number() OVER (PARTITION BY lower(lemma) ORDER BY row) > 1 THEN 'duplicate' END AS warning
-       FROM (SELECT p_name AS lemma, p_partkey::INTEGER AS k, p_size % 9 = 0 AS bad, row_number() OVER (ORDER BY p_partkey) + 1 AS row FROM part)""",
+    """SELECT 'ngsl:' || shard || ':row:' || row AS record_id, lemma, CASE WHEN bad THEN NULL ELSE k END AS rank, CASE WHEN bad THEN 'failed' ELSE 'processed' END AS verdict,
+         CASE WHEN NOT bad AND row_number() OVER (PARTITION BY lower(lemma) ORDER BY shard, row) > 1 THEN 'duplicate' END AS warning
+       FROM (SELECT p_name AS lemma, p_partkey::INTEGER AS k, p_size % 9 = 0 AS bad, p_partkey // 500 AS shard, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) + 1 AS row FROM part)""",
 )
 def src_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part", "p_partkey", "p_name", "p_size", "p_retailprice").orderBy("p_partkey")
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_size", "p_retailprice")
     rank = F.when(F.col("p_size") % 9 == 0, "none").otherwise(F.col("p_partkey").cast("string"))
-    rows = p.select(F.col("p_name").alias("Lemma"), rank.alias("SFI Rank"), F.col("p_retailprice").alias("SFI"), F.lit(1.5).alias("Adjusted Frequency per Million (U)"))
-    return A.frequency_list(spark, _file(spark, rows, "csv", header="true")).select("record_id", "lemma", "rank", "verdict", "warning")
+    rows = p.select("p_partkey", F.col("p_name").alias("Lemma"), rank.alias("SFI Rank"), F.col("p_retailprice").alias("SFI"), F.lit(1.5).alias("Adjusted Frequency per Million (U)"))
+    return A.frequency_list(spark, _files(spark, "frequency", rows, "p_partkey", "csv", p, header="true")).select("record_id", "lemma", "rank", "verdict", "warning")
 
 
 @query("src_targets", f"SELECT DISTINCT key FROM (SELECT lower(trim(unnest(string_split(headword || '/' || pos, '/')))) AS key FROM {_PROFILE} WHERE level NOT IN ('ZZ','')) WHERE length(key) >= 2")
@@ -94,7 +105,7 @@ def _dump(spark: SparkSession, sf: str) -> str:
     example = F.when(n < 5, F.concat(F.lit('{"text": '), quoted, F.lit("}"))).otherwise(quoted)
     senses = F.when(n == 3, "[]").otherwise(F.concat(F.lit('[{"glosses": [" ", "gloss '), "doc_id", F.lit('"], "tags": [" rare "], "examples": ['), example, F.lit(', "second", {"text": "third"}, "fourth"]}]')))
     line = F.concat(F.lit('{"word": "word'), "doc_id", F.lit('", "lang": "'), F.when(F.col("lang") == "de", "German").otherwise("English"), F.lit('", "pos": "noun", "senses": '), senses, F.lit(', "translations": [{"code": "pl", "word": " słowo "}, {"code": "de", "word": "wort"}]}'))
-    return _file(spark, d.orderBy("doc_id").select(F.when(n == 7, "{broken").otherwise(line).alias("value")), "text", compression="gzip")
+    return _files(spark, "dump", d.select("doc_id", F.when(n == 7, "{broken").otherwise(line).alias("value")), "doc_id", "text", d, compression="gzip")
 
 
 _VERDICT = "CASE WHEN doc_id % 10 = 7 THEN 'failed' WHEN lang = 'de' OR doc_id % 10 = 3 THEN 'skipped' ELSE 'processed' END"
@@ -134,14 +145,18 @@ def src_examples(spark: SparkSession, sf: str) -> DataFrame:
 def src_synsets(spark: SparkSession, sf: str) -> DataFrame:
     """A folder of two files of objects: synsets whose definition is a text or a list, and entries."""
     n, c = table(spark, sf, "nation"), table(spark, sf, "customer", "c_custkey", "c_nationkey")
-    folder = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
     key = F.concat(F.lit("s"), "n_nationkey")
     definition = F.when(F.col("n_nationkey") % 4 == 0, F.lit("[]")).when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('"'), "n_name", F.lit('"'))).otherwise(F.concat(F.lit('["'), "n_name", F.lit('", "more"]')))
     one = F.concat(F.lit('"'), key, F.lit('": {"definition": '), definition, F.lit(', "hypernym": ["s'), "n_regionkey", F.lit('"], "members": ["m"], "partOfSpeech": "n"}'))
     entry = F.concat(F.lit('"c'), "c_custkey", F.lit('": {"n": {"sense": [{"id": "i'), "c_custkey", F.lit('", "synset": "s'), "c_nationkey", F.lit('"}]}}'))
-    objects = lambda df, c: df.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(c), ", "), F.lit("}")).alias("value"))
-    _named(spark, objects(n, one), folder, "noun.json")
-    _named(spark, objects(c, entry), folder, "entries-c.json")
+    folder = f"{session_folder(spark)}/source-synsets-{zlib.crc32(source_state(n, c).encode()):08x}"
+    if not exists(spark, f"{folder}/_DONE"):
+        for name, rows, of, by in (("noun", n, one, "n_nationkey"), ("entries", c, entry, "c_custkey")):
+            # an object for each PER_FILE rows, each in a file of its own
+            objects = rows.groupBy(F.expr(f"{by} div {PER_FILE}").alias("shard")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(of), ", "), F.lit("}")).alias("value"))
+            objects.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").mode("append").text(folder)
+            _renamed(spark, folder, name)
+        spark.range(1).write.mode("overwrite").parquet(f"{folder}/_DONE")
     synsets, relations, links = A.synset_folder(spark, folder)
     lemmas = links.where("verdict = 'processed'").groupBy(F.col("synset").alias("synset_id")).agg(F.count(F.lit(1)).alias("lemmas"))
     out = synsets.join(relations.where("relation = 'hypernym'").select(F.col("from_id").alias("synset_id"), F.col("to_id").alias("hypernym")), "synset_id", "left").join(lemmas, "synset_id", "left")

@@ -27,52 +27,59 @@ RELATIONS = [
 
 
 def _csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All columns as text, and the number of the row in its file (the header is row 1). multiLine keeps a file in
-    one task, which word lists of some MB allow."""
+    """All columns as text, the number of the row in its file (the header is row 1), and shard: of a folder of shard=… folders
+    with a file each, the one it is in, else null.
+
+    multiLine keeps a file in one task, so a list comes as files of some MB; their number is free."""
     df = spark.read.csv(path, header=True, multiLine=True, encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    df = df.select([F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in df.columns])
+    df = df.select([F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns])
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq"))
+    shard = F.col("shard").cast("long") if "shard" in df.columns else F.lit(None).cast("long")
+    rows = df.select(*[F.col(f"`{c}`") for c in columns], shard.alias("shard"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq"))
     return rows.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("seq")) + 1).drop("file", "seq")
 
 
+def _record(prefix: str) -> Column:
+    return F.concat_ws(":", F.lit(prefix), "shard", F.lit("row"), "row")
+
+
 def _again(*key: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*key).orderBy("row")) > 1
+    return F.row_number().over(Window.partitionBy(*key).orderBy("shard", "row")) > 1
 
 
 def _levelled(df: DataFrame, prefix: str, valid: list[str], pos_required: bool) -> DataFrame:
     level = F.upper(collapsed(F.coalesce("CEFR", F.lit(""))))
-    df = df.select("row", collapsed(F.coalesce("headword", F.lit(""))).alias("headword"), collapsed(F.coalesce("pos", F.lit(""))).alias("pos"), level.alias("level"))
+    df = df.select("shard", "row", collapsed(F.coalesce("headword", F.lit(""))).alias("headword"), collapsed(F.coalesce("pos", F.lit(""))).alias("pos"), level.alias("level"))
     failed = F.when(F.col("headword") == "", "missing_headword").when(~F.col("level").isin(valid), "bad_level")
     warning = F.when(F.contains("headword", F.lit("/")), "slash_variants").when(_again(F.lower("headword"), F.lower("pos")), "duplicate")
     if not pos_required:
         warning = F.coalesce(F.when(F.col("pos") == "", "missing_pos"), warning)
     return df.select(
-        F.concat(F.lit(prefix), "row").alias("record_id"), "headword", F.nullif("pos", F.lit("")).alias("pos"), "level",
+        _record(prefix).alias("record_id"), "headword", F.nullif("pos", F.lit("")).alias("pos"), "level",
         F.when(failed.isNull(), "processed").otherwise("failed").alias("verdict"), failed.alias("reason"), F.when(failed.isNull(), warning).alias("warning"),
     )
 
 
 def cefr_profile(spark: SparkSession, path: str) -> DataFrame:
-    return _levelled(_csv(spark, path, ["headword", "pos", "CEFR"]), "cefrj:row:", LEVELS, True)
+    return _levelled(_csv(spark, path, ["headword", "pos", "CEFR"]), "cefrj", LEVELS, True)
 
 
 def advanced_profile(spark: SparkSession, path: str) -> DataFrame:
-    return _levelled(_csv(spark, path, ["headword", "pos", "CEFR"]), "octanove:row:", ["C1", "C2"], False)
+    return _levelled(_csv(spark, path, ["headword", "pos", "CEFR"]), "octanove", ["C1", "C2"], False)
 
 
 def frequency_list(spark: SparkSession, path: str) -> DataFrame:
     per_million = "Adjusted Frequency per Million (U)"
     df = _csv(spark, path, ["Lemma", "SFI Rank", "SFI", per_million])
     df = df.select(
-        "row", collapsed(F.coalesce("Lemma", F.lit(""))).alias("lemma"), F.col("SFI Rank").try_cast("int").alias("rank"), F.col("SFI").try_cast("double").alias("sfi"),
+        "shard", "row", collapsed(F.coalesce("Lemma", F.lit(""))).alias("lemma"), F.col("SFI Rank").try_cast("int").alias("rank"), F.col("SFI").try_cast("double").alias("sfi"),
         F.col(f"`{per_million}`").try_cast("double").alias("per_million"),
     )
     failed = F.when(F.col("lemma") == "", "missing_lemma").when(F.col("rank").isNull() | F.col("sfi").isNull() | F.col("per_million").isNull(), "not_a_number")
     return df.select(
-        F.concat(F.lit("ngsl:row:"), "row").alias("record_id"), "lemma", "rank", "sfi", "per_million",
+        _record("ngsl").alias("record_id"), "lemma", "rank", "sfi", "per_million",
         F.when(failed.isNull(), "processed").otherwise("failed").alias("verdict"), failed.alias("reason"),
         F.when(failed.isNull() & _again(F.lower("lemma")), "duplicate").alias("warning"),
     )
@@ -85,8 +92,11 @@ def _example(x: Column) -> Column:
 
 def dictionary_dump(spark: SparkSession, path: str, targets: DataFrame | None = None) -> DataFrame:
     """JSON lines, gzipped or not: every line is parsed before any filter. targets: a column key, the search keys of
-    the headwords that are wanted. A gzipped file is one task to read, so its lines are dealt out before parsing."""
-    lines = spark.read.text(path).repartition(spark.sparkContext.defaultParallelism)
+    the headwords that are wanted. A gzipped file is one task to read, so a dump comes as many files; one that does not
+    has its lines dealt out before they are parsed."""
+    lines = spark.read.text(path).select("value")
+    if lines.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        lines = lines.repartition(spark.sparkContext.defaultParallelism)
     e = lines.select(F.from_json("value", DUMP + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("e")).select("e.*")
     glossed = F.filter(
         F.transform(F.coalesce("senses", F.array()), lambda s: F.struct(
