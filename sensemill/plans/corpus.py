@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sensemill.functions import score as S
 from sensemill.functions import text as X
 from sensemill.operators import build as B
+from sensemill.operators import identity, merge, normalise
+from sensemill.operators.stages import Build, Stage
 from sensemill.registry import query
 from sensemill.sources import adapters as A
 from sensemill.operators.index import source_state
@@ -277,3 +279,54 @@ def topic_window(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").join(table(spark, sf, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
     c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
     return c.orderBy(F.col("c_acctbal").desc_nulls_last(), "c_name", "c_custkey").limit(20 + 25).select("c_custkey", "c_name")
+
+
+def _sensed(candidates: DataFrame) -> DataFrame:
+    """Candidates with an id: their entry and place in it tell them apart."""
+    return candidates.withColumn("candidate_id", F.xxhash64("headword", "pos", "n", "gloss"))
+
+
+def _clustered(candidates: DataFrame) -> DataFrame:
+    return identity.clusters(candidates.withColumn("ordering", F.concat_ws("|", F.lpad(F.col("n").cast("string"), 6, "0"), "gloss")))
+
+
+def _merged(candidates: DataFrame, clusters: DataFrame) -> DataFrame:
+    members = candidates.join(clusters, "candidate_id")
+    return normalise.merged(members, "cluster_id", F.struct("n", "candidate_id"))
+
+
+def _ranked(senses: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Senses with the word-level evidence of their headword."""
+    ranks = frequency.where("verdict = 'processed'").select(F.col("lemma").alias("key"), "rank").groupBy("key").agg(F.min("rank").alias("rank"))
+    return senses.join(ranks.withColumnRenamed("key", "headword"), "headword", "left").select("cluster_id", "headword", "pos", "gloss", "members", "rank")
+
+
+def _stored(store: DataFrame, senses: DataFrame) -> DataFrame:
+    return merge.upsert(store, senses, "cluster_id")
+
+
+#: A corpus from a dump and a list: candidates, identity, merged senses, evidence, and the store they are put into.
+CORPUS = [
+    Stage("candidates", ("dump",), lambda dump: _sensed(normalise.candidates(dump))),
+    Stage("clusters", ("candidates",), _clustered),
+    Stage("senses", ("candidates", "clusters"), _merged),
+    Stage("evidence", ("senses", "frequency"), _ranked),
+    Stage("store", ("old", "evidence"), _stored),
+]
+
+
+@query(
+    "corpus_build",
+    f"""SELECT 'word' || doc_id AS headword, 'noun' AS pos, 'gloss ' || doc_id AS gloss, 1::BIGINT AS members, p_partkey::INTEGER AS rank FROM documents LEFT JOIN part ON p_partkey = doc_id AND p_size % 9 <> 0 WHERE {_VERDICT} = 'processed'
+        UNION ALL SELECT 'kept', 'noun', 'of an earlier build', 1, NULL""",
+)
+def corpus_build(spark: SparkSession, sf: str) -> DataFrame:
+    """From a dump and a frequency list to the store of senses; a second build in a session finds all stages done."""
+    p = table(spark, sf, "part", "p_partkey", "p_size", "p_retailprice")
+    rank = F.when(F.col("p_size") % 9 == 0, "none").otherwise(F.col("p_partkey").cast("string"))
+    rows = p.select("p_partkey", F.concat(F.lit("word"), "p_partkey").alias("Lemma"), rank.alias("SFI Rank"), F.col("p_retailprice").alias("SFI"), F.lit(1.5).alias("Adjusted Frequency per Million (U)"))
+    sources = {
+        "dump": A.dictionary_dump(spark, _dump(spark, sf)), "frequency": A.frequency_list(spark, _files(spark, "words", rows, "p_partkey", "csv", p, header="true")),
+        "old": spark.createDataFrame([(-1, "kept", "noun", "of an earlier build", 1, None)], "cluster_id long, headword string, pos string, gloss string, members long, rank int"),
+    }
+    return Build(spark, f"{session_folder(spark)}/corpus-{zlib.crc32(sf.encode()):08x}", CORPUS).run(sources)["store"].drop("cluster_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensemill.functions import score as S
 from sensemill.functions import text as X
+from sensemill.operators.stages import differences
 from sensemill.registry import query
 from sensemill.tables import table
 
@@ -70,6 +71,21 @@ def row_counts(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query(
+    "verify_copy",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN 'lost' WHEN o_orderkey % 103 = 0 THEN 'doubled' WHEN o_orderkey % 107 = 0 THEN 'changed' END AS kind, 1::BIGINT AS n_old,
+         CASE WHEN o_orderkey % 101 = 0 THEN 0 WHEN o_orderkey % 103 = 0 THEN 2 ELSE 1 END::BIGINT AS n_new FROM orders WHERE o_orderkey % 101 = 0 OR o_orderkey % 103 = 0 OR (o_orderkey % 107 = 0 AND o_totalprice IS NOT NULL)
+       UNION ALL SELECT -7, 'added', 0, 1""",
+)
+def verify_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """A copy of orders that lost, doubled, changed and added some, against its source."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_orderstatus")
+    k = F.col("o_orderkey")
+    copy = o.where(k % 101 != 0).withColumn("o_totalprice", F.when((k % 107 == 0) & (k % 103 != 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    copy = copy.unionByName(copy.where(k % 103 == 0)).unionByName(o.limit(1).withColumn("o_orderkey", F.lit(-7).cast("long")))
+    return differences(o, copy, "o_orderkey")
+
+
 @query(
     "evidence_conflict",
     """SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) ELSE max(o_orderpriority) END AS level,
