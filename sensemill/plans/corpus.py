@@ -14,6 +14,7 @@ from sensemill.operators import identity, merge, normalise
 from sensemill.operators.stages import Build, Stage
 from sensemill.registry import query
 from sensemill.sources import adapters as A
+from sensemill.sources.profilers import dump_profile, synset_profile
 from sensemill.operators.index import source_state
 from sensemill.tables import exists, session_folder, table
 
@@ -113,6 +114,22 @@ def _dump(spark: SparkSession, sf: str) -> str:
 _VERDICT = "CASE WHEN doc_id % 10 = 7 THEN 'failed' WHEN lang = 'de' OR doc_id % 10 = 3 THEN 'skipped' ELSE 'processed' END"
 
 
+_EN = "(SELECT count(*) FROM documents WHERE doc_id % 10 <> 7 AND coalesce(lang, '') <> 'de')"
+_SENSED = "(SELECT count(*) FROM documents WHERE doc_id % 10 NOT IN (3, 7) AND coalesce(lang, '') <> 'de')"
+
+
+@query(
+    "src_dump_profile",
+    f"""SELECT section, item, n, CASE WHEN section IN ('field', 'sense', 'polish') AND item <> 'glossed' THEN round(n / {_EN}::DOUBLE, 6) WHEN item = 'glossed' THEN round(n / {_SENSED}::DOUBLE, 6) END AS share FROM (
+        SELECT 'total' AS section, 'records' AS item, count(*) AS n FROM documents UNION ALL SELECT 'total', 'malformed', count(*) FROM documents WHERE doc_id % 10 = 7 UNION ALL SELECT 'total', 'english', {_EN}
+        UNION ALL SELECT 'language', CASE WHEN lang = 'de' THEN 'German' ELSE 'English' END, count(*) FROM documents WHERE doc_id % 10 <> 7 GROUP BY 2 UNION ALL SELECT 'pos', 'noun', {_EN}
+        UNION ALL SELECT 'field', unnest(['word', 'lang', 'pos', 'senses', 'translations']), {_EN} UNION ALL SELECT 'code', unnest(['pl', 'de']), {_EN} UNION ALL SELECT 'tag', ' rare ', {_SENSED}
+        UNION ALL SELECT 'sense', 'entries', {_EN} UNION ALL SELECT 'sense', unnest(['senses', 'glossed']), {_SENSED} UNION ALL SELECT 'polish', unnest(['entries', 'translations']), {_EN} UNION ALL SELECT 'polish', 'hinted', 0)""",
+)
+def src_dump_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return dump_profile(spark, _dump(spark, sf))
+
+
 @query(
     "src_dump",
     f"""SELECT CASE WHEN doc_id % 10 <> 7 THEN 'word' || doc_id END AS word, {_VERDICT} AS verdict, CASE WHEN doc_id % 10 = 7 THEN 'malformed' WHEN lang = 'de' THEN 'language' WHEN doc_id % 10 = 3 THEN 'no_gloss' END AS reason,
@@ -139,12 +156,7 @@ def src_examples(spark: SparkSession, sf: str) -> DataFrame:
     return A.examples(run, wanted, 12).select("word", F.md5("example").alias("example"))
 
 
-@query(
-    "src_synsets",
-    """SELECT 's' || n_nationkey AS synset_id, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name END AS definition, CASE WHEN n_nationkey % 4 = 0 THEN 'failed' ELSE 'processed' END AS verdict,
-         's' || n_regionkey AS hypernym, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS lemmas FROM nation""",
-)
-def src_synsets(spark: SparkSession, sf: str) -> DataFrame:
+def _synsets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A folder of two files of objects: synsets whose definition is a text or a list, and entries."""
     n, c = table(spark, sf, "nation"), table(spark, sf, "customer", "c_custkey", "c_nationkey")
     key = F.concat(F.lit("s"), "n_nationkey")
@@ -159,12 +171,31 @@ def src_synsets(spark: SparkSession, sf: str) -> DataFrame:
             objects.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").mode("append").text(folder)
             _renamed(spark, folder, name)
         spark.range(1).write.mode("overwrite").parquet(f"{folder}/_DONE")
-    synsets, relations, links = A.synset_folder(spark, folder)
+    return A.synset_folder(spark, folder)
+
+
+@query(
+    "src_synsets",
+    """SELECT 's' || n_nationkey AS synset_id, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name END AS definition, CASE WHEN n_nationkey % 4 = 0 THEN 'failed' ELSE 'processed' END AS verdict,
+         's' || n_regionkey AS hypernym, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS lemmas FROM nation""",
+)
+def src_synsets(spark: SparkSession, sf: str) -> DataFrame:
+    synsets, relations, links = _synsets(spark, sf)
     lemmas = links.where("verdict = 'processed'").groupBy(F.col("synset").alias("synset_id")).agg(F.count(F.lit(1)).alias("lemmas"))
     out = synsets.join(relations.where("relation = 'hypernym'").select(F.col("from_id").alias("synset_id"), F.col("to_id").alias("hypernym")), "synset_id", "left").join(lemmas, "synset_id", "left")
     return out.select("synset_id", "definition", "verdict", "hypernym", F.coalesce("lemmas", F.lit(0)).cast("long").alias("lemmas"))
 
 
+@query(
+    "src_synset_profile",
+    """SELECT 'synset' AS section, 'synsets' AS item, count(*) AS n FROM nation UNION ALL SELECT 'synset', 'definitions', count(*) FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 'synset', unnest(['examples', 'ili']), 0
+       UNION ALL SELECT 'synset', 'members', count(*) FROM nation UNION ALL SELECT 'pos', 'n', count(*) FROM nation UNION ALL SELECT 'relation', 'hypernym', count(*) FROM nation
+       UNION ALL SELECT 'lemma', unnest(['lemmas', 'links']), count(*) FROM customer UNION ALL SELECT 'lemma', 'several', 0""",
+)
+def src_synset_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return synset_profile(*_synsets(spark, sf))
+
+
 @query(
     "evidence_join",
     """WITH l AS (SELECT lower(p_name) AS k, min(p_size) AS level, count(*) AS n_levels FROM part WHERE p_size < 20 GROUP BY 1), f AS (SELECT lower(p_name) AS k, min(p_partkey) AS rank FROM part WHERE p_size > 40 GROUP BY 1)

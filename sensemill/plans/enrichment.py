@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensemill.functions import score as S
-from sensemill.operators import embed, normalise
+from sensemill.operators import audit, embed, normalise
 from sensemill.registry import query
 from sensemill.tables import table
 
@@ -76,6 +76,49 @@ def priority_audit(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean"), F.count_if(F.col("before") > F.col("p_retailprice")).alias("inversions"))
 
 
+_STORED = """(SELECT p_partkey AS key, p_type AS t, ['A1','A2','B1','B2','C1','C2'][1 + p_size % 6] AS cefr, (p_partkey % 10 + 1) / 20.0::DOUBLE AS frequency, CASE p_size % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS learner,
+    0.5::DOUBLE AS polish, CASE WHEN p_size % 2 = 0 THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END AS quality, CASE WHEN p_type = 'PROMO' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS penalty FROM part)"""
+_SCORED = f"(SELECT *, round(least(1.0, (0.35::DOUBLE * frequency + 0.15::DOUBLE * learner + 0.2::DOUBLE * polish + 0.3::DOUBLE * quality) * penalty) + 1e-9, 4) AS again FROM {_STORED})"
+_AUDITED = f"""(SELECT *, CASE WHEN key % 97 = 0 THEN again + 0.05 ELSE again END AS score, CASE WHEN key % 89 = 0 THEN 'HIGH' WHEN again >= 0.7 THEN 'VERY HIGH' WHEN again >= 0.55 THEN 'HIGH' WHEN again >= 0.4 THEN 'MEDIUM' WHEN again >= 0.25 THEN 'LOW' ELSE 'VERY LOW' END AS level FROM {_SCORED})"""
+
+
+def _audited(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored priorities of which some scores and some levels are wrong."""
+    p = table(spark, sf, "part", "p_partkey", "p_type", "p_size")
+    size = F.col("p_size")
+    c = p.select(
+        F.col("p_partkey").alias("key"), F.get(F.array(*[F.lit(x) for x in S.LEVELS]), size % 6).alias("cefr"), ((F.col("p_partkey") % 10 + 1) / 20.0).alias("frequency"), F.when(size % 3 == 0, 1.0).when(size % 3 == 1, 0.9).otherwise(0.5).alias("learner"),
+        F.lit(0.5).alias("polish"), F.when(size % 2 == 0, 0.0).otherwise(0.7).alias("quality"), F.when(F.col("p_type") == "PROMO", 0.5).otherwise(1.0).alias("penalty"),
+    )
+    c = c.withColumn("score", S.priority_score(*[F.col(x) for x in audit.COMPONENTS])).withColumn("level", F.when(F.col("key") % 89 == 0, "HIGH").otherwise(S.priority_level(F.col("score"))))
+    return c.withColumn("score", F.when(F.col("key") % 97 == 0, F.col("score") + 0.05).otherwise(F.col("score")))
+
+
+@query(
+    "audit_checks",
+    f"""WITH a AS (SELECT *, CASE WHEN score >= 0.7 THEN 'VERY HIGH' WHEN score >= 0.55 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' WHEN score >= 0.25 THEN 'LOW' ELSE 'VERY LOW' END AS right_level FROM {_AUDITED}),
+        s AS (SELECT learner, polish, quality, penalty, frequency, min(score) AS low, max(score) AS high FROM a GROUP BY ALL), n AS (SELECT low, lag(high) OVER (PARTITION BY learner, polish, quality, penalty ORDER BY frequency) AS before FROM s)
+        SELECT 'rows' AS "check", 'all' AS item, count(*) AS n, NULL::DOUBLE AS value FROM a UNION ALL SELECT 'level', 'mismatch', count(*) FILTER (WHERE level <> right_level), NULL FROM a
+        UNION ALL SELECT 'recompute', 'mismatch', count(*) FILTER (WHERE abs(again - score) > 1e-9), NULL FROM a UNION ALL SELECT 'mean', 'flagged', count(*), round(avg(score), 6) FROM a WHERE penalty < 1
+        UNION ALL SELECT 'mean', 'clean', count(*), round(avg(score), 6) FROM a WHERE penalty = 1 UNION ALL SELECT 'inversions', 'frequency', count(*) FILTER (WHERE low < before - 1e-9), NULL FROM n
+        UNION ALL SELECT 'mean', cefr, count(*), round(avg(score), 6) FROM a GROUP BY cefr HAVING count(*) >= 100 UNION ALL SELECT 'neutral', level, count(*), NULL FROM a WHERE penalty = 1 AND frequency = 0.5 AND learner = 0.5 AND polish = 0.5 AND quality = 0 GROUP BY level""",
+)
+def audit_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.checks(_audited(spark, sf))
+
+
+@query(
+    "audit_samples",
+    f"""SELECT level, key, place, 'random' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY md5('42:' || key), key) AS place FROM {_AUDITED}) WHERE place <= 5
+        UNION ALL SELECT level, key, place, 'lowest' FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score, key) AS place FROM {_AUDITED}) WHERE place <= 3""",
+)
+def audit_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """For review: five senses of each level by seed 42, and its three weakest."""
+    rows = _audited(spark, sf)
+    shown = lambda df, kind: df.select("level", "key", F.col("place").cast("long").alias("place"), F.lit(kind).alias("kind"))
+    return shown(audit.samples(rows, "key", "level", 5, 42), "random").unionByName(shown(audit.boundary(rows, "key", "level", 3, True), "lowest"))
+
+
 @query(
     "inspect_lists",
     """SELECT count(*) AS rows, count(DISTINCT p_name) AS headwords, count(*) FILTER (WHERE contains(p_name, ' ')) AS multiword, count(*) FILTER (WHERE contains(p_name, '/')) AS slashes,
