@@ -175,12 +175,12 @@ ORACLE: dict[str, str] = {
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
         dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
-        bw AS (SELECT item_id, len(w) AS n, least(13, len(w)) AS win, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM b WHERE len(w) >= 6),
+        bw AS (SELECT item_id, len(w) AS n, least(13, len(w)) AS win, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM b),
         m AS (SELECT DISTINCT doc_id, item_id, n, win, dw.pos - bw.pos AS shift, bw.pos AS pos FROM dw JOIN bw USING (word)),
         r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM m),
         x AS (SELECT doc_id, item_id, win, max(k) AS matched FROM r GROUP BY ALL)
         SELECT doc_id, item_id, matched::BIGINT AS matched, win::BIGINT AS "window", matched / win::DOUBLE AS similarity
-        FROM x WHERE matched >= 0.8 * win AND (win = 13 OR matched = win)""",
+        FROM x JOIN (SELECT doc_id, max(len(w)) AS words FROM d GROUP BY doc_id) USING (doc_id) WHERE matched >= 0.8 * win AND (win >= 6 OR (matched = win AND (win >= 3 OR words = win)))""",
     "op11_filter_audit": rf"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '{_BLANKS}') AS w, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS copy FROM d),

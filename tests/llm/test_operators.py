@@ -288,15 +288,16 @@ def test_mixing_of_one_document(spark):
 def test_decontamination(spark, docs, none):
     item = [f"item{i}" for i in range(30)]
     changed = lambda *at: " ".join("changed" if i in at else w for i, w in enumerate(item))
-    bench = [(1, " ".join(item)), (2, "seven words stand in this short item"), (3, "too short"), (4, None), (None, "a b c d e f g h"), (5, ""), (1, " ".join(item))]
+    bench = [(1, " ".join(item)), (2, "seven words stand in this short item"), (3, "too short"), (4, None), (None, "a b c d e f g h"), (5, ""), (1, " ".join(item)), (6, "one two three four five"), (7, "a b c d e f g h i j"), (8, "solo")]
     more = [
+        (910, "x one two three four five y"), (911, "one two three four other"), (912, "k a b X d e f Y h i j k"), (913, "a b X d e Y g h Z j"), (914, "z z a b c d e f g h i j"), (915, "Too, short!"), (916, "too short by far"), (917, "SOLO"), (918, "solo solo"),
         (900, "x y " + changed() + " z"), (901, changed(4, 9, 14, 19, 24)), (902, changed(3, 6, 9, 12, 15, 18, 21, 24, 27)), (903, " ".join(item[5:18])), (904, " ".join(item[5:15])),
         (905, "A, Seven words -- STAND in this short item."), (906, "seven words stand in this shorter item"), (907, changed(5, 11) + " " + changed(6)),
     ]
     benchmark = spark.createDataFrame(bench, "item_id long, text string").withColumn("matched", F.lit(1))
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(both, benchmark).collect()}
-    assert set(got) == {(900, 1), (901, 1), (903, 1), (905, 2), (907, 1)}
+    assert set(got) == {(900, 1), (901, 1), (903, 1), (905, 2), (906, 2), (907, 1), (910, 6), (912, 7), (914, 7), (915, 3), (917, 8)}
     assert got[900, 1]["similarity"] == 1.0 and got[901, 1]["matched"] == 11 and got[905, 2]["window"] == 7
     left = decontaminate.without_leaks(docs, benchmark)
     assert left.columns == docs.columns and left.count() == docs.count()
