@@ -7,7 +7,9 @@ it pairs with is undecided, and what pairs with a founder does not found. No blo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensemill.functions.text import same_meaning
@@ -84,44 +86,74 @@ def with_suffix(clustered: DataFrame, base: str, order: str) -> DataFrame:
     return clustered.withColumn("__n", n).withColumn("sense_key", F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat_ws("-", base, "__n"))).drop("__n")
 
 
+#: Translations a sense gets in turn, and the confidence of each way to a translation.
 ALIGN_CAP = 3
+ALIGNED = {"inline": 0.95, "cognate": 0.50, "token": 0.70, "position": 0.35}
+
+
+def _placed(sense: Column, text: Column, method: str) -> Column:
+    return F.struct(sense.cast("int").alias("sense"), F.lit(-ALIGNED[method]).alias("order"), text.alias("translation"), F.lit(method).alias("method"))
+
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: columns named in a lambda are computed again for each element."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
-def align_translations(inline: list[list[str]], words: list[str], headword: str) -> list[tuple[int, str, float]]:
-    """(sense, translation, confidence) of one entry: words given inside a gloss, the headword's cognate, words that
-    share a token with an inline one, and the rest in turn, three to a sense at most."""
-    out: dict[tuple[int, str], float] = {}
-    left = []
-    tokens = [{t for w in ws for t in w.lower().split() if len(t) >= 3} for ws in inline]
-    for s, ws in enumerate(inline):
-        for w in ws:
-            out[s, w] = 0.95
-    cognate = False
-    for w in words:
-        if any((s, w) in out for s in range(len(inline))):
-            continue
-        if w.lower() == headword.lower() and not cognate:
-            cognate = True
-            for s in range(len(inline)):
-                out[s, w] = 0.50
-            continue
-        share = [len({t for t in w.lower().split() if len(t) >= 3} & ts) for ts in tokens]
-        if share and max(share) > 0:
-            out[share.index(max(share)), w] = 0.70
-        else:
-            left.append(w)
-    count = [sum(1 for s, _ in out if s == k) for k in range(len(inline))]
-    at = 0
-    for w in left:
-        for step in range(len(inline)):
-            s = (at + step) % len(inline)
-            if count[s] < ALIGN_CAP:
-                out[s, w] = 0.35
-                count[s] += 1
-                at = s + 1
-                break
-        else:  # all full: the rest still goes somewhere
-            s = at % len(inline)
-            out[s, w] = 0.35
-            at += 1
-    return sorted(((s, w, c) for (s, w), c in out.items()), key=lambda x: (x[0], -x[2], x[1]))
+
+def align_translations(entries: DataFrame) -> DataFrame:
+    """Entries with a column aligned: what each sense is translated by, as structs (sense, translation, confidence, method)
+    by sense, falling confidence and text.
+
+    entries: word_key, inline (an array of (text, key) for each sense: translations its gloss names) and words ((text, key) of
+    the entry's own translations, in order); key is the search key of text. Inline translations stand first. The first word whose
+    key is word_key is the cognate of every sense. Of the other words without an inline key, a key that shares a token of three
+    characters with a sense's inline keys goes to the sense that shares most (the first of several), once; the rest goes to the
+    senses in turn, ALIGN_CAP to a sense, and what is left after that to none. Nulls among words or inline ones are passed over,
+    null arrays count as empty, and an entry without senses gets an empty array. All other columns stay.
+    """
+    none = F.array().cast("array<struct<text:string,key:string>>")
+
+    def kept(words: Column) -> Column:
+        return F.filter(F.coalesce(words, none), lambda w: w["text"].isNotNull() & w["key"].isNotNull())
+
+    def tokens(key: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(key, " "), lambda t: F.length(t) >= 3))
+
+    def taken(w: Column) -> Column:
+        return (F.coalesce(F.array_max(w["shared"]), F.lit(0)) > 0) & (w["key"] != "")
+
+    def facts(e: Column) -> Column:
+        cognate = F.get(F.filter(e["words"], lambda w: w["key"] == e["word_key"]), F.lit(0))["text"]
+        own = F.when(cognate.isNull(), F.array().cast("array<string>")).otherwise(F.array(e["word_key"]))
+        used = F.concat(F.flatten(F.transform(e["inline"], lambda ws: F.transform(ws, lambda w: w["key"]))), own)
+        sets = F.transform(e["inline"], lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: tokens(w["key"])))))
+        return F.struct(cognate.alias("cognate"), used.alias("used"), sets.alias("sets"))
+
+    def unused(e: Column, f: Column) -> Column:
+        def measured(w: Column) -> Column:
+            shared = _bound(tokens(w["key"]), lambda t: F.transform(f["sets"], lambda s: F.size(F.array_intersect(t, s))))
+            return F.struct(w["text"].alias("text"), w["key"].alias("key"), shared.alias("shared"))
+
+        return F.transform(F.filter(e["words"], lambda w: ~F.array_contains(f["used"], w["key"])), measured)
+
+    def together(e: Column, f: Column, left: Column) -> Column:
+        def firsts(near: Column) -> Column:
+            keys = F.transform(near, lambda w: w["key"])
+            first = _bound(keys, lambda k: F.filter(near, lambda w, i: F.array_position(k, w["key"]) == i + 1))
+            return F.transform(first, lambda w: _placed(F.array_position(w["shared"], F.array_max(w["shared"])) - 1, w["text"], "token"))
+
+        n = F.size(e["inline"])
+        inline = F.flatten(F.transform(e["inline"], lambda ws, s: F.transform(ws, lambda w: _placed(s, w["text"], "inline"))))
+        cognate = F.filter(F.transform(e["inline"], lambda _, s: _placed(s, f["cognate"], "cognate")), lambda x: x["translation"].isNotNull())
+        token = _bound(F.filter(left, taken), firsts)
+        rest = F.slice(F.filter(left, lambda w: ~taken(w)), F.lit(1), n * ALIGN_CAP)
+        turn = F.transform(rest, lambda w, i: _placed(F.pmod(i, n), w["text"], "position"))
+        return F.transform(F.array_sort(F.concat(inline, cognate, token, turn)), lambda x: F.struct(
+            x["sense"].alias("sense"), x["translation"].alias("translation"), (-x["order"]).alias("confidence"), x["method"].alias("method")))
+
+    senses = F.coalesce("inline", F.array().cast("array<array<struct<text:string,key:string>>>"))
+    entry = F.struct(kept(F.col("words")).alias("words"), F.transform(senses, kept).alias("inline"), F.col("word_key").alias("word_key"))
+    nothing = F.array().cast("array<struct<sense:int,translation:string,confidence:double,method:string>>")
+    aligned = _bound(entry, lambda e: F.when(F.size(e["inline"]) == 0, nothing).otherwise(
+        _bound(facts(e), lambda f: _bound(unused(e, f), lambda left: together(e, f, left)))))
+    return entries.select("*", aligned.alias("aligned"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensemill.functions import text as X
@@ -131,21 +130,37 @@ def identity_founders(spark: SparkSession, sf: str) -> DataFrame:
     return identity.clusters(c)
 
 
-def _align(batches):
-    for b in batches:
-        out = []
-        for entry, turn, text in zip(b["conv_id"], b["turn"], b["text"]):
-            words = text.split()
-            inline = [words[:2], words[2:3], []]
-            out += [(entry, turn, s, w, c) for s, w, c in identity.align_translations(inline, list(dict.fromkeys(words)), words[0] if words else "")]
-        yield pd.DataFrame(out, columns=["entry", "turn", "sense", "translation", "confidence"])
-
-
-@query("align_translations")
+@query(
+    "align_translations",
+    rf"""WITH c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM conversations WHERE text IS NOT NULL),
+        p AS (SELECT *, array_to_string(w[1:2], ' ') AS a, w[3] AS b, w[4] AS d FROM c WHERE len(w) > 0),
+        q AS (SELECT *, {_KEY.format('a')} AS ka, {_KEY.format('b')} AS kb, {_KEY.format('d')} AS h FROM p),
+        s AS (SELECT *, list_filter(list_distinct(string_split(ka, ' ')), lambda t: length(t) >= 3) AS sa, coalesce(list_filter(list_distinct(string_split(kb, ' ')), lambda t: length(t) >= 3), []) AS sb FROM q),
+        x AS (SELECT conv_id, turn, ka, kb, h, sa, sb, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM s),
+        y AS (SELECT *, {_KEY.format('t')} AS k FROM x),
+        z AS (SELECT *, len(list_intersect(list_filter(string_split(k, ' '), lambda t: length(t) >= 3), sa)) AS na, len(list_intersect(list_filter(string_split(k, ' '), lambda t: length(t) >= 3), sb)) AS nb FROM y
+              WHERE k <> ka AND k IS DISTINCT FROM kb AND k IS DISTINCT FROM h),
+        o AS (SELECT conv_id, turn, 0 AS sense, a AS translation, 'inline' AS method FROM p UNION ALL SELECT conv_id, turn, 1, b, 'inline' FROM p WHERE b IS NOT NULL
+          UNION ALL SELECT conv_id, turn, unnest([0, 1, 2]), arg_min(t, i), 'cognate' FROM y WHERE k = h GROUP BY conv_id, turn
+          UNION ALL SELECT conv_id, turn, CASE WHEN max(na) >= max(nb) THEN 0 ELSE 1 END, arg_min(t, i), 'token' FROM z WHERE na + nb > 0 AND k <> '' GROUP BY conv_id, turn, k
+          UNION ALL SELECT conv_id, turn, (n % 3)::INT, t, 'position' FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS n FROM z WHERE na + nb = 0 OR k = '') WHERE n < 9),
+        f AS (SELECT *, CASE method WHEN 'inline' THEN 0.95::DOUBLE WHEN 'cognate' THEN 0.5::DOUBLE WHEN 'token' THEN 0.7::DOUBLE ELSE 0.35::DOUBLE END AS confidence FROM o)
+        SELECT conv_id AS entry, turn, sense, row_number() OVER (PARTITION BY conv_id, turn, sense ORDER BY confidence DESC, translation) AS place, translation, confidence, method FROM f""",
+)
 def align_translations(spark: SparkSession, sf: str) -> DataFrame:
-    """Each turn of a conversation as an entry with three senses and its words to align."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    return c.mapInPandas(_align, "entry long, turn long, sense long, translation string, confidence double")
+    """Each turn of a conversation as an entry of three senses: its first two words and its third one are named inside the glosses, its
+    fourth is the headword, and all its words are translations to align."""
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text").where("text is not null")
+    c = c.select(F.col("conv_id").alias("entry"), "turn", F.filter(F.split("text", "[ \t\n\r\f]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+
+    def keyed(words):
+        return F.transform(words, lambda w: F.struct(w.alias("text"), _native_key(w).alias("key")))
+
+    inline = F.array(keyed(F.array(F.array_join(F.slice("w", 1, 2), " "))), keyed(F.slice("w", 3, 1)), keyed(F.slice("w", 1, 0)))
+    entries = c.select("entry", "turn", _native_key(F.get("w", F.lit(3))).alias("word_key"), inline.alias("inline"), keyed(F.col("w")).alias("words"))
+    rows = identity.align_translations(entries).select("entry", "turn", F.explode("aligned").alias("x")).select("entry", "turn", "x.*")
+    of = Window.partitionBy("entry", "turn", "sense").orderBy(F.desc("confidence"), "translation")  # an entry's few rows
+    return rows.withColumn("place", F.row_number().over(of))
 
 
 @query(

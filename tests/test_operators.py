@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,10 +34,43 @@ def test_identity_is_greedy(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
-def test_alignment():
-    out = identity.align_translations([["river edge"], []], ["bank", "edge land", "u", "v", "w", "x", "y"], "bank")
-    assert (0, "river edge", 0.95) in out and (0, "bank", 0.5) in out and (1, "bank", 0.5) in out and (0, "edge land", 0.7) in out
-    assert {w for _, w, _ in out} >= {"u", "v", "w", "x", "y"}
+def _scan(word, inline, words):
+    """The four passes one after another, word by word."""
+    out, used = [], {k for ws in inline for _, k in ws}
+    out += [(s, t, 0.95, "inline") for s, ws in enumerate(inline) for t, _ in ws]
+    own = [t for t, k in words if k == word]
+    if own:
+        out += [(s, own[0], 0.5, "cognate") for s in range(len(inline))]
+        used.add(word)
+    sets, rest = [{x for _, k in ws for x in k.split(" ") if len(x) > 2} for ws in inline], []
+    for t, k in words:
+        if k in used:
+            continue
+        shared = [len({x for x in k.split(" ") if len(x) > 2} & s) for s in sets]
+        if k and max(shared, default=0):
+            out.append((shared.index(max(shared)), t, 0.7, "token"))
+            used.add(k)
+        else:
+            rest.append(t)
+    out += [(i % len(inline), t, 0.35, "position") for i, t in enumerate(rest) if i < 3 * len(inline)]
+    return sorted(out, key=lambda x: (x[0], -x[2], x[1]))
+
+
+def test_alignment(spark):
+    rng = random.Random(5)
+    names = ["bank", "edge land", "river edge", "river", "u", "v", "wide edge", "", "land", "x y"]
+
+    def some(n):
+        return [(w.upper(), w) for w in rng.choices(names, k=rng.randrange(n))]
+
+    rows = [(i, rng.choice(names), [some(3) for _ in range(rng.randrange(5))], some(14)) for i in range(400)] + [(400, "u", [], [("U", "u")]), (401, "u", [[], []], [])]
+    kind = "id int, word_key string, inline array<array<struct<text:string,key:string>>>, words array<struct<text:string,key:string>>"
+    got = {r["id"]: [tuple(x) for x in r["aligned"]] for r in identity.align_translations(spark.createDataFrame(rows, kind)).collect()}
+    for i, word, inline, words in rows:
+        assert got[i] == (_scan(word, inline, words) if inline else []), i
+    odd = spark.createDataFrame([(1, None, [[("a", None), None], None], [None, ("u", "u")], "x"), (2, "u", None, None, None)], kind + ", aligned_by string")
+    got = {r["id"]: [tuple(x) for x in r["aligned"]] for r in identity.align_translations(odd).collect()}
+    assert got == {1: [(0, "u", 0.35, "position")], 2: []} and identity.align_translations(odd).columns[-2:] == ["aligned_by", "aligned"]
 
 
 def test_graph(spark):
@@ -119,7 +154,6 @@ def test_merge(spark, tmp_path):
 
 
 def test_fold_equals_steps(spark):
-    import random
 
     rng, rows, want = random.Random(1), [], {}
     for k in range(20):
