@@ -158,7 +158,8 @@ def align_translations(spark: SparkSession, sf: str) -> DataFrame:
 
     inline = F.array(keyed(F.array(F.array_join(F.slice("w", 1, 2), " "))), keyed(F.slice("w", 3, 1)), keyed(F.slice("w", 1, 0)))
     entries = c.select("entry", "turn", _native_key(F.get("w", F.lit(3))).alias("word_key"), inline.alias("inline"), keyed(F.col("w")).alias("words"))
-    rows = identity.align_translations(entries).select("entry", "turn", F.explode("aligned").alias("x")).select("entry", "turn", "x.*")
+    # explode_outer, for a filter inferred from explode would align each entry twice more
+    rows = identity.align_translations(entries).select("entry", "turn", F.explode_outer("aligned").alias("x")).where("x is not null").select("entry", "turn", "x.*")
     of = Window.partitionBy("entry", "turn", "sense").orderBy(F.desc("confidence"), "translation")  # an entry's few rows
     return rows.withColumn("place", F.row_number().over(of))
 
