@@ -4,8 +4,9 @@ Templates are licence texts and notices, cut in passages where holders, years or
 gives each of their words its document frequency. A passage is posted (word, passage, place) under its
 rarest words only, so many of them that a text which matches it must hold some in their places. A text
 looks up those of its own words that are posted, its licence words of highest IDF; each posting proposes
-that the passage stands so many words before. Proposals that agree intersect, and each that has enough
-agreement is verified word by word, with the template's mandatory key phrase in its place.
+that the passage stands so many words before. Proposals that agree within a few words intersect, and each that
+has enough agreement is verified: its words in order, with the template's mandatory key phrase among them. Of
+templates that lie one inside the other, the one with most words in place names the text.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ TEMPLATES = [
         "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required",
         "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
         "this notice may not be removed or altered from any source distribution"]),
-    ("mit-full", "free of charge", [
+    ("mit", "free of charge", [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
         "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
@@ -64,21 +65,34 @@ TEMPLATES = [
         "contributors may be used to endorse or promote products derived from this software without specific prior written permission",
         "any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
         "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"]),
-    ("isc-full", "with or without fee", [
+    ("isc", "with or without fee", [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
         "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
         "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"]),
-    ("unlicense-full", "unencumbered software", [
+    ("unlicense", "unencumbered software", [
         "this is free and unencumbered software released into the public domain",
         "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
         "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
         "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
         "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"]),
+    ("apache", "derivative works", [
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license to make have made use offer to sell sell import and otherwise transfer the work",
+        "you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and in source or object form provided that you meet the following conditions"]),
+    ("gpl-2", "general public license", [
+        "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"]),
+    ("gpl-3", "general public license", [
+        "the licenses for most software and other practical works are designed to take away your freedom to share and change the works by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users"]),
+    ("lgpl", "lesser general public license", [
+        "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public licenses are intended to guarantee your freedom to share and change free software to make sure the software is free for all its users",
+        "this license the lesser general public license applies to some specially designated software packages typically libraries of the free software foundation and other authors who decide to use it"]),
+    ("mpl", "covered software", [
+        "each individual or legal entity that creates contributes to the creation of or owns covered software"]),
 ]
-#: A passage is found where MATCHED of its words stand in their places, and a template where its found passages'
-#: words in place are MATCHED of all. So many of a passage's rarest words are posted that AGREE of them at least stand
-#: in place wherever it is found, however long it is.
-MATCHED, AGREE = 0.8, 3
+#: A passage is found where MATCHED of its words stand in their order and each at most SLIP words later than the first one's place
+#: says, which allows for words put in or left out; a template where its found passages' words are MATCHED of all. So many of a
+#: passage's rarest words are posted that AGREE of them at least are among those words wherever it is found, however long it is.
+MATCHED, AGREE, SLIP = 0.8, 3, 8
 
 #: Words are digits, letters and everything beyond ASCII; A-Z count as a-z.
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -98,11 +112,16 @@ class Index:
         passages, phrases = [_hashes(t) for t in texts], [_hashes(p) for p in PHRASES]
         self.words = np.unique(np.concatenate([*passages, *phrases]))
         self.passages, self.phrases = ([self.number(h) for h in x] for x in (passages, phrases))
-        self.templates = []  # label, its passages, and passage and place of its key phrase
+        self.bits = []  # of each passage, the places of a word as bits
+        for words in self.passages:
+            bits: dict[int, int] = {}
+            for i, w in enumerate(words.tolist()):
+                bits[w] = bits.get(w, 0) | 1 << i
+            self.bits.append(bits)
+        self.templates = []  # label, its passages, the one with its key phrase, and this phrase's words
         for label, key, own in TEMPLATES:
             held = next(p for p in own if f" {key} " in f" {p} ")
-            at = len(f" {held} ".partition(f" {key} ")[0].split())
-            self.templates.append((label, [texts.index(p) for p in own], texts.index(held), slice(at, at + len(key.split()))))
+            self.templates.append((label, [texts.index(p) for p in own], texts.index(held), self.number(_hashes(key))))
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """-1 for words of no template."""
@@ -118,33 +137,73 @@ class Index:
         word, self.passage, self.place = np.array(sorted(posted)).T
         self.first = np.searchsorted(word, np.arange(len(self.words) + 1))
 
-    def found(self, no: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float]]:
-        """Texts no[first[t]:first[t + 1]] of word numbers: text, label and share of each template in it."""
+    def in_order(self, p: int, words: np.ndarray) -> int:
+        """How many of passage p's words stand in words in their order (longest common subsequence, a bit for each place)."""
+        bits, full = self.bits[p], (1 << len(self.passages[p])) - 1
+        open_ = full
+        for w in words.tolist():
+            new = open_ & bits.get(w, 0)
+            if new:
+                open_ = ((open_ + new) | (open_ - new)) & full
+        return (full & ~open_).bit_count()
+
+    def proposed(self, no: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, passage, and the stretch of words that should hold the passage: where AGREE postings start within SLIP words."""
         at = np.flatnonzero(no >= 0)
         n = np.diff(self.first)[no[at]]
         at, n = at[n > 0], n[n > 0]
         row = np.repeat(self.first[no[at]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         pos, passage = np.repeat(at, n), self.passage[row]
         text = np.searchsorted(first, pos, "right") - 1
-        vote, votes = np.unique(np.column_stack([text, passage, pos - self.place[row]]), axis=0, return_counts=True)
-        best: dict[int, dict[int, list[np.ndarray]]] = {}
-        for t, p, start in vote[votes >= AGREE].tolist():
-            words = self.passages[p]
-            a, b = max(start, int(first[t])), min(start + len(words), int(first[t + 1]))
-            same = np.zeros(len(words), bool)
-            same[a - start : b - start] = no[a:b] == words[a - start : b - start]
-            if same.mean() >= MATCHED:
-                best.setdefault(t, {}).setdefault(p, []).append(same)
+        vote, votes = np.unique(np.column_stack([text * len(self.passages) + passage, pos - self.place[row]]), axis=0, return_counts=True)
+        of, start = vote[:, 0], vote[:, 1]
+        line = (of << 40) + start + (1 << 20)  # ascends, and starts of other texts or passages lie far apart
+        total = np.r_[0, np.cumsum(votes)]
+        enough = total[np.searchsorted(line, line + SLIP, "right")] - total[:-1] >= AGREE
+        group: tuple[int, int, int] | None = None
+        for g, s in [*zip(of[enough].tolist(), start[enough].tolist()), (-1, 0)]:
+            if group and (group[0] != g or s - group[1] > SLIP):
+                t, p = divmod(group[0], len(self.passages))
+                yield t, p, max(group[1], int(first[t])), min(group[2] + SLIP + len(self.passages[p]), int(first[t + 1]))
+                group = None
+            group = (g, group[1], s) if group else (g, s, s)
+
+    def found(self, no: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float]]:
+        """Texts no[first[t]:first[t + 1]] of word numbers: text, label and share of each template in it that none found larger holds."""
+        places: dict[int, dict[int, list[tuple[int, int, int]]]] = {}  # text, passage: stretches and their words in order
+        for t, p, a, b in self.proposed(no, first):
+            words = self.in_order(p, no[a:b])
+            if words >= MATCHED * len(self.passages[p]) - 1e-9:
+                known = places.setdefault(t, {}).setdefault(p, [])
+                if known and a < known[-1][0] + len(self.passages[p]) // 2:  # the same place once more
+                    known[-1] = max(known[-1], (a, b, words), key=lambda x: x[2])
+                else:
+                    known.append((a, b, words))
         out = []
-        for t, got in best.items():
+        for t, got in places.items():
+            whole = []  # label, share, words in order, stretches with the key phrase, all stretches
             for label, own, held, key in self.templates:
-                here = {p: max(int(s.sum()) for s in (got[p] if p != held else [s for s in got[p] if s[key].all()] or [np.zeros(1)])) for p in own if p in got}
-                share = sum(here.values()) / sum(len(self.passages[p]) for p in own)
-                if here.get(held) and share >= MATCHED:
-                    out.append((t, label, share))
+                keyed = [x for x in got.get(held, []) if _holds(no[x[0] : x[1]], key)]
+                words = sum(max(x[2] for x in (keyed if p == held else got[p])) for p in own if p in got and (keyed or p != held))
+                share = words / sum(len(self.passages[p]) for p in own)
+                if keyed and share >= MATCHED - 1e-9:
+                    whole.append((label, share, words, keyed, [x for p in own for x in got.get(p, [])]))
+            out += [(t, x[0], x[1]) for x in whole if not any(_inside(x, y) for y in whole)]
         return out
 
 
+def _holds(words: np.ndarray, phrase: np.ndarray) -> bool:
+    size = len(words) - len(phrase) + 1
+    return size > 0 and bool(np.logical_and.reduce([words[i : i + size] == w for i, w in enumerate(phrase)]).any())
+
+
+def _inside(x: tuple, y: tuple) -> bool:
+    """Template x, found, is a part of template y: y has more words in order, stands as often, and wherever x does."""
+    if y[2] <= x[2] or len(y[3]) < len(x[3]):
+        return False
+    return all(any(a >= c - 2 * SLIP and b <= d + 2 * SLIP for c, d, _ in y[4]) for a, b, _ in x[3])
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = Index()
     df = np.zeros(len(index.words), np.int64)
@@ -158,7 +217,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
-    """Document frequencies of the templates' words over all of docs: one row for each (some 250) comes to the driver."""
+    """Document frequencies of the templates' words over all of docs: one row for each (some 300) comes to the driver."""
     rows = map_arrow(docs.select(F.col("text").cast("string").alias("text")), _frequencies, "word int, df long").groupBy("word").agg(F.sum("df").alias("df"))
     df = np.zeros(len(Index().words), np.int64)
     for r in rows.collect():
@@ -215,7 +274,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     doc_id, n_words, n_base (places of the fixed phrases), first_word and last_word (their smallest and
     largest start, null without), base_labels, labels (with those of matched templates), score (1 with
-    a phrase, else the largest share of a matched template's words that stand in place, else 0).
+    a phrase, else the largest share of a matched template's words that stand in order, else 0). A notice, a whole
+    text and a short form of one licence share its label; a template inside a larger one that is found as often names nothing.
 
     A null or empty text has no words and no labels. Rows that repeat a doc_id are scanned each by its
     own text. Other columns are ignored.

@@ -191,6 +191,57 @@ def test_whole_licenses(spark):
     assert all(label not in got[9000 + n]["labels"].split(",") or label in got[9000 + n]["base_labels"] for n, (label, _, p) in enumerate(licenses.TEMPLATES) if len(p) == 1)
 
 
+def test_licence_families_insertions_and_best_template(spark):
+    """Words put in or left out, larger templates before those inside them, two licences in one text, and order that must hold."""
+    import random
+
+    whole = {}
+    for label, _, passages in licenses.TEMPLATES:
+        if len(passages) > len(whole.get(label, [])):
+            whole[label] = passages
+    mit, rng = whole["mit"][0].split(), random.Random(3)
+    rows = [
+        (1, " ".join([*mit[:40], "inserted", *mit[40:]]) + " " + " ".join(whole["mit"][1:]), "mit"),
+        (2, " ".join([*mit[:20], "two", "more", *mit[20:45], *mit[48:]]) + " " + " ".join(whole["mit"][1:]), "mit"),
+        (3, ". ".join(whole["bsd-3-clause"]), "bsd-3-clause"),
+        (4, ". ".join(whole["bsd-2-clause"]), "bsd-2-clause"),
+        (5, whole["bsd-2-clause"][0], "bsd"),
+        (6, ". ".join(whole["bsd-3-clause"]) + " and then " + ". ".join(whole["bsd-2-clause"]), "bsd-2-clause,bsd-3-clause"),
+        (7, ". ".join(whole["isc"]), "isc"),
+        (8, ". ".join(whole["apache"]), "apache"),
+        (9, "gnu gpl " + whole["gpl-3"][0], "gpl,gpl-3"),
+        (10, whole["gpl-2"][0], "gpl,gpl-2"),
+        (11, " then ".join(whole["lgpl"]), "lgpl"),
+        (12, " ".join(rng.sample(mit, len(mit))), ""),
+        (13, ". ".join(whole["agpl"]), "agpl"),
+        (14, " ".join(w + " pad" * 3 for w in mit), ""),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: labels for i, _, labels in rows}
+
+
+def test_licence_words_in_order():
+    """The bits' longest common subsequence against the plain table."""
+    import random
+
+    import numpy as np
+
+    index, rng = licenses.Index(), random.Random(4)
+    for _ in range(200):
+        p = rng.randrange(len(index.passages))
+        own = index.passages[p].tolist()
+        words = [w for w in own if rng.random() < 0.8] if rng.random() < 0.5 else rng.choices([*own, -1], k=rng.randrange(2 * len(own)))
+        for _ in range(rng.randrange(5)):
+            words.insert(rng.randrange(len(words) + 1), -1)
+        best = [0] * (len(own) + 1)
+        for w in words:
+            new = best[:]
+            for i, o in enumerate(own):
+                new[i + 1] = best[i] + 1 if o == w else max(best[i + 1], new[i])
+            best = new
+        assert index.in_order(p, np.array(words, np.int64)) == best[-1]
+
+
 def test_secrets(spark, docs, none):
     key, token = "AKIA" + "A1B2" * 5, "Zx9" + "aB3" * 14
     more = [
