@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensemill.functions.score import ordinal
+from sensemill.tables import delete, staged
 
 
 def at_least(c: Column, level: str, order: list[str]) -> Column:
@@ -51,17 +52,26 @@ def subtree(nodes: DataFrame, root: str, key: str = "key", parent: str = "parent
     """Keys of a node and of all below it, however deep, each once; cycles end by themselves.
 
     Round r takes in the nodes up to 2**r - 1 levels down, by links to the ancestor 2**(r - 1) levels up, so a deep
-    tree takes few rounds; each round's tables are kept, and it ends when a round finds nothing new.
+    tree takes few rounds; it ends when a round finds nothing new. Each round's tables are written and those before it
+    deleted; only the keys found stay, in the session's folder.
     """
-    up = nodes.select(F.col(key).alias("key"), F.col(parent).alias("above")).where("key is not null and above is not null").distinct().persist()
-    found = nodes.where(F.col(key) == root).select(F.col(key).alias("key")).distinct().persist()
+    spark = nodes.sparkSession
+    links = nodes.select(F.col(key).alias("key"), F.col(parent).alias("above")).where("key is not null and above is not null")
+    up, up_path = staged(links.distinct(), "links")
+    found, path = staged(nodes.where(F.col(key) == root).select(F.col(key).alias("key")).distinct(), "subtree")
     n = found.count()
     while n:
-        found = up.join(found.withColumnRenamed("key", "above"), "above").select("key").unionByName(found).distinct().persist()
+        more, more_path = staged(up.join(found.withColumnRenamed("key", "above"), "above").select("key").unionByName(found).distinct(), "subtree")
+        delete(spark, path)
+        found, path = more, more_path
         before, n = n, found.count()
         if n == before:
             break
-        up = up.join(up.select(F.col("key").alias("above"), F.col("above").alias("higher")), "above").select("key", F.col("higher").alias("above")).distinct().persist()
+        higher = up.select(F.col("key").alias("above"), F.col("above").alias("higher"))
+        far, far_path = staged(up.join(higher, "above").select("key", F.col("higher").alias("above")).distinct(), "links")
+        delete(spark, up_path)
+        up, up_path = far, far_path
+    delete(spark, up_path)
     return found
 
 

@@ -14,10 +14,12 @@ from sensemill.operators.search import tokens
 
 def test_subtree_is_whole(spark):
     """A chain of 40 nodes, a node with two parents and a cycle."""
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
     edges = [("n0", None)] + [(f"n{i}", f"n{i - 1}") for i in range(1, 40)] + [("two", "n3"), ("two", "n5"), ("a", "b"), ("b", "a"), ("n0", "n39")]
     nodes = spark.createDataFrame(edges, "key string, parent string")
     assert sorted(r[0] for r in subtree(nodes, "n0").collect()) == sorted([f"n{i}" for i in range(40)] + ["two"])
     assert sorted(r[0] for r in subtree(nodes, "a").collect()) == ["a", "b"] and subtree(nodes, "none").count() == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before  # nothing stays cached
 
 
 @pytest.mark.parametrize(
