@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sensemill.functions import score as S
 from sensemill.operators import learning as L
+from sensemill.operators import queue as Q
 from sensemill.registry import query
 from sensemill.tables import table
 
@@ -204,3 +205,51 @@ def export_rows(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part", "p_partkey", "p_name").join(lines, F.col("l_partkey") == F.col("p_partkey"))
     out = p.select("p_partkey", "p_name", F.array_join(F.transform("n", lambda x: x.cast("string")), " | ").alias("positions"))
     return out.orderBy("p_name", "p_partkey").limit(50_000)
+
+
+_CARDS = """(SELECT l_suppkey AS student_id, l_suppkey * 10000000 + l_partkey AS card_id, l_partkey AS sense_id, CASE WHEN min(l_linestatus) = 'F' THEN 'review' ELSE 'learning' END AS learning_state,
+    max(l_linenumber) > 2 AS is_active, max(l_shipdate + to_days(CAST(l_quantity AS INTEGER))) FILTER (WHERE l_returnflag <> 'N') AS due_at, count(*) FILTER (WHERE l_returnflag <> 'N') AS repetitions,
+    count(*) FILTER (WHERE l_returnflag = 'R') AS lapses FROM lineitem GROUP BY l_suppkey, l_partkey)"""
+_QUEUE_AT = "2000-01-01 12:00:00"
+_DUE_CARDS = f"""(SELECT student_id, card_id, sense_id, p_name AS headword, learning_state, CASE WHEN repetitions > 0 THEN repetitions END AS repetitions, CASE WHEN repetitions > 0 THEN lapses END AS lapses, due_at,
+    CASE WHEN repetitions = 0 THEN 2 WHEN due_at < TIMESTAMP '{_QUEUE_AT}' THEN 0 ELSE 1 END AS bucket, CASE WHEN repetitions > 0 THEN due_at < TIMESTAMP '{_QUEUE_AT}' END AS is_overdue
+    FROM {_CARDS} JOIN part ON p_partkey = sense_id WHERE is_active AND (repetitions = 0 OR due_at <= date_trunc('day', TIMESTAMP '{_QUEUE_AT}') + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND))"""
+
+
+def _queue_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cards of suppliers as students in parts as senses, their states, and the senses."""
+    li = table(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    student, card, sense = F.col("l_suppkey").alias("student_id"), (F.col("l_suppkey") * 10000000 + F.col("l_partkey")).alias("card_id"), F.col("l_partkey").alias("sense_id")
+    state = F.when(F.min("l_linestatus") == "F", "review").otherwise("learning").alias("learning_state")
+    cards = li.groupBy(student, card, sense).agg(state, (F.max("l_linenumber") > 2).alias("is_active"))
+    reviewed = li.where("l_returnflag <> 'N'").groupBy(card).agg(
+        F.expr("max(l_shipdate + make_dt_interval(cast(l_quantity as int)))").alias("due_at"), F.count(F.lit(1)).alias("repetitions"), F.count_if(F.col("l_returnflag") == "R").alias("lapses")
+    )
+    return cards, reviewed, table(spark, sf, "part", "p_partkey", "p_name").toDF("sense_id", "headword")
+
+
+@query(
+    "due_queue_narrowed",
+    f"""SELECT d.*, t.translation FROM {_DUE_CARDS} d LEFT JOIN (SELECT l_partkey AS sense_id, arg_min(l_returnflag || l_linestatus, (l_orderkey, l_linenumber, l_returnflag || l_linestatus)) AS translation FROM lineitem GROUP BY 1) t USING (sense_id)
+        WHERE student_id = 3 AND learning_state IN ('learning', 'review') AND lapses > 0 AND headword ILIKE '%RI%' AND sense_id IN (SELECT p_partkey FROM part WHERE p_size <= 40)
+        ORDER BY bucket, due_at NULLS LAST, headword, card_id LIMIT 50""",
+)
+def due_queue_narrowed(spark: SparkSession, sf: str) -> DataFrame:
+    """A student's page of 50: lapsed cards of a set, in two states, with part of a headword, and each one's first translation."""
+    cards, states, senses = _queue_tables(spark, sf)
+    members = table(spark, sf, "part", "p_partkey", "p_size").where("p_size <= 40").select(F.col("p_partkey").alias("sense_id"))
+    only = Q.Narrowing(members=members, states=["learning", "review"], difficult=True, search="RI")
+    page = Q.queue(Q.due(cards, states, senses, F.lit(_QUEUE_AT).cast("timestamp"), only), 3)
+    li = table(spark, sf, "lineitem", "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    children = li.select(F.col("l_partkey").alias("sense_id"), F.struct("l_orderkey", "l_linenumber").alias("position"), F.concat("l_returnflag", "l_linestatus").alias("translation"))
+    return Q.with_first(page, children, "translation", "translation")
+
+
+@query(
+    "next_up",
+    f"""SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY bucket, due_at NULLS LAST, headword, card_id) AS n FROM {_DUE_CARDS}) WHERE n = 1""",
+)
+def next_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Every student's first card."""
+    cards, states, senses = _queue_tables(spark, sf)
+    return Q.next_up(Q.due(cards, states, senses, F.lit(_QUEUE_AT).cast("timestamp")))
