@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensemill.functions import score as S
+from sensemill.operators import imports as I
 from sensemill.operators import learning as L
 from sensemill.operators import queue as Q
 from sensemill.registry import query
@@ -253,3 +254,47 @@ def next_up(spark: SparkSession, sf: str) -> DataFrame:
     """Every student's first card."""
     cards, states, senses = _queue_tables(spark, sf)
     return Q.next_up(Q.due(cards, states, senses, F.lit(_QUEUE_AT).cast("timestamp")))
+
+
+#: An import of documents into labels as held senses: every fifth row names its key, others derive it from their text's length.
+_IMPORT = """WITH r AS (SELECT doc_id AS line, CASE WHEN doc_id % 5 = 0 THEN 'k' || (doc_id % 700) ELSE ' ' END AS named, 'k' || (length(text) % 900) AS derived, lang AS pos, CASE WHEN doc_id % 3 = 0 THEN 'a1' ELSE 'B2' END AS cefr,
+      list_filter(string_split(text, ' ')[1:4], lambda w: w <> '') AS w FROM documents),
+    h AS (SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 4 = 0 THEN 'en' ELSE 'fr' END AS pos, 'B2' AS cefr FROM documents WHERE doc_id % 2 = 0),
+    k AS (SELECT *, CASE WHEN trim(named) <> '' THEN named ELSE derived END AS key, trim(named) <> '' AS has FROM r),
+    f AS (SELECT key, min(line) AS first, arg_min(struct_pack(pos := lower(pos), cefr := upper(cefr)), line) AS own FROM k WHERE NOT has GROUP BY key),
+    c AS (SELECT k.*, CASE WHEN h.key IS NOT NULL THEN CASE WHEN lower(k.pos) = h.pos AND upper(k.cefr) = h.cefr THEN 'existing_match' ELSE 'conflict' END
+        WHEN coalesce(first < line, false) THEN CASE WHEN struct_pack(pos := lower(k.pos), cefr := upper(k.cefr)) = own THEN 'existing_match' ELSE 'conflict' END WHEN NOT has THEN 'new' ELSE 'error' END AS status
+      FROM k LEFT JOIN h ON h.key = k.key LEFT JOIN f ON f.key = k.key)"""
+
+
+def _import_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = table(spark, sf, "documents", "doc_id", "text", "lang")
+    number = F.col("doc_id")
+    rows = d.select(
+        number.alias("line"), F.when(number % 5 == 0, F.concat(F.lit("k"), number % 700)).otherwise(" ").alias("sense_key"), F.concat(F.lit("k"), F.length("text") % 900).alias("derived_key"),
+        F.lit("").alias("headword"), F.upper("lang").alias("pos"), F.when(number % 3 == 0, "a1").otherwise("B2").alias("cefr"), F.lit("").alias("definition"),
+    )
+    held = d.where("doc_id % 2 = 0").select(F.concat(F.lit("k"), "doc_id").alias("sense_key"), F.when(number % 4 == 0, "en").otherwise("fr").alias("pos"), F.lit("B2").alias("cefr"), F.lit(None).cast("string").alias("definition"))
+    words = F.filter(F.slice(F.split("text", " "), 1, 4), lambda w: w != "")
+    values = d.select(number.alias("line"), F.posexplode(words).alias("place", "value")).withColumn("norm", F.lower("value"))
+    return I.classified(rows, held), values, d
+
+
+@query("import_preview", _IMPORT + " SELECT line, status, CASE WHEN status <> 'error' THEN key END AS sense_key FROM c")
+def import_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return _import_parts(spark, sf)[0].select("line", "status", "sense_key")
+
+
+@query(
+    "import_children",
+    _IMPORT + """, v AS (SELECT key, line, unnest(w) AS value, generate_subscripts(w, 1) AS place FROM c WHERE status IN ('new', 'existing_match')),
+    o AS (SELECT key, lower(value) AS norm, arg_min(value, (line, place)) AS value, min((line, place)) AS met FROM v GROUP BY 1, 2),
+    g AS (SELECT 'k' || doc_id AS key, lower(string_split(text, ' ')[1]) AS norm, doc_id % 4 AS position FROM documents WHERE doc_id % 2 = 0),
+    n AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.key = o.key AND g.norm = o.norm))
+    SELECT n.key AS sense_key, value, norm, coalesce((SELECT max(position) FROM g WHERE g.key = n.key), -1) + row_number() OVER (PARTITION BY n.key ORDER BY met) AS position FROM n""",
+)
+def import_children(spark: SparkSession, sf: str) -> DataFrame:
+    """The first words of the imported texts as values; each held sense has one value already."""
+    marked, values, d = _import_parts(spark, sf)
+    held = d.where("doc_id % 2 = 0").select(F.concat(F.lit("k"), "doc_id").alias("sense_key"), F.lower(F.get(F.split("text", " "), F.lit(0))).alias("norm"), (F.col("doc_id") % 4).alias("position"))
+    return I.children(marked, values, held)

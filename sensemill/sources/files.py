@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensemill.functions.score import LEVELS
-from sensemill.functions.text import blank_to_null, split_multi
+from sensemill.functions.text import CANONICAL_POS, blank_to_null, split_multi
 
 HEADERS = [
     "sense_key", "headword", "part_of_speech", "cefr_level", "definition", "priority_level", "frequency_rank", "translations_pl", "examples", "flags",
@@ -34,15 +34,24 @@ def read_import(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return df
 
 
+#: The longest values of an import row in characters, and the flags it may name.
+LONGEST = {"headword": 200, "definition": 10_000, "translations_pl": 4_000, "examples": 10_000, "flags": 500}
+FLAGS = ["rare", "archaic", "obsolete", "technical", "specialized", "proper_name", "offensive", "american", "british"]
+
+
 def errors(df: DataFrame) -> Column:
-    """An array of what is wrong with a row; empty if nothing is."""
-    level = blank_to_null(F.col("cefr_level"))
-    return F.array_compact(F.array(
+    """An array of what is wrong with a row, in the order of the rules; empty if nothing is. Parts of speech, levels and flags
+    count in any case; blank values are none."""
+    level, pos = blank_to_null(F.col("cefr_level")), blank_to_null(F.col("part_of_speech"))
+    single = F.array(
         F.when(blank_to_null(F.col("headword")).isNull(), "headword is required"),
-        F.when(F.length("headword") > 200, "headword is too long"),
+        *[F.when(F.length(c) > n, f"{c} is too long") for c, n in LONGEST.items()],
+        F.when(pos.isNotNull() & ~F.lower(pos).isin(CANONICAL_POS), "unknown part_of_speech"),
         F.when(level.isNotNull() & ~F.upper(level).isin(LEVELS), "unknown cefr_level"),
         F.when(blank_to_null(F.col("frequency_rank")).isNotNull() & F.col("frequency_rank").try_cast("int").isNull(), "frequency_rank is no number"),
-    ))
+    )
+    odd = F.filter(split_multi(F.coalesce("flags", F.lit(""))), lambda f: ~F.lower(f).isin(FLAGS))
+    return F.concat(F.array_compact(single), F.transform(odd, lambda f: F.concat(F.lit("unknown flag: "), f)))
 
 
 def checked(df: DataFrame) -> DataFrame:
