@@ -207,11 +207,12 @@ def near_words(words: DataFrame) -> DataFrame:
     chunks, _ = written(chunks, "chunks")
     ids = chunks.select("block", "id")
     blocks = ids.select("block").distinct().mapInArrow(_reached, "block string, other string")
-    # blocks hold chunks of bounded size, so that these rows are few: pairs of ids, then the chunks themselves
-    pairs = ids.join(blocks, "block").select(F.col("block").alias("from"), F.col("id").alias("a"), F.col("other").alias("block"))
-    pairs = pairs.join(ids.withColumnRenamed("id", "b"), "block").where((F.col("from") != F.col("block")) | (F.col("a") <= F.col("b"))).select("a", "b")
-    rows = pairs.join(chunks.select(F.col("id").alias("a"), F.col("words").alias("words_a"), F.col("n").alias("n_a")), "a")
-    rows = rows.join(chunks.select(F.col("id").alias("b"), F.col("words").alias("words_b"), F.col("n").alias("n_b")), "b")
+    # Pairs of ids, then the chunks themselves. All sides grow with the vocabulary while Spark takes them for small (a block reaches
+    # dozens of others, files hold words compressed), so every join is told to shuffle.
+    pairs = ids.join(blocks.hint("merge"), "block").select(F.col("block").alias("from"), F.col("id").alias("a"), F.col("other").alias("block"))
+    pairs = pairs.join(ids.withColumnRenamed("id", "b").hint("merge"), "block").where((F.col("from") != F.col("block")) | (F.col("a") <= F.col("b"))).select("a", "b")
+    rows = pairs.join(chunks.select(F.col("id").alias("a"), F.col("words").alias("words_a"), F.col("n").alias("n_a")).hint("merge"), "a")
+    rows = rows.join(chunks.select(F.col("id").alias("b"), F.col("words").alias("words_b"), F.col("n").alias("n_b")).hint("merge"), "b")
     rows = rows.select((F.col("a") == F.col("b")).alias("same"), "words_a", "n_a", "words_b", "n_b")
     found = map_arrow(rows, _near, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("n"), "best")).alias("x")
@@ -223,7 +224,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now, _ = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new, _ = written(now.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new, _ = written(now.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if not new.where("moved").limit(1).count():
             return new.select("word", "root")
         now = new.select("word", "root")
@@ -240,8 +241,8 @@ def group_variants(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     words, _ = written(vocabulary(docs), "vocabulary")
-    rows = words.join(near_words(words), "word", "left").withColumn("is_form", F.coalesce(F.col("best_n") >= 2 * F.col("n"), F.lit(False)))
+    rows = words.join(near_words(words).hint("merge"), "word", "left").withColumn("is_form", F.coalesce(F.col("best_n") >= 2 * F.col("n"), F.lit(False)))
     rows = rows.select("word", F.when(F.col("is_form"), F.col("best")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(F.col("is_form"), F.col("best_n")).alias("form_n"))
     rows, _ = written(rows, "forms")
     ends = roots(rows.where("form is not null").select("word", "form"))
-    return rows.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -191,3 +191,10 @@ def test_groups_change_work_only(spark, monkeypatch):
         got = sorted(tuple(r) for r in spelling.near_words(words).collect())
         assert want in (None, got) and len(got) == 243 and all(r[1] == 10 for r in got)
         want = got
+
+
+def test_nothing_of_the_vocabulary_is_broadcast(spark):
+    """Small files hold large tables of pairs, so no join is left to their sizes."""
+    words = spark.createDataFrame([("abcde", 3), ("abcdf", 7)], "word string, n long")
+    for df in (spelling.near_words(words), spelling.group_variants(spark.createDataFrame([(1, "abcde abcdf")], "doc_id long, text string"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
