@@ -3,9 +3,11 @@
 import itertools
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sensemill.operators import index as index_module
 from sensemill.operators.index import BUCKETS, Index, bucket_of
 from sensemill.operators.requests import query_text
 from sensemill.operators.search import Request, tokens
@@ -97,3 +99,26 @@ def test_tokens_are_those_of_the_scan(spark, index):
     want = {(r[0], w) for r in rows.select("key", tokens(F.col("text"))).collect() for w in r[1]}
     assert {(r["key"], r["term"]) for r in other.postings(sorted({w for _, w in want})).collect()} == want
     assert list(itertools.chain(*[r["positions"] for r in other.postings(["12b"]).collect()])) == [2]
+
+
+def test_postings_of_a_batch(monkeypatch):
+    """Any cut of a batch gives the places of each word of each unit, words in order inside a cut; no Python object is made for a word."""
+    words = [["b", "a", "b"], None, [], ["ł", "b"], ["a"] * 3]
+    columns = [pa.array(["f"] * 5), pa.array([1, 2, 3, 4, 5], pa.int64()), pa.array([0] * 5, pa.int64()), pa.array(words, pa.list_(pa.string()))]
+    batch = pa.RecordBatch.from_arrays(columns, ["field", "key", "child", "words"])
+    expected = [(k + 1, w, [i for i, x in enumerate(ws) if x == w]) for k, ws in enumerate(words) for w in sorted(set(ws or ()))]
+    for size in (1, 3, 1 << 20):
+        monkeypatch.setattr(index_module, "_WORDS", size)
+        out = [r for b in index_module._postings(iter([batch.slice(0, 0), batch, batch.slice(3)])) for r in b.to_pylist()]
+        assert sorted((r["key"], r["term"], r["positions"]) for r in out) == sorted(expected + [x for x in expected if x[0] > 3])
+    assert [r["term"] for b in index_module._postings(iter([batch])) for r in b.to_pylist()] == ["a", "a", "b", "b", "ł"]
+
+
+def test_postings_are_sorted_once(spark, tmp_path, monkeypatch):
+    """The order that the buckets are written in is the writer's own."""
+    index = index_module.Index(spark, str(tmp_path / "sorted"))
+    index.refresh(spark.createDataFrame([("f", 1, 0, "b a b")], "field string, key long, child long, text string"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    plan = [r.physicalPlanDescription() for r in runs if "sorted/postings" in r.physicalPlanDescription() and "InsertIntoHadoopFsRelationCommand" in r.physicalPlanDescription()][0]
+    assert plan.split("Initial Plan")[0].count("Sort (") == 1
