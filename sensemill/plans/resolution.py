@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sensemill.functions import text as X
 from sensemill.operators import graph, identity
 from sensemill.registry import query
-from sensemill.tables import table
+from sensemill.tables import small_batches, table
 
 _STOP = ",".join(f"'{w}'" for w in X.STOPWORDS)
 _KEY = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -59,6 +59,7 @@ def text_gloss_clean(spark: SparkSession, sf: str) -> DataFrame:
 @query("text_search_key")
 def text_search_key(spark: SparkSession, sf: str) -> DataFrame:
     """Case folding and decomposition are beyond SQL; tests hold this against Python's own."""
+    small_batches(spark)
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.search_key(F.col("text")).alias("key"))
 
 
