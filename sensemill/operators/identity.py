@@ -38,6 +38,19 @@ def similar_pairs(sets: DataFrame, *block: str) -> DataFrame:
     return both.where(same_meaning(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
+def meaning_pairs(senses: DataFrame, key: str, *block: str) -> DataFrame:
+    """(a, b) of all pairs of senses (block columns, key, tokens) in a block that mean the same, a < b. Null blocks and keys pair with nothing.
+
+    Meanings are compared once for each two different token sets of a block; their members are then joined, so that the work on
+    a pair of senses is writing it."""
+    rows = senses.where(F.size("tokens") > 0).select(*block, F.col(key).alias("id"), "tokens")
+    sets = rows.select(*block, "tokens").distinct()
+    both = sets.withColumnRenamed("tokens", "a").join(sets.withColumnRenamed("tokens", "b"), [*block]).where(same_meaning(F.col("a"), F.col("b")))
+    left = rows.withColumnsRenamed({"tokens": "a", "id": "ida"}).join(both, [*block, "a"])
+    out = left.join(rows.withColumnsRenamed({"tokens": "b", "id": "idb"}).hint("merge"), [*block, "b"]).where("ida < idb")
+    return out.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+
 def followers(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b) with a before b: (b, a) of every node that founds nothing, with its first founder.
 

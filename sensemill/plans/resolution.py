@@ -92,9 +92,7 @@ def _senses(spark: SparkSession, sf: str) -> DataFrame:
 )
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs inside a block that mean the same."""
-    x, y = _senses(spark, sf).alias("x"), _senses(spark, sf).alias("y")
-    pairs = x.join(y, F.expr("x.p_name = y.p_name and x.p_type = y.p_type and x.p_brand = y.p_brand and x.p_partkey < y.p_partkey"))
-    return pairs.where(X.same_meaning(F.col("x.tokens"), F.col("y.tokens"))).select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"))
+    return identity.meaning_pairs(_senses(spark, sf), "p_partkey", "p_name", "p_type", "p_brand")
 
 
 @query("identity_clusters")
