@@ -85,7 +85,7 @@ def clusters(candidates: DataFrame) -> DataFrame:
     """
     rows = candidates.select("headword", "pos", "candidate_id", F.struct("ordering", "candidate_id").alias("id"), F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"))
     block = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in ("headword", "pos")]
-    rows = rows.select(*block, "candidate_id", "id", "tokens")
+    rows, _ = staged(rows.select(*block, "candidate_id", "id", "tokens"), "candidates")  # tokens are made once, here
     sets, _ = staged(rows.where(F.size("tokens") > 0).groupBy("headword", "pos", "tokens").agg(F.min("id").alias("id")), "token-sets")
     first = followers(similar_pairs(sets, "headword", "pos")).select(F.col("b").alias("id"), F.col("a").alias("founder"))
     found = sets.join(first, "id", "left").select("headword", "pos", "tokens", F.coalesce("founder", "id")["candidate_id"].alias("cluster_id"))

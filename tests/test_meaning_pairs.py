@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from sensemill.functions.text import same_meaning
-from sensemill.operators.identity import meaning_pairs
+from sensemill.operators.identity import clusters, meaning_pairs
 
 
 def test_pairs_of_a_block(spark):
@@ -19,3 +19,10 @@ def test_pairs_of_a_block(spark):
     assert sorted(tuple(r) for r in out.collect()) == sorted(hand) and len(hand) > 50
     joined = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert all("array_intersect" not in x for x in joined if "idb" in x.split("ida")[-1] and "Join" in x)
+
+
+def test_tokens_of_candidates_are_made_once(spark):
+    rows = spark.createDataFrame([("w", "n", 1, 1, "aa bb"), ("w", "n", 2, 2, "aa bb"), ("w", "n", 3, 3, "cc")], "headword string, pos string, candidate_id long, ordering long, text string")
+    out = clusters(rows.withColumn("tokens", F.split("text", " ")))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
